@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,13 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_mixing(spark, sf_dir):
+    """Copies of every document in a mix of sources weighing 3, 1, 2 and holding 150 % of all words."""
+    mixed = mixing.mix(spark, _table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+    return mixed.select(F.col("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
 @_query
 def op6_simhash(spark, sf_dir):
     """Fingerprints of three-word shingles and the components of links at three or fewer bits."""
