@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import mixing, simhash, suffixes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,10 @@ def op6_simhash(spark, sf_dir):
     """Fingerprints of three-word shingles and the components of links at three or fewer bits."""
     found = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), words_each=3, most_bits=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
+
+
+@_query
+def op9_suffix_dedup(spark, sf_dir):
+    """What stays of every text without the bytes that repeated 200-byte strings cover."""
+    cut = suffixes.repeat_digests(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
