@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, suffixes
+from . import mixing, simhash, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,16 @@ def op1_mixing(spark, sf_dir):
     return mixed.select(F.col("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+@_query
+def op3_toxicity(spark, sf_dir):
+    """Scores of every whole text; every fifth document by the checksum of its id is held out of the fit."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scan = toxicity.fit(spark, docs, _table(spark, sf_dir, "labels").where(~held_out), most_rows=20_000)
+    found = toxicity.score(spark, docs, scan)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 @_query
 def op6_simhash(spark, sf_dir):
     """Fingerprints of three-word shingles and the components of links at three or fewer bits."""
