@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, suffixes, toxicity
+from . import licenses, mixing, simhash, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op3_toxicity(spark, sf_dir):
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+@_query
+def op5_licenses(spark, sf_dir):
+    """Words, base phrases and licence labels of every whole text."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 @_query
 def op6_simhash(spark, sf_dir):
     """Fingerprints of three-word shingles and the components of links at three or fewer bits."""
