@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, simhash, suffixes, toxicity
+from . import licenses, maintext, mixing, simhash, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,9 @@ def op9_suffix_dedup(spark, sf_dir):
     """What stays of every text without the bytes that repeated 200-byte strings cover."""
     cut = suffixes.repeat_digests(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query
+def op10_html_extract(spark, sf_dir):
+    """The main text of every page."""
+    return maintext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
