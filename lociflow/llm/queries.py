@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from . import licenses, maintext, mixing, simhash, suffixes, toxicity
+from . import licenses, maintext, mixing, sentencepieces, simhash, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +38,23 @@ def op3_toxicity(spark, sf_dir):
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def tokenizer_path() -> str:
+    """The model file that the environment offers; ``LOCIFLOW_SENTENCEPIECE`` names another."""
+    path = os.environ.get("LOCIFLOW_SENTENCEPIECE")
+    if not path:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return path
+
+
+@_query
+def op4_sentencepiece(spark, sf_dir):
+    """Ids of every whole text, in number and as a digest, verified against the reference library and by decoding."""
+    coded = sentencepieces.encode(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "parity", "round_trip")
+
+
 @_query
 def op5_licenses(spark, sf_dir):
     """Words, base phrases and licence labels of every whole text."""
