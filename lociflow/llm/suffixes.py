@@ -169,24 +169,43 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(c).astype(np.int8)), pa.array(t1[at]), pa.array(t2[at])], ["h", "m", "t1", "t2"])
 
 
+PLACE = np.dtype([("t1", "<i8"), ("t2", "<i8"), ("first", "<i8"), ("m", "<i1")])
+
+
 def _contexts(length: int):
-    """For each text, the bytes around those anchors whose hash stands elsewhere too."""
+    """The bytes around those anchors whose hash stands elsewhere too; equal ones of a partition meet in one row, with their places."""
+
+    def rows(held: dict) -> Iterator[pa.RecordBatch]:
+        items = list(held.items())
+        for lo in range(0, len(items), 20_000):
+            part = items[lo : lo + 20_000]
+            places = []
+            for _, where in part:
+                x = np.empty(len(where), PLACE)
+                x[:] = where
+                places.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[2] for k, _ in part], pa.binary()), pa.array([k[1] for k, _ in part], pa.int16()), pa.array(places, pa.binary()), pa.array([k[3] for k, _ in part], pa.bool_())],
+                ["h", "ctx", "ahead", "places", "hot"],
+            )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = defaultdict(list)
+        n = 0
         for b in batches:
             for i in range(b.num_rows):
                 t1, t2, m, text, packed, marks, hot = (c[i].as_py() for c in b.columns)
                 a = _unpack(packed)
                 a = a[np.isin(a["h"], np.array(marks, np.int64))]
-                hot = np.isin(a["h"], np.array(hot, np.int64))
-                for lo in range(0, len(a), 20_000):
-                    part = a[lo : lo + 20_000]
-                    n = len(part)
-                    ctx = [text[f : e + length] for f, e in zip(part["first"].tolist(), part["last"].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part["h"]), pa.array(ctx, pa.binary()), pa.array((part["pos"] - part["first"]).astype(np.int16)), pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(part["first"]), pa.array(np.full(n, m, np.int8)), pa.array(hot[lo : lo + 20_000])],
-                        ["h", "ctx", "ahead", "t1", "t2", "first", "m", "hot"],
-                    )
+                is_hot = np.isin(a["h"], np.array(hot, np.int64)).tolist()
+                for h, pos, f, e, w in zip(a["h"].tolist(), a["pos"].tolist(), a["first"].tolist(), a["last"].tolist(), is_hot, strict=True):
+                    held[h, pos - f, text[f : e + length], w].append((t1, t2, f, m))
+                n += len(a)
+                if n > 200_000:
+                    yield from rows(held)
+                    held.clear()
+                    n = 0
+        yield from rows(held)
 
     return each
 
@@ -316,22 +335,27 @@ def repeated_ranges(h: np.ndarray, contexts: list[bytes], ahead: np.ndarray, wei
 def _sorted_ranges(length: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[tuple[int, int, bytes], int] = {}
-        at, t1, t2, first, m = [], [], [], [], []
+        at, where = [], []
         for b in batches:
             if b.num_rows:
                 key = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)
-                at.append(np.array([classes.setdefault(k, len(classes)) for k in key], np.int64))
-                for x, c in ((t1, 3), (t2, 4), (first, 5), (m, 6)):
-                    x.append(b.column(c).to_numpy())
+                cls = np.array([classes.setdefault(k, len(classes)) for k in key], np.int64)
+                packed = b.column(3).to_pylist()
+                at.append(np.repeat(cls, [len(p) // PLACE.itemsize for p in packed]))
+                where.append(np.frombuffer(b"".join(packed), PLACE))
         if not classes:
             return
-        at, t1, t2, first, m = map(np.concatenate, (at, t1, t2, first, m))
+        at, where = np.concatenate(at), np.concatenate(where)
         keys = list(classes)
         del classes
         h, ahead = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
-        low, high = repeated_ranges(h, [k[2] for k in keys], ahead, np.bincount(at, weights=m.astype(np.int64), minlength=len(keys)), length)
+        low, high = repeated_ranges(h, [k[2] for k in keys], ahead, np.bincount(at, weights=where["m"].astype(np.int64), minlength=len(keys)), length)
         hit = np.flatnonzero(low[at] >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(t1[hit]), pa.array(t2[hit]), pa.array(first[hit] + low[at[hit]]), pa.array(first[hit] + high[at[hit]] + length)], ["t1", "t2", "lo", "hi"])
+        w, c = where[hit], at[hit]
+        for lo in range(0, len(hit), 100_000):
+            s = slice(lo, lo + 100_000)
+            x = w[s]
+            yield pa.RecordBatch.from_arrays([pa.array(x["t1"].copy()), pa.array(x["t2"].copy()), pa.array(x["first"] + low[c[s]]), pa.array(x["first"] + high[c[s]] + length)], ["t1", "t2", "lo", "hi"])
 
     return each
 
@@ -341,13 +365,15 @@ def _windows(length: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                d1, d2, t1, t2, start, m = [], [], [], [], [], []
-                for h, ctx, ahead, a, z, first, w, _ in zip(*(c.slice(lo, 1000).to_pylist() for c in b.columns), strict=True):
-                    for s in range(len(ctx) - length + 1):
-                        x, y = _digest(ctx[s : s + length])
-                        d1.append(x), d2.append(y), t1.append(a), t2.append(z), start.append(first + s), m.append(w)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d1, d2, t1, t2, start, m)], ["d1", "d2", "t1", "t2", "lo", "m"])
+            for ctx, places in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                w = np.frombuffer(places, PLACE)
+                digests = np.array([_digest(ctx[s : s + length]) for s in range(len(ctx) - length + 1)], np.int64)
+                n = len(digests)
+                for lo in range(0, len(w), 1000):
+                    x = w[lo : lo + 1000]
+                    k = len(x)
+                    columns = [np.tile(digests[:, 0], k), np.tile(digests[:, 1], k), np.repeat(x["t1"], n), np.repeat(x["t2"], n), (x["first"][:, None] + np.arange(n)).ravel(), np.repeat(x["m"], n).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d1", "d2", "t1", "t2", "lo", "m"])
 
     return each
 
@@ -424,7 +450,7 @@ def _removals(spark: SparkSession, keyed: DataFrame, length: int, gram: int, hot
     pressed = d.where(F.length("text") >= length).mapInArrow(_texts, "t1 long, t2 long, packed binary").groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
     holders = scratch.write(pressed.join(texts, ["t1", "t2"]).join(marks, ["t1", "t2"]).select("t1", "t2", "m", "packed", "anchors", "marks", "hot"))
     scratch.drop(texts)
-    contexts = holders.mapInArrow(_unpressed(_contexts(length)), "h long, ctx binary, ahead smallint, t1 long, t2 long, first long, m tinyint, hot boolean")
+    contexts = holders.mapInArrow(_unpressed(_contexts(length)), "h long, ctx binary, ahead smallint, places binary, hot boolean")
     total, hottest = holders.agg(F.sum(F.size("marks")), F.max(F.size("hot"))).first()
     sort_parts = partitions(spark, total or 0, CONTEXTS)
     ranges = contexts.where("not hot").repartition(sort_parts, "h").mapInArrow(_sorted_ranges(length), "t1 long, t2 long, lo long, hi long")
