@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import licenses, maintext, mixing, sentencepieces, simhash, suffixes, toxicity
+from . import licenses, maintext, mixing, perplexity, sentencepieces, simhash, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,13 @@ def op1_mixing(spark, sf_dir):
     return mixed.select(F.col("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+@_query
+def op2_quality(spark, sf_dir):
+    """Perplexity of every whole text under a model of the documents labelled good, and which documents stay."""
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return perplexity.classify(spark, _table(spark, sf_dir, "documents"), trusted)
+
+
 @_query
 def op3_toxicity(spark, sf_dir):
     """Scores of every whole text; every fifth document by the checksum of its id is held out of the fit."""
