@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import licenses, maintext, mixing, perplexity, sentencepieces, simhash, suffixes, toxicity
+from . import licenses, maintext, mixing, perplexity, sentencepieces, simhash, suffixes, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,12 @@ def op6_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
 
 
+@_query
+def op7_embedding_dedup(spark, sf_dir):
+    """Links and components of all vectors of one label with cosine of 0.93 or more."""
+    return vectors.near_duplicates(spark, _table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 @_query
 def op9_suffix_dedup(spark, sf_dir):
     """What stays of every text without the bytes that repeated 200-byte strings cover."""
