@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -154,22 +155,19 @@ def _unpack(packed: bytes) -> np.ndarray:
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each text and anchor hash, with the number of its places, at most two."""
     for b in batches:
-        t1, t2, m = (b.column(i).to_numpy() for i in (0, 1, 2))
+        ids, m = b.column(0).to_numpy(), b.column(1).to_numpy()
         for lo in range(0, b.num_rows, 500):
             h, c, who = [], [], []
-            for i, packed in enumerate(b.column(3).slice(lo, 500).to_pylist()):
-                if packed:
-                    n = int(np.frombuffer(packed, "<u4", 1)[0])
-                    u, count = np.unique(np.frombuffer(packed, "<i8", n, 4), return_counts=True)
-                    h.append(u)
-                    c.append(np.minimum(count * m[lo + i], 2))
-                    who.append(np.full(len(u), lo + i))
-            if h:
-                at = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(c).astype(np.int8)), pa.array(t1[at]), pa.array(t2[at])], ["h", "m", "t1", "t2"])
+            for i, packed in enumerate(b.column(2).slice(lo, 500).to_pylist()):
+                n = int(np.frombuffer(packed, "<u4", 1)[0])
+                u, count = np.unique(np.frombuffer(packed, "<i8", n, 4), return_counts=True)
+                h.append(u)
+                c.append(np.minimum(count * m[lo + i], 2))
+                who.append(np.full(len(u), lo + i))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(c).astype(np.int8)), pa.array(ids[np.concatenate(who)])], ["h", "m", "id"])
 
 
-PLACE = np.dtype([("t1", "<i8"), ("t2", "<i8"), ("first", "<i8"), ("m", "<i1")])
+PLACE = np.dtype([("id", "<i8"), ("first", "<u4"), ("m", "<i1")])
 
 
 def _contexts(length: int):
@@ -194,12 +192,12 @@ def _contexts(length: int):
         n = 0
         for b in batches:
             for i in range(b.num_rows):
-                t1, t2, m, text, packed, marks, hot = (c[i].as_py() for c in b.columns)
+                id_, m, text, packed, marks, hot = (c[i].as_py() for c in b.columns)
                 a = _unpack(packed)
                 a = a[np.isin(a["h"], np.array(marks, np.int64))]
                 is_hot = np.isin(a["h"], np.array(hot, np.int64)).tolist()
                 for h, pos, f, e, w in zip(a["h"].tolist(), a["pos"].tolist(), a["first"].tolist(), a["last"].tolist(), is_hot, strict=True):
-                    held[h, pos - f, text[f : e + length], w].append((t1, t2, f, m))
+                    held[h, pos - f, text[f : e + length], w].append((id_, f, m))
                 n += len(a)
                 if n > 200_000:
                     yield from rows(held)
@@ -355,7 +353,8 @@ def _sorted_ranges(length: int):
         for lo in range(0, len(hit), 100_000):
             s = slice(lo, lo + 100_000)
             x = w[s]
-            yield pa.RecordBatch.from_arrays([pa.array(x["t1"].copy()), pa.array(x["t2"].copy()), pa.array(x["first"] + low[c[s]]), pa.array(x["first"] + high[c[s]] + length)], ["t1", "t2", "lo", "hi"])
+            first = x["first"].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x["id"].copy()), pa.array(first + low[c[s]]), pa.array(first + high[c[s]] + length)], ["id", "lo", "hi"])
 
     return each
 
@@ -372,8 +371,8 @@ def _windows(length: int):
                 for lo in range(0, len(w), 1000):
                     x = w[lo : lo + 1000]
                     k = len(x)
-                    columns = [np.tile(digests[:, 0], k), np.tile(digests[:, 1], k), np.repeat(x["t1"], n), np.repeat(x["t2"], n), (x["first"][:, None] + np.arange(n)).ravel(), np.repeat(x["m"], n).astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d1", "d2", "t1", "t2", "lo", "m"])
+                    columns = [np.tile(digests[:, 0], k), np.tile(digests[:, 1], k), np.repeat(x["id"], n), (x["first"].astype(np.int64)[:, None] + np.arange(n)).ravel(), np.repeat(x["m"], n).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d1", "d2", "id", "lo", "m"])
 
     return each
 
@@ -420,14 +419,18 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), spans
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        t1, t2, texts, ranges = (c.to_pylist() for c in b.columns)
-        done = [cut(t, [(r["lo"], r["hi"]) for r in rs]) for t, rs in zip(texts, ranges, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(texts, done, strict=True)], pa.int64()), pa.array([s for _, s in done], pa.int64()), pa.array([k for k, _ in done], pa.binary())],
-            ["t1", "t2", "n_removed", "n_spans", "kept"],
-        )
+def _cut(digest: bool):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t1, t2, texts, ranges = (c.to_pylist() for c in b.columns)
+            done = [cut(t, [(r["lo"], r["hi"]) for r in rs]) for t, rs in zip(texts, ranges, strict=True)]
+            kept = pa.array([sha256(k).hexdigest() for k, _ in done], pa.string()) if digest else pa.array([k for k, _ in done], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(texts, done, strict=True)], pa.int64()), pa.array([s for _, s in done], pa.int64()), kept],
+                ["t1", "t2", "n_removed", "n_spans", "kept"],
+            )
+
+    return each
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -436,31 +439,35 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"__body": body, "__t1": F.xxhash64(F.lit(1), body), "__t2": F.xxhash64(F.lit(2), body)})
 
 
-def _removals(spark: SparkSession, keyed: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """``(t1, t2, n_removed, n_spans, kept)`` for those distinct texts that lose something."""
+def _removals(spark: SparkSession, keyed: DataFrame, length: int, gram: int, hot: int, digest: bool) -> DataFrame:
+    """``(t1, t2, n_removed, n_spans, kept)`` for those distinct texts that lose something; ``kept`` as bytes or as their digest."""
     scratch = Scratch(spark, "suffixes")
-    d = keyed.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col("__body").alias("text"))
-    found = d.mapInArrow(_anchored(length, gram), "t1 long, t2 long, anchors binary").where("length(anchors) > 0")
-    texts = scratch.write(found.groupBy("t1", "t2").agg(F.least(F.count("*"), F.lit(2)).cast("tinyint").alias("m"), F.first("anchors").alias("anchors")))
-
-    places = texts.mapInArrow(_hashes, "h long, m tinyint, t1 long, t2 long")
-    twice = places.groupBy("h").agg(F.sum("m").alias("places"), F.count("*").alias("in_texts")).where("places >= 2").select("h", (F.col("in_texts") > hot).alias("hot"))
-    marks = places.select("h", "t1", "t2").join(twice, "h").groupBy("t1", "t2").agg(F.collect_list("h").alias("marks"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
-
-    pressed = d.where(F.length("text") >= length).mapInArrow(_texts, "t1 long, t2 long, packed binary").groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
-    holders = scratch.write(pressed.join(texts, ["t1", "t2"]).join(marks, ["t1", "t2"]).select("t1", "t2", "m", "packed", "anchors", "marks", "hot"))
+    d = keyed.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col("__body").alias("text")).where(F.length("text") >= length)
+    found = d.mapInArrow(_anchored(length, gram), "t1 long, t2 long, anchors binary")
+    texts = found.groupBy("t1", "t2").agg(F.least(F.count("*"), F.lit(2)).cast("tinyint").alias("m"), F.first("anchors").alias("anchors"))
+    texts = scratch.write(texts.withColumn("id", F.monotonically_increasing_id()))  # written, and so fixed
+
+    places = texts.select("id", "m", "anchors").mapInArrow(_hashes, "h long, m tinyint, id long")
+    # one sum holds the number of places and, in the lower bits, that of texts
+    seen = places.groupBy("h").agg(F.sum(F.shiftleft(F.col("m").cast("long"), 40) + 1).alias("n"))
+    twice = seen.where(F.shiftright("n", 40) >= 2).select("h", (F.col("n").bitwiseAND(F.lit((1 << 40) - 1)) > hot).alias("hot"))
+    marks = places.select("h", "id").join(twice, "h").groupBy("id").agg(F.collect_list("h").alias("marks"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+
+    pressed = d.mapInArrow(_texts, "t1 long, t2 long, packed binary").groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
+    marked = texts.join(marks, "id").select("t1", "t2", "id", "m", "anchors", "marks", "hot")
+    holders = scratch.write(pressed.join(marked, ["t1", "t2"]))
     scratch.drop(texts)
-    contexts = holders.mapInArrow(_unpressed(_contexts(length)), "h long, ctx binary, ahead smallint, places binary, hot boolean")
+    contexts = holders.select("id", "m", "packed", "anchors", "marks", "hot").mapInArrow(_unpressed(_contexts(length)), "h long, ctx binary, ahead smallint, places binary, hot boolean")
     total, hottest = holders.agg(F.sum(F.size("marks")), F.max(F.size("hot"))).first()
     sort_parts = partitions(spark, total or 0, CONTEXTS)
-    ranges = contexts.where("not hot").repartition(sort_parts, "h").mapInArrow(_sorted_ranges(length), "t1 long, t2 long, lo long, hi long")
+    ranges = contexts.where("not hot").repartition(sort_parts, "h").mapInArrow(_sorted_ranges(length), "id long, lo long, hi long")
     if hottest:
-        windows = scratch.write(contexts.where("hot").mapInArrow(_windows(length), "d1 long, d2 long, t1 long, t2 long, lo long, m long"))
-        seen = windows.groupBy("d1", "d2").agg(F.sum("m").alias("c")).where("c >= 2").select("d1", "d2")
-        ranges = ranges.union(windows.join(seen, ["d1", "d2"], "left_semi").select("t1", "t2", "lo", (F.col("lo") + length).alias("hi")))
-    ranges = ranges.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    done = holders.select("t1", "t2", "packed").join(ranges, ["t1", "t2"]).mapInArrow(_unpressed(_cut), "t1 long, t2 long, n_removed long, n_spans long, kept binary")
-    return scratch.write(done)
+        windows = scratch.write(contexts.where("hot").mapInArrow(_windows(length), "d1 long, d2 long, id long, lo long, m long"))
+        repeated = windows.groupBy("d1", "d2").agg(F.sum("m").alias("c")).where("c >= 2").select("d1", "d2")
+        ranges = ranges.union(windows.join(repeated, ["d1", "d2"], "left_semi").select("id", "lo", (F.col("lo") + length).alias("hi")))
+    ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    done = holders.select("id", "t1", "t2", "packed").join(ranges, "id").select("t1", "t2", "packed", "ranges")
+    return scratch.write(done.mapInArrow(_unpressed(_cut(digest)), f"t1 long, t2 long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, text_col: str = "text", gram: int = 40, hot: int = HOT) -> DataFrame:
@@ -475,19 +482,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, text
     Equal texts are taken once and counted twice. A null text counts as empty. Texts shorter than ``length`` lose nothing. Repeated rows and ids keep their rows. An
     empty table gives no rows. Matches never cross texts; overlapping matches in one text count. Strings are judged on the input, not on what is left.
     """
-    return _with_removals(spark, docs, length, text_col, gram, hot, F.col("kept"), F.col("__body"), "kept")
+    return _with_removals(spark, docs, length, text_col, gram, hot, F.col("__body"), "kept")
 
 
 def repeat_digests(spark: SparkSession, docs: DataFrame, length: int = 200, text_col: str = "text", gram: int = 40, hot: int = HOT) -> DataFrame:
     """As ``remove_repeats``, with ``kept_sha256`` instead of the kept bytes, so that whole texts needn't meet their results."""
-    return _with_removals(spark, docs, length, text_col, gram, hot, F.sha2("kept", 256), F.sha2("__body", 256), "kept_sha256")
+    return _with_removals(spark, docs, length, text_col, gram, hot, F.sha2("__body", 256), "kept_sha256")
 
 
-def _with_removals(spark, docs, length, text_col, gram, hot, cut_value, whole_value, name):
+def _with_removals(spark, docs, length, text_col, gram, hot, whole_value, name):
     if not 8 <= gram <= length or length > 0x7FFF:
         raise ValueError("the anchor needs 8 bytes or more and at most the length, which is below 32,768")
     keyed = _keyed(docs, text_col)
-    gone = _removals(spark, keyed, length, gram, hot).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("n_removed").alias("__removed"), F.col("n_spans").alias("__spans"), cut_value.alias("__cut"))
+    gone = _removals(spark, keyed, length, gram, hot, name != "kept").select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("n_removed").alias("__removed"), F.col("n_spans").alias("__spans"), F.col("kept").alias("__cut"))
     keyed = keyed.withColumns({"__whole": whole_value, "n_bytes": F.length("__body").cast("long")}).drop("__body", *([text_col] if name == "kept" else []))
     joined = keyed.join(gone, ["__t1", "__t2"], "left")
     out = joined.withColumns({"n_removed": F.coalesce("__removed", F.lit(0)).cast("long"), "n_spans": F.coalesce("__spans", F.lit(0)).cast("long"), name: F.coalesce("__cut", "__whole")})
