@@ -12,6 +12,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -230,7 +231,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text_col: str
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], [*others, out_col, "parity", "round_trip"])
 
     source = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in others])
-    schema = source.drop("__text").schema.add(out_col, "array<int>").add("parity", "boolean").add("round_trip", "boolean")
+    schema = source.drop("__text").schema.add(out_col, T.ArrayType(T.IntegerType())).add("parity", "boolean").add("round_trip", "boolean")
     return source.mapInArrow(each, schema)
 
 
