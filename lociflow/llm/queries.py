@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import licenses, maintext, mixing, perplexity, sentencepieces, simhash, suffixes, toxicity, vectors
+from . import ann, licenses, maintext, mixing, perplexity, sentencepieces, simhash, suffixes, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +81,12 @@ def op7_embedding_dedup(spark, sf_dir):
     return vectors.near_duplicates(spark, _table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+@_query
+def op8_ann(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth one by inner product."""
+    return ann.nearest(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, most=20)
+
+
 @_query
 def op9_suffix_dedup(spark, sf_dir):
     """What stays of every text without the bytes that repeated 200-byte strings cover."""
