@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, Unions, partitions
 from .components import components
+from .vectors import first_meeting
 
 #: Rows of one partition of the segment tables.
 TABLE_ROWS = 600_000
@@ -55,6 +56,164 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
 
 
+def wide_fingerprint(text: bytes, words_each: int = 5, seed: int = 42) -> bytes:
+    """128-bit SimHash of a text's distinct word shingles, as 16 bytes."""
+    from xxhash import xxh3_128_digest
+
+    words = text.lower().split()
+    n = len(words)
+    if not n:
+        return bytes(16)
+    joined = b" ".join(words)
+    k = min(words_each, n)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[: n - k]]
+    hashes = list({xxh3_128_digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[k - 1 :], strict=True)})
+    m = len(hashes)
+    lanes = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8)).view(np.uint64).reshape(m, 16)
+    sums = np.add.reduceat(lanes, np.arange(0, m, 255), axis=0).view(np.uint8).reshape(-1, 128).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > m).tobytes()
+
+
+def _wide_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint under its own value of four 16-bit segments of its first half and under all values one bit away."""
+    flips = np.concatenate(([0], 1 << np.arange(16))).astype(np.int64)
+    for b in batches:
+        for lo in range(0, b.num_rows, 2000):
+            s = b.slice(lo, 2000)
+            both = np.frombuffer(b"".join(s.column(0).to_pylist()), np.uint64).reshape(-1, 2)
+            rep = s.column(1).to_numpy()
+            for seg in range(4):
+                value = ((both[:, 0] >> np.uint64(16 * seg)) & np.uint64(0xFFFF)).astype(np.int64)
+                key = ((value[:, None] ^ flips) | (seg << 16)).ravel()
+                at = np.repeat(np.arange(len(rep)), 17)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(both[at, 0].view(np.int64)), pa.array(both[at, 1].view(np.int64)), pa.array(rep[at])], ["key", "first", "second", "rep"])
+
+
+def _wide_links(most_half: int, most: int):
+    """Spanning forests of the pairs that are near on the whole fingerprint, the nearest pairs first, so that later verification finds the best of each join."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, first, second, rep = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(key, kind="stable")
+        key, first, second, rep = key[order], first[order].view(np.uint64), second[order].view(np.uint64), rep[order]
+        nodes, at = np.unique(rep, return_inverse=True)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        found: list[tuple] = []
+        held = 0
+
+        def forest(pairs: list[tuple]) -> list[tuple]:
+            a, b, d = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            sets, kept = Unions(len(nodes)), []
+            for bits in np.unique(d):
+                i, j = a[d == bits], b[d == bits]
+                while len(i):
+                    ri, rj = sets.roots(i), sets.roots(j)
+                    differ = ri != rj
+                    i, j, ri, rj = i[differ], j[differ], ri[differ], rj[differ]
+                    # one pair for each larger root, joined before the next look
+                    _, one = np.unique(np.maximum(ri, rj), return_index=True)
+                    kept.append((i[one], j[one], np.full(len(one), bits)))
+                    sets.union(i[one], j[one])
+            return [tuple(np.concatenate(c) for c in zip(*kept, strict=True))] if kept else []
+
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            for i in range(s, e, 512):
+                for j in range(i, e, 512):
+                    x, y = slice(i, min(i + 512, e)), slice(j, min(j + 512, e))
+                    half = np.bitwise_count(first[x][:, None] ^ first[y][None])
+                    p, q = np.nonzero(half <= most_half)
+                    p, q, half = p + i, q + j, half[p, q]
+                    whole = half.astype(np.int64) + np.bitwise_count(second[p] ^ second[q])
+                    near = (whole <= most) & (p < q) & (rep[p] != rep[q])
+                    p, q, whole = p[near], q[near], whole[near]
+                    near = first_meeting(first[p], first[q], key[p])
+                    if near.any():
+                        found.append((at[p[near]], at[q[near]], whole[near]))
+                        held += int(near.sum())
+            if held > 2_000_000:
+                found = forest(found)
+                held = 0
+        found = forest(found) if found else []
+        for a, b, _ in found:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["u", "v"])
+
+    return each
+
+
+def _similar(words_each: int, least: float):
+    """Pairs whose distinct word shingles have a Jaccard similarity of at least ``least``."""
+
+    def shingles(text: bytes) -> set[bytes]:
+        words = text.lower().split()
+        k = min(words_each, len(words))
+        return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = shingles(x), shingles(y)
+                common = len(p & q)
+                keep.append(common >= least * (len(p) + len(q) - common))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return each
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8, most_half: int = 16, most: int = 30) -> DataFrame:
+    """``(key, component)`` of every distinct text: texts linked by a similarity of at least ``least`` share the smallest key.
+
+    128-bit SimHashes of the distinct shingles of ``words_each`` words. Multi-index tables hold the first 64 bits under four 16-bit segments and all their values one bit away, so that fingerprints meet if a
+    segment differs in at most two bits; what meets is verified on the first 64 bits (``most_half``) and on all 128 (``most``), and the nearest pairs of a table partition form a
+    spanning forest, whose edges are at last verified by the exact Jaccard similarity of their texts. A similarity of 0.8 leaves 20 of 128 bits on average.
+    ``key`` is the smallest id among the copies of a text; null texts count as empty; rows with a null id are left out here.
+    """
+    scratch = Scratch(spark, "similar")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).where("doc_id is not null")
+    rows = rows.withColumns({"t1": F.xxhash64(F.lit(1), "text"), "t2": F.xxhash64(F.lit(2), "text")})
+    keys = scratch.write(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep")))
+    # one row of each distinct text: that of its smallest id; equal rows with that id are found once more and do no harm
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t, words_each) for t in b.column(2).to_pylist()], pa.binary())], ["t1", "t2", "fp"])
+
+    printed = rows.select("t1", "t2", "text").mapInArrow(prints, "t1 long, t2 long, fp binary").groupBy("t1", "t2").agg(F.first("fp").alias("fp"))
+    distinct = scratch.write(printed.join(keys, ["t1", "t2"]).select("fp", "rep"))
+    n = distinct.count()
+    heads = distinct.groupBy("fp").agg(F.min("rep").alias("rep"))
+    entries = heads.mapInArrow(_wide_entries, "key long, first long, second long, rep long")
+    links = entries.repartition(partitions(spark, 68 * n, TABLE_ROWS), "key").mapInArrow(_wide_links(most_half, most), "u long, v long")
+    same = distinct.withColumnRenamed("rep", "u").join(heads.withColumnRenamed("rep", "v"), "fp").where("u <> v").select("u", "v")
+    pairs = scratch.write(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(same).distinct())
+    ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    texts = scratch.write(rows.join(keys.withColumnRenamed("rep", "doc_id").select("doc_id", "t1", "t2"), ["doc_id", "t1", "t2"], "left_semi").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    true = both.select("u", "v", "a", "b").mapInArrow(_similar(words_each, least), "u long, v long")
+    roots = components(true, scratch)
+    return keys.join(roots, keys.rep == roots.node, "left").select("t1", "t2", "rep", F.coalesce("root", "rep").alias("component"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those that another row stands for: of each group of copies and near copies the row with the smallest id stays.
+
+    Rows with a null id stay. Of equal rows with that smallest id all but one go.
+    """
+    groups = similar_groups(spark, docs, id_col, text_col, words_each, least)
+    best = groups.where("component = rep").select("t1", "t2", F.col("rep").alias("__rep"))
+    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    keyed = docs.withColumns({"__t1": F.xxhash64(F.lit(1), body), "__t2": F.xxhash64(F.lit(2), body)})
+    stays = keyed.where(F.col(id_col).isNotNull()).join(best, (F.col("__t1") == best.t1) & (F.col("__t2") == best.t2) & (F.col(id_col) == best["__rep"])).drop("t1", "t2", "__rep")
+    stays = stays.dropDuplicates([id_col])
+    return stays.unionByName(keyed.where(F.col(id_col).isNull())).drop("__t1", "__t2")
+
+
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each fingerprint under its own value of both 32-bit segments and under all values one set bit away.
 

@@ -81,7 +81,7 @@ def _entries(mean: np.ndarray, projection: np.ndarray):
     return each
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+def first_meeting(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether this bucket is the first of those in which two codes meet: in their nearest possible segment order, at the smallest common key."""
     seg = (key >> WIDTH) & 3
     value = (key & ((1 << WIDTH) - 1)).astype(np.uint64)
@@ -115,7 +115,7 @@ def _pairs(most: int):
         def found(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
             near = np.bitwise_count(code[i] ^ code[j]) <= most
             i, j = i[near], j[near]
-            once = _first_meeting(code[i], code[j], key[i])
+            once = first_meeting(code[i], code[j], key[i])
             i, j = cls[i[once]], cls[j[once]]
             for lo in range(0, len(i), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(i[lo : lo + 100_000]), pa.array(j[lo : lo + 100_000])], ["a", "b"])
