@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.scratch import Scratch
+
 
 def with_unknown(unknowns: DataFrame, uncertain: str = "N_or_M") -> DataFrame:
     """Unknown positions of the chosen kind: N, M or N_or_M."""
@@ -38,6 +40,7 @@ def half_matrix(ids: DataFrame, variants: DataFrame, unknowns: DataFrame, ceilin
     vv = va.join(vb, F.expr("a.pos = b.pos and a.sample_id < b.sample_id")).select(F.col("a.sample_id").alias("a"), F.col("b.sample_id").alias("b"), F.expr("if(a.base = b.base, 2, 1)").alias("less"))
     vu = va.join(ub, F.expr("a.pos = u.pos and a.sample_id <> u.sample_id")).select(F.least("a.sample_id", "u.sample_id").alias("a"), F.greatest("a.sample_id", "u.sample_id").alias("b"), F.lit(1).alias("less"))
     met = vv.union(vu).groupBy("a", "b").agg(F.sum("less").cast("int").alias("less"))
+    met = Scratch(ids.sparkSession, "met").write(met)
     na, nb = size.select(F.col("sample_id").alias("a"), F.col("n").alias("na")), size.select(F.col("sample_id").alias("b"), F.col("n").alias("nb"))
     near = met.join(na, "a").join(nb, "b").withColumn("dist", F.expr("cast(na + nb - less as int)")).select("a", "b", "dist")
     small = na.where(F.col("na") <= ceiling).withColumn("nb", F.explode(F.sequence(F.lit(0), F.lit(ceiling) - F.col("na"))))
@@ -51,9 +54,10 @@ def edges(ids: DataFrame, variants: DataFrame, unknowns: DataFrame, ceiling: int
     Distances are worked out between distinct profiles; samples of one profile are 0 apart.
     """
     unknown = with_unknown(unknowns, uncertain)
-    members = profiles(ids, variants, unknown)
-    heads = members.select(F.col("profile").alias("sample_id")).distinct()
-    half = half_matrix(heads, variants, unknown, ceiling)
+    scratch = Scratch(ids.sparkSession, "edges")
+    members = scratch.write(profiles(ids, variants, unknown))
+    heads = members.where("sample_id = profile").select("sample_id")
+    half = scratch.write(half_matrix(heads, variants, unknown, ceiling))
     both = half.union(half.select("b", "a", "dist"))
     same = heads.select(F.col("sample_id").alias("a"), F.col("sample_id").alias("b"), F.lit(0).alias("dist"))
     ma, mb = members.select(F.col("sample_id").alias("x"), F.col("profile").alias("a")), members.select(F.col("sample_id").alias("y"), F.col("profile").alias("b"))
