@@ -95,7 +95,7 @@ def train(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch: Scr
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and length(text) > 0")
     kind = texts.schema["id"].dataType.simpleString()
     ids = trusted.select(F.col("doc_id").alias("id")).distinct()
-    chosen = texts.mapInArrow(_pressed, f"id {kind}, packed binary").join(ids, "id", "left_semi").select("packed")
+    chosen = texts.mapInArrow(_pressed, f"id {kind}, packed binary").join(ids.hint("merge"), "id", "left_semi").select("packed")
     counts = scratch.write(chosen.mapInArrow(_counted, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")))
 
     orders = [counts]
@@ -171,7 +171,8 @@ def classify(spark: SparkSession, docs: DataFrame, trusted: DataFrame, quantile:
     limit = F.col("middle") + slack * (F.col("high") - F.col("middle"))
     limits = known.groupBy("k").agg(F.first("middle").alias("middle"), F.percentile_approx("score", quantile, 10_000).alias("high")).withColumn("limit", limit)
     overall = known.agg(F.percentile_approx(rate, 0.5, 10_000).alias("middle"), F.percentile_approx("score", quantile, 10_000).alias("high")).withColumn("limit", limit).first()
-    out = scored.join(limits.drop("high"), "k", "left")
+    limits = scratch.write(limits.drop("high"))
+    out = scored.join(F.broadcast(limits) if limits.count() <= 10_000 else limits, "k", "left")  # one row per language
     out = out.withColumns({"middle": F.coalesce("middle", F.lit(overall["middle"]).cast("double")), "threshold": F.coalesce("limit", F.lit(overall["limit"]).cast("double"))})
     out = out.withColumn("score", F.when(F.col("n_symbols") > 0, F.coalesce(smooth, rate)))
     keep = (F.col("n_symbols") > 0) & (F.col("threshold").isNull() | (F.col("score") <= F.col("threshold")))
