@@ -164,7 +164,7 @@ def classify(spark: SparkSession, docs: DataFrame, trusted: DataFrame, quantile:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), null_key(lang_col).alias("k"), F.col(text_col).alias("text"))
     scored = scratch.write(entropies(spark, rows, table))
     known = scored.join(trusted.where(judge), "doc_id", "left_semi").where("n_symbols > 0")
-    rate = F.col("nats") / F.col("n_symbols")
+    rate = F.col("nats") / F.nullif(F.col("n_symbols"), F.lit(0))
     middle = known.groupBy("k").agg(F.percentile_approx(rate, 0.5, 10_000).alias("middle"))
     smooth = (F.col("nats") + inertia * F.col("middle")) / (F.col("n_symbols") + inertia)
     known = known.join(middle, "k").withColumn("score", smooth)

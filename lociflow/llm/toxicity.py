@@ -170,7 +170,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     got = got.where("times is null").unionByName(got.where("times is not null").groupBy("score", "n").agg(F.sum("times").alias("times"))).toPandas()
     tokens, largest = got[got.times.notna()], got[got.times.isna()]
     if len(tokens):
-        scan.rate = karlin_rate(tokens.score.to_numpy(), (tokens.times / tokens.times.sum()).to_numpy())
+        # one more token of the highest score: what clean texts never showed may still turn up
+        values, times = np.r_[tokens.score.to_numpy(float), scores.max() - drift], np.r_[tokens.times.to_numpy(float), 1.0]
+        scan.rate = karlin_rate(values, times / times.sum())
     if len(largest):
         # the Gumbel law of the largest segment, from its median: a few of the texts are mislabelled or quote others
         scan.location = max(-10.0, float(np.median(scan.rate * largest.score - np.log(largest.n.astype(float)))) + math.log(math.log(2)))
