@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,8 +150,10 @@ class Codec:
         self.tokenizer, self.threads, self.most_words = build(data), threads, most_words
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         # where words are independent, each distinct word goes through the pieces once
-        self.apart = words_apart(m) and not any(k == USER_DEFINED for _, _, k in m.pieces)
-        self.words: dict[str, list[int]] = {}
+        self.apart = words_apart(m) and m.byte_fallback and not any(k == USER_DEFINED for _, _, k in m.pieces)
+        self.words: dict[str, bytes] = {}
+        self.spelled: dict[str, bytes] = {}
+        self.differ: set[str] = set()  # words to which the reference library gives other ids
         self.pieces = Tokenizer(self.tokenizer.model)
         mark = MARK.encode()
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode().replace(mark, b" ") for p, _, k in m.pieces]
@@ -158,11 +161,14 @@ class Codec:
         self.dummy = m.dummy_prefix
         self.identity, self.start = not m.charsmap and not m.squeeze, MARK if m.dummy_prefix else ""
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.apart:
-            return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+    def split(self, texts: list[str], check: bool) -> list[list[str]]:
+        """The words of each text, all of them known from here on: their ids packed, and what these spell.
+
+        ``check`` compares the words that are new with the reference library.
+        """
         if len(self.words) > self.most_words:
-            self.words.clear()
+            for held in (self.words, self.spelled, self.differ):
+                held.clear()
         known = self.words
         normal = (lambda t: self.start + t.replace(" ", MARK)) if self.identity else self.tokenizer.normalizer.normalize_str
         split = []
@@ -173,8 +179,18 @@ class Codec:
             else:
                 split.append([MARK + w for w in n[1:].split(MARK)] if n != MARK else [n])
         missing = list({w for ws in split for w in ws if w not in known})
-        known.update(zip(missing, (e.ids for e in self.pieces.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable([known[w] for w in ws])) for ws in split]
+        own = [e.ids for e in self.pieces.encode_batch_fast(missing, add_special_tokens=False)]
+        known.update(zip(missing, [array("i", x).tobytes() for x in own], strict=True))
+        self.spelled.update(zip(missing, [b"".join([self.bytes[i] for i in x]) for x in own], strict=True))
+        if check:
+            theirs = self.original.encode([w[self.dummy :].replace(MARK, " ") for w in missing], num_threads=self.threads)
+            self.differ.update(w for w, a, b in zip(missing, own, theirs, strict=True) if a != b)
+        return split
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not self.apart:
+            return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+        return [array("i", b"".join([self.words[w] for w in ws])).tolist() for ws in self.split(texts, False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Pieces joined, bytes put together and markers turned into spaces; ids that stand for the unknown piece go through the library."""
@@ -189,9 +205,34 @@ class Codec:
 
     def verified(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids, and whether both libraries agree; where they don't, the reference library's ids stand."""
-        own, theirs = self.encode(texts), self.original.encode(texts, num_threads=self.threads)
-        same = [a == b for a, b in zip(own, theirs, strict=True)]
-        return [a if ok else b for a, b, ok in zip(own, theirs, same, strict=True)], same
+        ids, same, _ = self.coded(texts, True)
+        return ids.to_pylist(), same
+
+    def coded(self, texts: list[str], check: bool) -> tuple[pa.Array, list[bool | None], list[bool]]:
+        """Ids, parity and round trip of each text. Where words are independent a text agrees if all of its words do, and each distinct word is worked out once."""
+        if not self.apart:
+            own = self.encode(texts)
+            same: list[bool | None] = [None] * len(texts)
+            if check:
+                theirs = self.original.encode(texts, num_threads=self.threads)
+                same = [a == b for a, b in zip(own, theirs, strict=True)]
+                own = theirs
+            return pa.array(own, pa.list_(pa.int32())), same, [a == b for a, b in zip(self.decode(own), texts, strict=True)]
+        split = self.split(texts, check)
+        packed = [b"".join([self.words[w] for w in ws]) for ws in split]
+        back = []
+        for t, ws in zip(texts, split, strict=True):
+            spelled = b"".join([self.spelled[w] for w in ws])
+            back.append((spelled[1:] if self.dummy and spelled[:1] == b" " else spelled) == t.encode())
+        same = [True if check else None] * len(texts)
+        if self.differ:
+            for i, ws in enumerate(split):
+                if not self.differ.isdisjoint(ws):
+                    ids = self.original.encode(texts[i])
+                    same[i] = array("i", ids).tobytes() == packed[i]
+                    packed[i], back[i] = array("i", ids).tobytes(), self.decode([ids])[0] == texts[i]
+        offsets = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))), same, back
 
 
 def _slices(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
@@ -208,7 +249,7 @@ def _slices(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
 def encode(spark: SparkSession, docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", verify: bool = True, threads: int = 2) -> DataFrame:
     """The rows of ``docs`` with ``ids array<int>``, ``parity boolean`` and ``round_trip boolean``.
 
-    Whole texts are encoded in batches on several threads. ``parity``: the reference library gives the same ids (null if not verified); where it doesn't, its ids are
+    Whole texts are encoded in batches on several threads. ``parity``: the reference library gives the same ids, to every word where words are independent (null if not verified); where it doesn't, its ids are
     taken. ``round_trip``: decoding gives the text back. Null and empty texts have no ids and agree. The model is read once on the driver, is at most ``MOST_BYTES`` and goes to the executors as a whole.
     Columns of ``docs`` with the names of the new ones are replaced. Repeated rows are kept; an empty table gives no rows.
     """
@@ -225,10 +266,9 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text_col: str
             texts = [t or "" for t in b.column(0).to_pylist()]
             for lo, hi in _slices(texts):
                 part = texts[lo:hi]
-                ids, same = codec.verified(part) if verify else (codec.encode(part), [None] * len(part))
-                back = [x == y for x, y in zip(codec.decode(ids), part, strict=True)]
+                ids, same, back = codec.coded(part, verify)
                 kept = [b.column(i + 1).slice(lo, hi - lo) for i in range(len(others))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], [*others, out_col, "parity", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*kept, ids, pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], [*others, out_col, "parity", "round_trip"])
 
     source = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in others])
     schema = source.drop("__text").schema.add(out_col, T.ArrayType(T.IntegerType())).add("parity", "boolean").add("round_trip", "boolean")
