@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = f"{HERE}:{os.environ.get('PYTHONPATH', '')}"
 from lociflow.plans import catalogue  # noqa: E402
 from lociflow.session import local_session  # noqa: E402
 
-HEADLINE = ("compress_variants", "edges_symmetric", "neighbours_quality", "clusters_include", "msa_aligned", "contingency", "dense_calendar", "bh_fdr", "telemetry_lag", "telemetry_throttle")
+HEADLINE = ("compress_variants", "neighbours_quality", "clusters_include", "msa_aligned", "contingency", "bh_fdr", "telemetry_lag", "telemetry_throttle")
 
 
 def main() -> None:
