@@ -50,15 +50,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     unpress = zstandard.ZstdDecompressor()
-    total = np.zeros(1 << (BITS * ORDER), np.int32)
+    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the n-grams seen so far, as few as a partition has
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        u, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return u, np.bincount(at, weights=np.concatenate([m for _, m in parts])).astype(np.int64)
+
     for b in batches:
         for packed in b.column(0).to_pylist():
-            code, n = np.unique(grams(unpress.decompress(packed).decode("utf-8", "surrogatepass")), return_counts=True)
-            total[code] += n.astype(np.int32)
-    code = np.flatnonzero(total)
+            c, m = np.unique(grams(unpress.decompress(packed).decode("utf-8", "surrogatepass")), return_counts=True)
+            held.append((c.astype(np.int64), m))
+            size += len(c)
+            if size > 300_000:
+                code, n = merged([(code, n), *held])
+                held, size = [], 0
+    code, n = merged([(code, n), *held]) if held else (code, n)
     for lo in range(0, len(code), 100_000):
         c = code[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(total[c], pa.int64())], ["gram", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n[lo : lo + 100_000], pa.int64())], ["gram", "c"])
 
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
