@@ -16,8 +16,10 @@ from .vectors import matrix, usable
 K, REVERSE, ROUNDS, STARTS, BLOCK = 24, 24, 4, 4, 384
 #: Best candidates that a query keeps, nodes it expands in a hop, hops.
 POOL, FRONT, HOPS = 256, 64, 6
-#: Nodes of one task of the graph.
-NODES = 4_000
+#: Nodes of one task of the graph, and of one task of the start.
+NODES, START_NODES = 4_000, 20_000
+#: Nodes that all queries look at first, and how many of them a query walks from besides its own.
+ENTRIES, DOORS = 1024, 16
 
 
 def quantise(x: np.ndarray) -> np.ndarray:
@@ -54,19 +56,35 @@ def _edge_batches(owner: np.ndarray, other: np.ndarray, score: np.ndarray) -> It
 EDGE = "node long, other long, score float"
 
 
-def _start(width: int, rounds: int, seed: int):
-    """Nodes with random projections that sort alike are compared in blocks."""
+def _project(width: int, turns: int, seed: int):
+    """Each node once for every random projection, with its value in it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = restore(b.column(1).to_pylist(), width)
+            rng = np.random.default_rng(seed)
+            for turn in range(turns):
+                value = x @ rng.standard_normal(x.shape[1]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), turn, np.int32)), pa.array(value), b.column(0), b.column(1)], ["turn", "value", "node", "packed"])
+
+    return each
+
+
+def _start(width: int):
+    """Nodes that a random projection of the whole table sorts alike are compared in blocks; a partition holds a range of one projection or the border of two."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        node = np.concatenate([b.column(0).to_numpy() for b in parts])
-        x = restore(b"".join(v for b in parts for v in b.column(1).to_pylist()), width)
-        rng = np.random.default_rng(seed)
+        turn, value, node = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(3))
+        x = restore(b"".join(v for b in parts for v in b.column(3).to_pylist()), width)
         found = []
-        for _ in range(rounds):
-            order = np.argsort(x @ rng.standard_normal(x.shape[1]).astype(np.float32), kind="stable")
+        for t in np.unique(turn):
+            inside = np.flatnonzero(turn == t)
+            order = inside[np.lexsort((node[inside], value[inside]))]
             for lo in range(0, len(order), BLOCK):
                 at = order[lo : lo + BLOCK]
                 if len(at) < 2:
@@ -147,12 +165,14 @@ def with_reverse(graph: DataFrame, salt: int) -> DataFrame:
 def build(spark: SparkSession, points: DataFrame, width: int, scratch: Scratch, n: int) -> DataFrame:
     """The neighbour graph ``(node, other, score)`` of ``points(node, packed)``, and rounds of neighbours of neighbours.
 
-    It starts from nodes that random projections put side by side. In every round each node's neighbours and reverse neighbours meet at it by a join with their vectors, and the candidates go to their nodes, at most K a task.
+    It starts from nodes that random projections put side by side. Each projection sorts the whole table anew, so that the ranges that tasks hold overlap and no part of the
+    graph stays apart. Beyond ``START_NODES`` the start is further from the nearest, and every doubling gets one more round. In every round each node's neighbours and reverse neighbours meet at it by a join with their vectors, and the candidates go to their nodes, at most K a task.
     """
     parts = partitions(spark, n, NODES)
-    graph = points.repartition(max(1, n // 20_000), "node").mapInArrow(_start(width, STARTS, 1), EDGE)
-    graph = scratch.write(graph)
-    for r in range(ROUNDS):
+    turns = points.mapInArrow(_project(width, STARTS, 1), "turn int, value float, node long, packed binary")
+    graph = turns.repartitionByRange(max(1, STARTS * n // START_NODES), "turn", "value", "node").mapInArrow(_start(width), EDGE)
+    graph = scratch.write(graph.repartition(parts, "node").mapInArrow(_merge(K), EDGE))
+    for r in range(ROUNDS + (max(1, n // START_NODES) - 1).bit_length()):
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= K, F.min("score")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
         body = points.join(worst, "node", "left").select(F.col("node").alias("to"), F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"), "packed")
         meeting = with_reverse(graph, r).join(body, "to").select("at", "to", "worst", "packed")
@@ -181,17 +201,37 @@ def _expand(width: int):
     return each
 
 
+def _enter(width: int, shared):
+    """The shared entry points that score best for each query."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, packed = shared.value
+        x, k = restore(packed, width), min(DOORS, len(node))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            query = b.column(0).to_numpy()
+            s = restore(b.column(1).to_pylist(), width) @ x.T
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            yield from _edge_batches(np.repeat(query, k), node[top].ravel(), np.take_along_axis(s, top, axis=1).ravel())
+
+    return each
+
+
 def search(spark: SparkSession, graph: DataFrame, points: DataFrame, queries: DataFrame, width: int, scratch: Scratch, n: int) -> DataFrame:
     """``(query, node)``: the pool of each query node after a greedy walk.
 
-    All queries walk at once: in a hop each expands its ``FRONT`` best nodes that it hasn't yet, by a join with the nodes' packed neighbourhoods, and keeps the best ``POOL``.
+    A query enters at its own node and at the best of ``ENTRIES`` nodes that all share. All queries walk at once: in a hop each expands its ``FRONT`` best nodes that it hasn't yet, by a join with the nodes' packed neighbourhoods, and keeps the best ``POOL``.
     """
     parts = partitions(spark, n, NODES)
     hood = with_reverse(graph, 99).join(points.select(F.col("node").alias("to"), "packed"), "to").select("at", "to", "packed")
     hood = scratch.write(hood.repartition(parts, "at").mapInArrow(_pack, "node long, others binary, vectors binary"))
     asked = scratch.write(queries.join(points, queries.query == points.node).select("query", F.col("packed").alias("vector")))
-    pool = asked.select(F.col("query").alias("node"), F.col("query").alias("other"), F.lit(float("inf")).cast("float").alias("score"))
-    done = front = scratch.write(asked.select("query", F.col("query").alias("other")))
+    doors = points.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(ENTRIES).collect()
+    shared = spark.sparkContext.broadcast((np.array([r["node"] for r in doors], np.int64), b"".join(bytes(r["packed"]) for r in doors)))
+    own = asked.select(F.col("query").alias("node"), F.col("query").alias("other"), F.lit(float("inf")).cast("float").alias("score"))
+    pool = scratch.write(own.union(asked.select("query", "vector").mapInArrow(_enter(width, shared), EDGE)))
+    done = front = scratch.write(pool.select(F.col("node").alias("query"), "other").distinct())
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "other"))
     for _ in range(HOPS):
         seen = front.join(asked, "query").join(hood, F.col("other") == hood.node).select("query", "vector", "others", "vectors").mapInArrow(_expand(width), EDGE)
@@ -199,7 +239,7 @@ def search(spark: SparkSession, graph: DataFrame, points: DataFrame, queries: Da
         left = pool.join(done.select(F.col("query").alias("node"), "other"), ["node", "other"], "left_anti")
         front = scratch.write(left.withColumn("r", rank).where(F.col("r") <= FRONT).select(F.col("node").alias("query"), "other"))
         done = done.union(front)
-    return pool.where("node <> other").select(F.col("node").alias("query"), F.col("other").alias("node"))
+    return pool.where("node <> other").select(F.col("node").alias("query"), F.col("other").alias("node")).distinct()
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

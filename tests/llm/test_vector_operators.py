@@ -57,6 +57,19 @@ def test_nearest_recall_and_ties(spark):
     assert ann.nearest(spark, df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_start_partitions_stay_connected(spark, monkeypatch):
+    monkeypatch.setattr(ann, "START_NODES", 300)
+    x, df, _ = make(spark, 3000, 2)
+    got = ann.nearest(spark, df.where("vec_id < 9000"), F.col("vec_id") % 20 == 0, most=20).select("query_id", "vec_id").collect()
+    hit = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(len(x)), -s))[:20].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert len(got) == len({tuple(r) for r in got}) == 20 * 150
+    assert hit >= 0.95 * len(got)
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_components_of_paths_and_stars(spark, seed):
     from lociflow.llm.common import Scratch
