@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, Unions, partitions
 from .components import components
-from .vectors import first_meeting
 
 #: Rows of one partition of the segment tables.
 TABLE_ROWS = 600_000
+#: Texts whose shingles are counted to tell common ones, and how many of these are told at most.
+SAMPLE, COMMON = 5_000, 100_000
 #: Buckets above this size are split once more by the bytes of the other segment.
 WIDE = 2048
 
@@ -56,92 +58,112 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
 
 
-def wide_fingerprint(text: bytes, words_each: int = 5, seed: int = 42) -> bytes:
-    """128-bit SimHash of a text's distinct word shingles, as 16 bytes."""
-    from xxhash import xxh3_128_digest
+def shingle_hashes(text: bytes, words_each: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in ascending order."""
+    from xxhash import xxh3_64_intdigest
 
     words = text.lower().split()
     n = len(words)
     if not n:
-        return bytes(16)
+        return np.zeros(0, np.int64)
     joined = b" ".join(words)
     k = min(words_each, n)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: n - k]]
-    hashes = list({xxh3_128_digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[k - 1 :], strict=True)})
-    m = len(hashes)
-    lanes = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8)).view(np.uint64).reshape(m, 16)
-    sums = np.add.reduceat(lanes, np.arange(0, m, 255), axis=0).view(np.uint8).reshape(-1, 128).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * sums > m).tobytes()
+    return np.unique(np.array([xxh3_64_intdigest(joined[s : e - 1]) for s, e in zip(starts, ends[k - 1 :], strict=True)], np.uint64).view(np.int64))
 
 
-def _wide_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under its own value of four 16-bit segments of its first half and under all values one bit away."""
-    flips = np.concatenate(([0], 1 << np.arange(16))).astype(np.int64)
-    for b in batches:
-        for lo in range(0, b.num_rows, 2000):
-            s = b.slice(lo, 2000)
-            both = np.frombuffer(b"".join(s.column(0).to_pylist()), np.uint64).reshape(-1, 2)
-            rep = s.column(1).to_numpy()
-            for seg in range(4):
-                value = ((both[:, 0] >> np.uint64(16 * seg)) & np.uint64(0xFFFF)).astype(np.int64)
-                key = ((value[:, None] ^ flips) | (seg << 16)).ravel()
-                at = np.repeat(np.arange(len(rep)), 17)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(both[at, 0].view(np.int64)), pa.array(both[at, 1].view(np.int64)), pa.array(rep[at])], ["key", "first", "second", "rep"])
+def _prefix(words_each: int, least: float, shared):
+    """Of every text the number of its shingles and the first of them, rare ones before common ones: two texts with a similarity of at least ``least`` have one of these in common."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = shared.value
+        for b in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+            size, first = [], []
+            for t in b.column(2).to_pylist():
+                h = shingle_hashes(t, words_each)
+                size.append(len(h))
+                if len(h) and len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[at] == h, rank[at], 0), kind="stable")]
+                first.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].tobytes() if len(h) else bytes(8))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int32()), pa.array(first, pa.binary())], ["t1", "t2", "n", "first"])
+
+    return each
 
 
-def _wide_links(most_half: int, most: int):
-    """Spanning forests of the pairs that are near on the whole fingerprint, the nearest pairs first, so that later verification finds the best of each join."""
+def _prefix_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 1000):
+            s = b.slice(lo, 1000)
+            first = [np.frombuffer(x, np.int64) for x in s.column(2).to_pylist()]
+            count = np.array([len(x) for x in first], np.int64)
+            if not len(count):
+                continue
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.repeat(s.column(0).to_numpy(), count)), pa.array(np.repeat(s.column(1).to_numpy(), count)), pa.array(place.astype(np.int32))], ["key", "rep", "n", "place"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of a partition whose key another text has too."""
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        key = np.concatenate([b.column(0).to_numpy() for b in parts])
+        _, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        more, lo = count[at] > 1, 0
+        for b in parts:
+            yield b.filter(pa.array(more[lo : lo + b.num_rows]))
+            lo += b.num_rows
+
+
+def _candidates(least: float, order: int | None):
+    """Pairs of texts of different components that share a prefix shingle and are not too different in size and place: neighbours in the given order of each bucket, or, without an order, all of them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
-        key, first, second, rep = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, rep, n, place, root = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.argsort(key, kind="stable")
-        key, first, second, rep = key[order], first[order].view(np.uint64), second[order].view(np.uint64), rep[order]
-        nodes, at = np.unique(rep, return_inverse=True)
+        by = n if not order else (rep.view(np.uint64) + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+        sort = np.lexsort((rep, by, key))
+        key, rep, n, place, root = key[sort], rep[sort], n[sort].astype(np.int64), place[sort].astype(np.int64), root[sort]
+
+        def fits(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            # what the pair can share from here on must be enough; of the first shingle they share this is exact
+            can = np.minimum(n[p] - place[p], n[q] - place[q])
+            need = least / (1 + least) * (n[p] + n[q]) - 1e-9
+            return (root[p] != root[q]) & ((n[p] + n[q] == 0) | (can >= need))
+
+        def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1), axis=0)
+            for lo in range(0, len(both), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(both[lo : lo + 100_000, 0].copy()), pa.array(both[lo : lo + 100_000, 1].copy())], ["u", "v"])
+
+        if order is not None:
+            p = np.flatnonzero(key[1:] == key[:-1])
+            p = p[fits(p, p + 1)]
+            yield from pairs([(rep[p], rep[p + 1])])
+            return
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
-        found: list[tuple] = []
-        held = 0
-
-        def forest(pairs: list[tuple]) -> list[tuple]:
-            a, b, d = (np.concatenate(c) for c in zip(*pairs, strict=True))
-            sets, kept = Unions(len(nodes)), []
-            for bits in np.unique(d):
-                i, j = a[d == bits], b[d == bits]
-                while len(i):
-                    ri, rj = sets.roots(i), sets.roots(j)
-                    differ = ri != rj
-                    i, j, ri, rj = i[differ], j[differ], ri[differ], rj[differ]
-                    # one pair for each larger root, joined before the next look
-                    _, one = np.unique(np.maximum(ri, rj), return_index=True)
-                    kept.append((i[one], j[one], np.full(len(one), bits)))
-                    sets.union(i[one], j[one])
-            return [tuple(np.concatenate(c) for c in zip(*kept, strict=True))] if kept else []
-
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        found, held = [], 0
+        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
             for i in range(s, e, 512):
                 for j in range(i, e, 512):
-                    x, y = slice(i, min(i + 512, e)), slice(j, min(j + 512, e))
-                    half = np.bitwise_count(first[x][:, None] ^ first[y][None])
-                    p, q = np.nonzero(half <= most_half)
-                    p, q, half = p + i, q + j, half[p, q]
-                    whole = half.astype(np.int64) + np.bitwise_count(second[p] ^ second[q])
-                    near = (whole <= most) & (p < q) & (rep[p] != rep[q])
-                    p, q, whole = p[near], q[near], whole[near]
-                    near = first_meeting(first[p], first[q], key[p])
-                    if near.any():
-                        found.append((at[p[near]], at[q[near]], whole[near]))
-                        held += int(near.sum())
-            if held > 2_000_000:
-                found = forest(found)
-                held = 0
-        found = forest(found) if found else []
-        for a, b, _ in found:
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["u", "v"])
+                    p, q = np.nonzero(root[i : min(i + 512, e), None] != root[None, j : min(j + 512, e)])
+                    p, q = p + i, q + j
+                    p, q = p[p < q], q[p < q]
+                    near = fits(p, q)
+                    found.append((rep[p[near]], rep[q[near]]))
+                    held += int(near.sum())
+                    if held > 1_000_000:
+                        yield from pairs(found)
+                        found, held = [], 0
+        if found:
+            yield from pairs(found)
 
     return each
 
@@ -166,37 +188,45 @@ def _similar(words_each: int, least: float):
     return each
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8, most_half: int = 16, most: int = 30) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8) -> DataFrame:
     """``(key, component)`` of every distinct text: texts linked by a similarity of at least ``least`` share the smallest key.
 
-    128-bit SimHashes of the distinct shingles of ``words_each`` words. Multi-index tables hold the first 64 bits under four 16-bit segments and all their values one bit away, so that fingerprints meet if a
-    segment differs in at most two bits; what meets is verified on the first 64 bits (``most_half``) and on all 128 (``most``), and the nearest pairs of a table partition form a
-    spanning forest, whose edges are at last verified by the exact Jaccard similarity of their texts. A similarity of 0.8 leaves 20 of 128 bits on average.
+    An exact prefix-filter join: of a text's distinct shingles of ``words_each`` words, ordered from rare to common, the first n - ceil(least * n) + 1 are entered; two texts as similar as ``least``
+    share one of them. The order comes from the counts of a sample, which decides how long buckets are and not what is found. Every candidate is verified by the exact Jaccard similarity of the
+    texts unless both already hang together by verified links: neighbours in each bucket in two orders first, so that large groups grow together, then all pairs that are left.
     ``key`` is the smallest id among the copies of a text; null texts count as empty; rows with a null id are left out here.
     """
     scratch = Scratch(spark, "similar")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).where("doc_id is not null")
     rows = rows.withColumns({"t1": F.xxhash64(F.lit(1), "text"), "t2": F.xxhash64(F.lit(2), "text")})
     keys = scratch.write(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep")))
-    # one row of each distinct text: that of its smallest id; equal rows with that id are found once more and do no harm
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t, words_each) for t in b.column(2).to_pylist()], pa.binary())], ["t1", "t2", "fp"])
-
-    printed = rows.select("t1", "t2", "text").mapInArrow(prints, "t1 long, t2 long, fp binary").groupBy("t1", "t2").agg(F.first("fp").alias("fp"))
-    distinct = scratch.write(printed.join(keys, ["t1", "t2"]).select("fp", "rep"))
-    n = distinct.count()
-    heads = distinct.groupBy("fp").agg(F.min("rep").alias("rep"))
-    entries = heads.mapInArrow(_wide_entries, "key long, first long, second long, rep long")
-    links = entries.repartition(partitions(spark, 68 * n, TABLE_ROWS), "key").mapInArrow(_wide_links(most_half, most), "u long, v long")
-    same = distinct.withColumnRenamed("rep", "u").join(heads.withColumnRenamed("rep", "v"), "fp").where("u <> v").select("u", "v")
-    pairs = scratch.write(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(same).distinct())
-    ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = scratch.write(rows.join(keys.withColumnRenamed("rep", "doc_id").select("doc_id", "t1", "t2"), ["doc_id", "t1", "t2"], "left_semi").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    true = both.select("u", "v", "a", "b").mapInArrow(_similar(words_each, least), "u long, v long")
-    roots = components(true, scratch)
+    n = keys.count()
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(lo, 100) for b in batches for lo in range(0, b.num_rows, 100)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_hashes(t, words_each) for t in b.column(0).to_pylist()]))], ["h"])
+
+    sample = rows.where(F.pmod(F.xxhash64("t1", "t2"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    often = sample.mapInArrow(hashes, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toPandas().sort_values("h")
+    shared = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+    printed = rows.select("t1", "t2", "text").mapInArrow(_prefix(words_each, least, shared), "t1 long, t2 long, n int, first binary").groupBy("t1", "t2").agg(F.first(F.struct("n", "first")).alias("p"))
+    heads = printed.join(keys, ["t1", "t2"]).select(F.col("rep").cast("long").alias("rep"), "p.n", "p.first")
+    entries = heads.mapInArrow(_prefix_entries, "key long, rep long, n int, place int")
+    parts = partitions(spark, 70 * n, TABLE_ROWS)
+    entries = scratch.write(entries.repartition(parts, "key").mapInArrow(_met, entries.schema))
+
+    verified = true = roots = None
+    for order in (0, 1, None):
+        placed = entries.withColumn("root", F.col("rep")) if roots is None else entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "place", F.coalesce("root", "rep").alias("root"))
+        pairs = placed.repartition(parts, "key").mapInArrow(_candidates(least, order), "u long, v long").distinct()
+        pairs = scratch.write(pairs if verified is None else pairs.join(verified, ["u", "v"], "left_anti"))
+        ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+        texts = scratch.write(rows.join(keys.withColumnRenamed("rep", "doc_id").select("doc_id", "t1", "t2"), ["doc_id", "t1", "t2"], "left_semi").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
+        both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+        links = scratch.write(both.select("u", "v", "a", "b").mapInArrow(_similar(words_each, least), "u long, v long"))
+        scratch.drop(texts)
+        verified, true = (pairs, links) if verified is None else (verified.union(pairs), true.union(links))
+        roots = scratch.write(components(true, scratch))
     return keys.join(roots, keys.rep == roots.node, "left").select("t1", "t2", "rep", F.coalesce("root", "rep").alias("component"))
 
 

@@ -105,6 +105,36 @@ def test_near_copies_of_five_word_shingles(spark, odd):
     assert left.columns == odd.columns and left.where("doc_id = 8").count() == 1 and left.where("doc_id = 9").count() == 0 and left.where("doc_id is null").count() == 1
 
 
+def near_limit(n, size, edits, seed, families=1):
+    """Texts of random words, each with random word edits of its family's base, and their groups by brute force."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(families):
+        base = [r.choice(words) for _ in range(size)]
+        for _ in range(n):
+            copy = list(base)
+            for _ in range(edits):
+                copy[r.randrange(size)] = r.choice(words)
+            texts.append((len(texts), " ".join(copy)))
+    shingles = [{tuple(t.split()[j : j + 5]) for j in range(size - 4)} for _, t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    sets = simhash.Unions(len(texts))
+    import numpy as np
+
+    sets.union(*(np.array(x, np.int64) for x in zip(*near, strict=True)))
+    return texts, sets.labels().tolist()
+
+
+def test_failed_candidates_do_not_break_groups(spark):
+    texts, want = near_limit(200, 150, 2, 3)
+    for parts in (8, 32):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = {r["rep"]: r["component"] for r in simhash.similar_groups(spark, table(spark, texts)).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert [got[i] for i, _ in texts] == want
+
+
 def brute_cut(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
