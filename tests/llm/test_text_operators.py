@@ -135,6 +135,12 @@ def test_failed_candidates_do_not_break_groups(spark):
         assert [got[i] for i, _ in texts] == want
 
 
+def test_isolated_pairs_at_the_limit_are_found(spark):
+    texts, want = near_limit(2, 150, 2, 4, 1500)
+    got = {r["rep"]: r["component"] for r in simhash.similar_groups(spark, table(spark, texts)).collect()}
+    assert [got[i] for i, _ in texts] == want
+
+
 def brute_cut(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
