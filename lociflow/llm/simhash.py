@@ -189,17 +189,18 @@ def _similar(words_each: int, least: float):
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8) -> DataFrame:
-    """``(key, component)`` of every distinct text: texts linked by a similarity of at least ``least`` share the smallest key.
+    """``(t1, t2, rep, component, stays)`` of every distinct text: texts linked by a similarity of at least ``least`` share the smallest of their ids.
 
     An exact prefix-filter join: of a text's distinct shingles of ``words_each`` words, ordered from rare to common, the first n - ceil(least * n) + 1 are entered; two texts as similar as ``least``
     share one of them. The order comes from the counts of a sample, which decides how long buckets are and not what is found. Every candidate is verified by the exact Jaccard similarity of the
     texts unless both already hang together by verified links: neighbours in each bucket in two orders first, so that large groups grow together, then all pairs that are left.
-    ``key`` is the smallest id among the copies of a text; null texts count as empty; rows with a null id are left out here.
+    ``t1`` and ``t2`` are two digests of the text, ``rep`` is the smallest id among its copies, null if none has an id, and ``component`` the smallest in the group. ``stays`` marks one text of
+    each group: that with the smallest id, and where ids are null or equal with the smallest digests. Null texts count as empty; an empty table gives no rows.
     """
     scratch = Scratch(spark, "similar")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.withColumns({"t1": F.xxhash64(F.lit(1), "text"), "t2": F.xxhash64(F.lit(2), "text")})
-    keys = scratch.write(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep")))
+    keys = scratch.write(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("least_id")).withColumn("rep", F.monotonically_increasing_id()))
     n = keys.count()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,27 +222,30 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         pairs = placed.repartition(parts, "key").mapInArrow(_candidates(least, order), "u long, v long").distinct()
         pairs = scratch.write(pairs if verified is None else pairs.join(verified, ["u", "v"], "left_anti"))
         ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        texts = scratch.write(rows.join(keys.withColumnRenamed("rep", "doc_id").select("doc_id", "t1", "t2"), ["doc_id", "t1", "t2"], "left_semi").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
+        wanted = keys.join(ends, keys.rep == ends.doc_id, "left_semi").select("t1", "t2", F.col("rep").alias("doc_id"))
+        texts = scratch.write(rows.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).dropDuplicates(["doc_id"]).select("doc_id", "text"))
         both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
         links = scratch.write(both.select("u", "v", "a", "b").mapInArrow(_similar(words_each, least), "u long, v long"))
         scratch.drop(texts)
         verified, true = (pairs, links) if verified is None else (verified.union(pairs), true.union(links))
         roots = scratch.write(components(true, scratch))
-    return keys.join(roots, keys.rep == roots.node, "left").select("t1", "t2", "rep", F.coalesce("root", "rep").alias("component"))
+    named = keys.join(roots, keys.rep == roots.node, "left").select("t1", "t2", F.col("least_id").alias("rep"), F.coalesce("root", "rep").alias("root"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "t1", "t2")).alias("first"))
+    found = named.join(first, "root")
+    return found.select("t1", "t2", "rep", F.col("first.rep").alias("component"), ((F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))).alias("stays"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without those that another row stands for: of each group of copies and near copies the row with the smallest id stays.
 
-    Rows with a null id stay. Of equal rows with that smallest id all but one go.
+    Where the ids of a group are null, one of its rows stays; of equal rows all but one go. Different texts with one id are texts of their own. Null texts are empty ones. Columns and their names are those of ``docs``.
     """
     groups = similar_groups(spark, docs, id_col, text_col, words_each, least)
-    best = groups.where("component = rep").select("t1", "t2", F.col("rep").alias("__rep"))
+    best = groups.where("stays").select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("rep").alias("__rep"))
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     keyed = docs.withColumns({"__t1": F.xxhash64(F.lit(1), body), "__t2": F.xxhash64(F.lit(2), body)})
-    stays = keyed.where(F.col(id_col).isNotNull()).join(best, (F.col("__t1") == best.t1) & (F.col("__t2") == best.t2) & (F.col(id_col) == best["__rep"])).drop("t1", "t2", "__rep")
-    stays = stays.dropDuplicates([id_col])
-    return stays.unionByName(keyed.where(F.col(id_col).isNull())).drop("__t1", "__t2")
+    stays = keyed.join(best, ["__t1", "__t2"]).where(F.col(id_col).eqNullSafe(F.col("__rep")))
+    return stays.dropDuplicates(["__t1", "__t2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
