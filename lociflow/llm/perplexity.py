@@ -6,185 +6,277 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, null_key
 
-#: Symbols have 6 bits and n-grams four symbols, so that counts, probabilities and what is broadcast have one bound for every corpus: 2**24 n-grams.
-BITS, ORDER = 6, 4
-MASK = (1 << BITS) - 1
-#: Symbols of ASCII characters other than letters and digits that have one of their own.
-PUNCTUATION = ".,!?-'\"|%#*$&;:"
+#: Characters of an n-gram. The alphabet is all of Unicode: no character is put into a class, and n-grams are as many as the texts have.
+ORDER = 5
+#: Characters of the texts that share their look-ups, and characters that are sorted at once.
+BLOCK, CHUNK = 32_000_000, 2_000_000
+#: Judged documents from which a language has a quantile of its own.
+LEAST_JUDGED = 500
+
+
+def _points(text: str) -> np.ndarray:
+    """Code points of a text, with line feeds before it."""
+    return np.concatenate((np.full(ORDER - 1, 10, np.uint32), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)))
+
+
+def _keys(points: np.ndarray) -> np.ndarray:
+    """64-bit digests of the n-grams that begin at each place."""
+    n = len(points) - ORDER + 1
+    h = np.zeros(n, np.uint64)
+    for j in range(ORDER):
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (points[j : j + n].astype(np.uint64) + np.uint64(0x632BE59B))
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class _Counter:
+    """The distinct n-grams of many texts with their counts, sorted a chunk at a time."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+        self.key, self.n, self.window = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32)
+
+    def add(self, text: str) -> None:
+        self.held.append(_points(text))
+        self.size += len(text)
+        if self.size > CHUNK:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.held:
+            return
+        # windows that reach from one text into the next are no n-grams
+        points, lengths = np.concatenate(self.held), np.array([len(p) for p in self.held])
+        inside = np.ones(len(points), bool)
+        for back in range(1, ORDER):
+            inside[np.cumsum(lengths) - back] = False
+        at = np.flatnonzero(inside[: len(points) - ORDER + 1])
+        key, first, n = np.unique(_keys(points)[at], return_index=True, return_counts=True)
+        window = points[at[first][:, None] + np.arange(ORDER)]
+        self.held, self.size = [], 0
+        both = np.concatenate((self.key, key))
+        self.key, first, back = np.unique(both, return_index=True, return_inverse=True)
+        self.n = np.bincount(back, weights=np.concatenate((self.n, n)), minlength=len(self.key)).astype(np.int64)
+        self.window = np.concatenate((self.window, window))[first]
+
+    def grams(self, lo: int, hi: int) -> pa.Array:
+        text = self.window[lo:hi].tobytes().decode("utf-32-le", "surrogatepass")
+        return pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string())
+
+
+def _pack(names: list[str]):
+    """Texts compressed and cut into blocks of about ``BLOCK`` characters of one task."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _symbols() -> np.ndarray:
-    """Symbol of each code point: space, line feed, a to z, capitals, digits, punctuation; other characters share 16 by their code point."""
-    t = np.empty(0x110000, np.uint8)
-    t[:] = 48 + np.arange(0x110000) % 16
-    t[:128] = 46
-    t[[9, 11, 12, 13, 32]] = 0
-    t[10] = 1
-    t[97:123] = np.arange(2, 28)
-    t[65:91] = 28
-    t[48:58] = 29
-    for i, c in enumerate(PUNCTUATION):
-        t[ord(c)] = 30 + i
-    return t
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for s in (b.slice(lo, 1000) for lo in range(0, b.num_rows, 1000)):
+                texts = [t or "" for t in s.column(0).to_pylist()]
+                packed = pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*s.columns[1:], packed, pa.array([len(t) for t in texts], pa.int64())], names)
 
+    return each
 
-SYMBOLS = _symbols()
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, block, size = TaskContext.get().partitionId(), 0, 0
+    for b in batches:
+        out = []
+        for n in b.column("n_symbols").to_pylist():
+            if size and size + n > BLOCK:
+                block, size = block + 1, 0
+            size += n
+            out.append(part << 24 | block)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "block"])
 
-def grams(text: str) -> np.ndarray:
-    """The n-gram that ends at each character, as a 24-bit number; line feeds stand before the text."""
-    s = SYMBOLS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint32)
-    s = np.concatenate((np.ones(ORDER - 1, np.uint32), s))
-    out = s[ORDER - 1 :].copy()
-    for back in range(1, ORDER):
-        out |= s[ORDER - 1 - back : len(s) - back] << np.uint32(BITS * back)
-    return out
+
+def _texts(b: pa.RecordBatch, unpress) -> Iterator[str]:
+    for packed in b.column("packed").to_pylist():
+        yield unpress.decompress(packed).decode("utf-8", "surrogatepass")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    unpress = zstandard.ZstdDecompressor()
-    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the n-grams seen so far, as few as a partition has
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+    unpress, seen = zstandard.ZstdDecompressor(), _Counter()
+    for b in batches:
+        for text in _texts(b, unpress):
+            seen.add(text)
+    seen.merge()
+    for lo in range(0, len(seen.key), 100_000):
+        yield pa.RecordBatch.from_arrays([seen.grams(lo, lo + 100_000), pa.array(seen.n[lo : lo + 100_000])], ["gram", "c"])
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        u, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        return u, np.bincount(at, weights=np.concatenate([m for _, m in parts])).astype(np.int64)
 
-    for b in batches:
-        for packed in b.column(0).to_pylist():
-            c, m = np.unique(grams(unpress.decompress(packed).decode("utf-8", "surrogatepass")), return_counts=True)
-            held.append((c.astype(np.int64), m))
-            size += len(c)
-            if size > 300_000:
-                code, n = merged([(code, n), *held])
-                held, size = [], 0
-    code, n = merged([(code, n), *held]) if held else (code, n)
-    for lo in range(0, len(code), 100_000):
-        c = code[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n[lo : lo + 100_000], pa.int64())], ["gram", "c"])
-
-
-def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each block, of the part of it that a task reads."""
     import zstandard
 
-    press = zstandard.ZstdCompressor(level=1)
+    unpress, seen, block = zstandard.ZstdDecompressor(), _Counter(), None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        seen.merge()
+        for lo in range(0, len(seen.key), 100_000):
+            key = seen.key[lo : lo + 100_000].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key), seen.grams(lo, lo + 100_000)], ["block", "key", "gram"])
+
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t or b"") for t in b.column(1).to_pylist()], pa.binary())], ["id", "packed"])
+        for own, text in zip(b.column("block").to_pylist(), _texts(b, unpress), strict=True):
+            if own != block:
+                if block is not None:
+                    yield from out()
+                seen, block = _Counter(), own
+            seen.add(text)
+    if block is not None:
+        yield from out()
 
 
 def _discount(c: Column, d: list[float]) -> Column:
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def _discounts(counts: DataFrame) -> list[float]:
+def discounts(n: dict[int, int]) -> list[float]:
     """The three discounts of modified Kneser-Ney smoothing from the numbers of n-grams counted once to four times."""
-    n = [0.0] * 5
-    for r in counts.where("c <= 4").groupBy("c").count().collect():
-        n[r["c"]] = float(r["count"])
-    if not n[1] or not n[2]:
+    if not n.get(1) or not n.get(2):
         return [0.5, 1.0, 1.5]
     y = n[1] / (n[1] + 2 * n[2])
-    d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else float(k) / 2 for k in (1, 2, 3)]
+    d = [k - (k + 1) * y * n.get(k + 1, 0) / n[k] if n.get(k) else k / 2 for k in (1, 2, 3)]
     return [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True)]
 
 
-def train(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Log-probability of the last symbol of every possible n-gram, from all texts whose id is in ``trusted(doc_id)``.
+class Model:
+    """Probabilities of seen n-grams and back-off weights of contexts, a table of each for every order, sharded by n-gram and context."""
 
-    N-grams are summed per partition before the shuffle and then sharded by n-gram; contexts, continuation counts of lower orders and the
-    probabilities of each order meet by joins of these shards on the context and on the shortened n-gram. Only the seen n-grams' probabilities and the
-    contexts' back-off weights come to the driver: at most 2**24 and 2**18 numbers, whatever the corpus.
-    """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and length(text) > 0")
-    kind = texts.schema["id"].dataType.simpleString()
-    ids = trusted.select(F.col("doc_id").alias("id")).distinct()
-    chosen = texts.mapInArrow(_pressed, f"id {kind}, packed binary").join(ids.hint("merge"), "id", "left_semi").select("packed")
-    counts = scratch.write(chosen.mapInArrow(_counted, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")))
+    def __init__(self, seen: list[DataFrame], weights: list[DataFrame], none: float):
+        self.seen, self.weights, self.none = seen, weights, none
 
-    orders = [counts]
-    for k in range(ORDER - 1, 0, -1):  # in how many contexts the shorter n-gram continues
-        orders.append(orders[-1].groupBy(F.expr(f"gram & {(1 << (BITS * k)) - 1}").alias("gram")).agg(F.count("*").alias("c")))
-    lower, weights = None, []
-    for k, table in zip(range(1, ORDER + 1), reversed(orders), strict=True):
-        d = _discounts(table)
-        keyed = table.withColumn("context", F.shiftright("gram", BITS))
-        contexts = keyed.groupBy("context").agg(F.sum("c").alias("all"), F.sum(_discount(F.col("c"), d)).alias("freed")).select("context", "all", (F.col("freed") / F.col("all")).alias("weight"))
-        direct = keyed.join(contexts, "context").withColumn("direct", (F.col("c") - _discount(F.col("c"), d)) / F.col("all"))
-        if lower is None:
-            p = direct.select("gram", (F.col("direct") + F.col("weight") / (1 << BITS)).alias("p"))
-        else:
-            shorter = F.expr(f"gram & {(1 << (BITS * (k - 1))) - 1}")
-            p = direct.withColumn("short", shorter).join(lower.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short").select("gram", (F.col("direct") + F.col("weight") * F.col("below")).alias("p"))
-        lower = scratch.write(p)
-        weights.append((lower.toPandas(), contexts.select("context", "weight").toPandas()))
-    return tabulate(weights)
-
-
-def tabulate(weights: list) -> np.ndarray:
-    """The model as one table: seen n-grams have their probability, others back off with their context's weight."""
-    p = np.full(1, 1.0 / (1 << BITS))
-    for k, (seen, contexts) in enumerate(weights):
-        weight = np.ones(1 << (BITS * k), np.float32)
-        weight[contexts["context"].to_numpy()] = contexts["weight"].to_numpy()
-        below = np.full(1 << BITS, p[0]) if not k else p
-        # gram = context and symbol; its shorter form drops the first symbol
-        p = (weight[:, None] * np.tile(below.reshape(-1, 1 << BITS), (1 << BITS if k else 1, 1))).ravel().astype(np.float32)
-        p[seen["gram"].to_numpy()] = seen["p"].to_numpy()
-    return np.log(p, dtype=np.float32)
-
-
-def entropies(spark: SparkSession, docs: DataFrame, table: np.ndarray, text_col: str = "text") -> DataFrame:
-    """The rows without their text, with ``n_symbols`` and ``nats``, the negative log-probability of the whole text."""
-    shared = spark.sparkContext.broadcast(table.astype(np.float16))  # 32 MB for every corpus
-    others = [c for c in docs.columns if c not in (text_col, "n_symbols", "nats")]
+    def probabilities(self, asked: DataFrame, scratch: Scratch, k: int = ORDER) -> DataFrame:
+        """``(gram, p)`` of the distinct n-grams of length k in ``asked(gram)``: what was seen has its probability, the rest that of the shorter n-gram times the weight of its context."""
+        found = scratch.write(asked.join(self.seen[k - 1], "gram", "left"))
+        known, rest = found.where("p is not null"), found.where("p is null").select("gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), F.expr("substring(gram, 2)").alias("short"))
+        if k == 1:
+            return known.union(rest.select("gram", F.lit(self.none).alias("p")))
+        below = self.probabilities(rest.select(F.col("short").alias("gram")).distinct(), scratch, k - 1)
+        rest = rest.join(below.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short").join(self.weights[k - 1], "context", "left")
+        return known.union(rest.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p")))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value
-        for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            nats = [-float(logs[grams(t)].sum(dtype=np.float64)) if t else 0.0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*[b.column(i + 1) for i in range(len(others))], pa.array([len(t) for t in texts], pa.int64()), pa.array(nats, pa.float64())], [*others, "n_symbols", "nats"])
 
-    source = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in others])
-    return source.mapInArrow(each, source.drop("__text").schema.add("n_symbols", "long").add("nats", "double"))
+def train(texts: DataFrame, scratch: Scratch) -> Model | None:
+    """The model of all texts of ``texts(packed)``, nothing if they hold no character.
 
+    N-grams are counted per partition before the shuffle and then sharded; contexts, continuation counts of lower orders and the probabilities of each order meet by joins on the context and on the
+    shortened n-gram. All of these tables grow with the texts and stay distributed; only the counts of counts come to the driver.
+    """
+    counts = scratch.write(texts.mapInArrow(_counted, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c")))
+    orders = [counts]
+    for _ in range(ORDER - 1):  # in how many contexts the shorter n-gram continues
+        orders.append(scratch.write(orders[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))))
+    seen: list[DataFrame] = []
+    weights: list[DataFrame] = []
+    none = 0.0
+    for k, table in enumerate(reversed(orders), 1):
+        d = discounts({r["c"]: r["count"] for r in table.where("c <= 4").groupBy("c").count().collect()})
+        keyed = table.withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
+        contexts = scratch.write(keyed.groupBy("context").agg(F.sum("c").alias("all"), F.sum(_discount(F.col("c"), d)).alias("freed"), F.count("*").alias("kinds")).withColumn("weight", F.col("freed") / F.col("all")))
+        if k == 1:
+            only = contexts.first()
+            if only is None:
+                return None
+            none = only["weight"] / (only["kinds"] + 1)  # one more character stands for all that were never seen
+            p = table.select("gram", ((F.col("c") - _discount(F.col("c"), d)) / float(only["all"]) + none).alias("p"))
+        else:
+            direct = keyed.join(contexts, "context").withColumn("direct", (F.col("c") - _discount(F.col("c"), d)) / F.col("all")).withColumn("short", F.expr("substring(gram, 2)"))
+            p = direct.join(seen[-1].select(F.col("gram").alias("short"), F.col("p").alias("below")), "short").select("gram", (F.col("direct") + F.col("weight") * F.col("below")).alias("p"))
+        seen.append(scratch.write(p))
+        weights.append(contexts.select("context", "weight"))
+    return Model(seen, weights, none)
 
-def classify(spark: SparkSession, docs: DataFrame, trusted: DataFrame, quantile: float = 0.998, slack: float = 1.5, inertia: float = 60.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(id, lang, n_symbols, perplexity, score, threshold, keep)`` of every row of ``docs``.
 
-    The model counts n-grams of four characters, classed into 64 symbols, over all trusted texts, and every whole text gets its perplexity per character. ``score`` is the
+def entropies(docs: DataFrame, model: Model, scratch: Scratch, with_text: str | None = None) -> DataFrame:
+    """The rows of ``docs(packed, n_symbols, block, ...)`` with ``nats``, the negative log-probability of the whole text, and, if a name is given, the text.
+
+    Each block asks once for each of its distinct n-grams: the questions go to the shards of the model, and the answers back to the block, where documents add theirs up.
+    """
+    asked = scratch.write(docs.where("n_symbols > 0").select("block", "packed").mapInArrow(_asked, "block long, key long, gram string"))
+    p = model.probabilities(asked.select("gram").distinct(), scratch)
+    answers = asked.join(p, "gram").select("block", "key", F.log("p").alias("log"))
+    others = [c for c in docs.columns if c not in ("packed", "block")]
+    schema = T.StructType([docs.schema[c] for c in others]).add("nats", "double")
+    if with_text:
+        schema = schema.add(with_text, "string")
+
+    def each(rows: pa.Table, found: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
+        key = found.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        key, log = key[order], found.column("log").to_numpy()[order]
+        nats, texts = [], []
+        for b in rows.to_batches(max_chunksize=1000):
+            for text in _texts(b, unpress):
+                nats.append(-float(log[np.searchsorted(key, _keys(_points(text)))].sum()) if text else 0.0)
+                if with_text:
+                    texts.append(text)
+        out = [*[rows.column(c).combine_chunks() for c in others], pa.array(nats, pa.float64()), *([pa.array(texts, pa.string())] if with_text else [])]
+        return pa.Table.from_arrays(out, names=[f.name for f in schema])
+
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, schema)
+
+
+def classify(
+    spark: SparkSession, docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, inertia: float = 60.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(doc_id, lang, n_symbols, perplexity, score, threshold, keep)`` of every row of ``docs``, and the columns of ``carry`` as they are, the text among them if named there.
+
+    The model counts n-grams of five characters over all trusted texts, and every whole text gets its perplexity per character. ``score`` is the
     entropy with ``inertia`` further characters of the language's median, so that a few characters decide nothing. A quarter of the trusted documents, by a hash of
-    their ids, teach the model nothing and give the thresholds: a document is kept up to ``slack`` times the distance from the median to the ``quantile`` of their scores in its
-    language. Languages without such documents take the median and quantile over all; without any trusted text everything but empty texts stays.
+    their ids, teach the model nothing and give the thresholds: a document is kept up to the ``quantile`` of their scores in its language. A language with fewer than ``LEAST_JUDGED`` of them has
+    its own median, and the quantile of the distances from it over all languages; one without any takes median and quantile over all. Without trusted text everything but empty texts stays.
 
-    Null and empty texts have no perplexity and are not kept. A null language is a language of its own. Repeated rows and ids are kept as they are; an empty table
-    gives no rows. ``trusted`` has a column doc_id; null ids there mean nothing.
+    Null and empty texts have no perplexity and are not kept. A null language is a language of its own. Repeated rows and ids, null ids too, are kept as they are; an empty table
+    gives no rows. A null text that is carried comes back as an empty one. ``trusted`` has a column doc_id; null ids there mean nothing. A block of texts that share their look-ups has about ``BLOCK`` characters, or one longer text.
     """
     scratch = Scratch(spark, "perplexity")
-    trusted = trusted.select("doc_id").where("doc_id is not null").distinct()
-    judge = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    table = train(spark, docs, trusted.where(~judge), scratch, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), null_key(lang_col).alias("k"), F.col(text_col).alias("text"))
-    scored = scratch.write(entropies(spark, rows, table))
-    known = scored.join(trusted.where(judge), "doc_id", "left_semi").where("n_symbols > 0")
+    others = [c for c in carry if c != text_col]
+    named = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), null_key(lang_col).alias("k"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
+    schema = named.drop("__text").schema.add("packed", "binary").add("n_symbols", "long")
+    packed = named.mapInArrow(_pack(schema.names), schema)
+    # a null id meets nothing, and is dealt by the text so that many of them don't share a task
+    role = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0, 2).otherwise(1)
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct().select(F.col("doc_id").alias("__id"), F.lit(0).alias("__salt"), role.alias("role"))
+    packed = packed.withColumn("__salt", F.when(F.col("__id").isNull(), F.pmod(F.xxhash64("packed"), F.lit(4096)).cast("int")).otherwise(0))
+    rows = packed.join(ids.hint("merge"), ["__id", "__salt"], "left").drop("__salt").withColumn("role", F.coalesce("role", F.lit(0)))
+    rows = rows.select(*schema.names, "role")
+    rows = scratch.write(rows.mapInArrow(_blocks, T.StructType([*rows.schema]).add("block", "long")))
+
+    model = train(rows.where("role = 1 and n_symbols > 0").select("packed"), scratch)
+    text_out = "__text" if text_col in carry else None
+    if model is None:
+        model = Model([spark.createDataFrame([], "gram string, p double")] * ORDER, [spark.createDataFrame([], "context string, weight double")] * ORDER, 1.0)
+    scored = scratch.write(entropies(rows, model, scratch, text_out))
+
+    known = scored.where("role = 2 and n_symbols > 0").select("k", "nats", "n_symbols")
     rate = F.col("nats") / F.nullif(F.col("n_symbols"), F.lit(0))
     middle = known.groupBy("k").agg(F.percentile_approx(rate, 0.5, 10_000).alias("middle"))
+    far = F.col("inertia_score") - F.col("middle")
     smooth = (F.col("nats") + inertia * F.col("middle")) / (F.col("n_symbols") + inertia)
-    known = known.join(middle, "k").withColumn("score", smooth)
-    limit = F.col("middle") + slack * (F.col("high") - F.col("middle"))
-    limits = known.groupBy("k").agg(F.first("middle").alias("middle"), F.percentile_approx("score", quantile, 10_000).alias("high")).withColumn("limit", limit)
-    overall = known.agg(F.percentile_approx(rate, 0.5, 10_000).alias("middle"), F.percentile_approx("score", quantile, 10_000).alias("high")).withColumn("limit", limit).first()
-    limits = scratch.write(limits.drop("high"))
-    out = scored.join(F.broadcast(limits) if limits.count() <= 10_000 else limits, "k", "left")  # one row per language
-    out = out.withColumns({"middle": F.coalesce("middle", F.lit(overall["middle"]).cast("double")), "threshold": F.coalesce("limit", F.lit(overall["limit"]).cast("double"))})
+    known = scratch.write(known.join(middle, "k").withColumn("inertia_score", smooth))
+    at = lambda c: F.percentile_approx(c, quantile, 10_000)
+    overall = known.agg(F.percentile_approx(rate, 0.5, 10_000).alias("middle"), at(F.col("inertia_score")).alias("high"), at(far).alias("far")).first()
+    limits = known.groupBy("k").agg(F.first("middle").alias("middle"), at(F.col("inertia_score")).alias("high"), F.count("*").alias("judged"))
+    limits = scratch.write(limits.select("k", "middle", F.when(F.col("judged") >= LEAST_JUDGED, F.col("high")).otherwise(F.col("middle") + F.lit(overall["far"]).cast("double")).alias("limit")))
+    out = scored.join(F.broadcast(limits) if limits.limit(10_001).count() <= 10_000 else limits, "k", "left")  # one row per language
+    out = out.withColumns({"middle": F.coalesce("middle", F.lit(overall["middle"]).cast("double")), "threshold": F.coalesce("limit", F.lit(overall["high"]).cast("double"))})
     out = out.withColumn("score", F.when(F.col("n_symbols") > 0, F.coalesce(smooth, rate)))
     keep = (F.col("n_symbols") > 0) & (F.col("threshold").isNull() | (F.col("score") <= F.col("threshold")))
-    return out.select("doc_id", "lang", "n_symbols", F.exp(rate).alias("perplexity"), "score", "threshold", F.coalesce(keep, F.lit(False)).alias("keep"))
+    carried = [F.col("__text" if c == text_col else f"__c{others.index(c)}").alias(c) for c in carry if c not in ("doc_id", "lang")]
+    return out.select(F.col("__id").alias("doc_id"), F.col("__lang").alias("lang"), *carried, "n_symbols", F.exp(rate).alias("perplexity"), "score", "threshold", F.coalesce(keep, F.lit(False)).alias("keep"))
