@@ -21,7 +21,7 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: ``pattern`` over words joined by one space, tried where a text holds ``keyword``; higher priorities win."""
+    """A signature: ``pattern`` over words joined by one space, tried where a text holds one of the keywords, which ``|`` divides; higher priorities win."""
 
     label: str
     pattern: str
@@ -114,7 +114,7 @@ SENTENCES = (
     ("proprietary", r"may not be (?:reproduced|copied|redistributed|published)(?: in whole or in part| in any form)?(?: without)", "may not be", 55, 0.75),
     ("proprietary", r"trade secrets? of", "trade secret", 50, 0.6),
     ("copyright", r"copyright(?: c)?(?: (?:19|20)[0-9]{2})+", "copyright", 20, 0.5),
-    ("copyright", r"(?:19|20)[0-9]{2} (?:the )?[a-z0-9]+ (?:and contributors|authors)", "2", 10, 0.3),
+    ("copyright", r"(?:19|20)[0-9]{2} (?:the )?[a-z0-9]+ (?:and contributors|authors)", "contributors|authors", 10, 0.3),
     ("reserved", r"some rights reserved", "rights reserved", 30, 0.6),
     ("reserved", r"no part of this (?:work|book|publication|document) may be", "no part of this", 40, 0.7),
     ("no-warranty", r"(?:is )?provided as is without (?:any )?warrant(?:y|ies)", "provided as is", 15, 0.4),
@@ -128,18 +128,15 @@ def rules() -> list[Rule]:
     """Several hundred rules: each family in each kind of notice and for each version, the Creative Commons elements, and the sentences."""
     out = [Rule(*r) for r in SENTENCES]
     for label, name, keyword, versions in FAMILIES:
-        gates = keyword.split("|")
         for kind, pattern, priority, confidence in (
             ("spdx", rf"spdx license identifier (?:{label.replace('-', ' ')})(?: [0-9]+(?: [0-9]+)*)?(?: only| or later| clause)?", 100, 1.0),
             ("granted", rf"(?:licensed|released|distributed|available|published|provided|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?", 75, 0.97),
             ("subject", rf"(?:subject to|under|according to|governed by)(?: the)?(?: terms(?: and conditions)?(?: of)?)(?: the)? {name}(?: licen[cs]e)?", 70, 0.92),
             ("named", rf"(?:the )?{name} licen[cs]e", 40, 0.8),
         ):
-            for g in gates if kind != "spdx" else ("spdx",):
-                out.append(Rule(label, pattern, g, priority, confidence))
+            out.append(Rule(label, pattern, "spdx" if kind == "spdx" else keyword, priority, confidence))
         for v in versions:
-            for g in gates:
-                out.append(Rule(f"{label}-{v.replace(' ', '.')}", rf"(?:the )?{name}(?: licen[cs]e)?(?: version| v)? ?v?{v}(?: or (?:any )?later(?: version)?)?", g, 78, 0.95))
+            out.append(Rule(f"{label}-{v.replace(' ', '.')}", rf"(?:the )?{name}(?: licen[cs]e)?(?: version| v)? ?v?{v}(?: or (?:any )?later(?: version)?)?", keyword, 78, 0.95))
     for label, words, short in COMMONS:
         out += [
             Rule(label, rf"creative commons {words}(?: [1-4] 0)?(?: international| unported| generic)?(?: licen[cs]e)?", "creative commons", 72, 0.95),
@@ -149,6 +146,31 @@ def rules() -> list[Rule]:
     return out
 
 
+def uncontained(hits: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """The detections ``(start, end, rule)`` that stand in no better one, in n log n steps: better are higher priorities, then longer, earlier ones.
+
+    What contains a container that is better than it contains and beats all that stands in it, so that it doesn't matter whether the container itself stays. From left to right, longer ones first, a
+    tree over the ends holds the best rank of those that reach at least so far.
+    """
+    hits = sorted(hits, key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label))
+    ends = sorted({h[1] for h in hits}, reverse=True)
+    place = {e: i + 1 for i, e in enumerate(ends)}
+    best = [len(hits)] * (len(ends) + 1)
+    stays = []
+    for rank in sorted(range(len(hits)), key=lambda r: (hits[r][0], -hits[r][1], r)):
+        at, least = place[hits[rank][1]], len(hits)
+        i = at
+        while i:
+            least = min(least, best[i])
+            i &= i - 1
+        if least > rank:
+            stays.append(rank)
+        while at < len(best):
+            best[at] = min(best[at], rank)
+            at += at & -at
+    return [hits[r] for r in sorted(stays)]
+
+
 class Scanner:
     """The compiled rules behind one automaton of their keywords."""
 
@@ -159,7 +181,8 @@ class Scanner:
         self.compiled = [re.compile(rf"(?<![^ ]){r.pattern}(?![^ ])") for r in self.ruleset]
         by: dict[str, list[int]] = {}
         for i, r in enumerate(self.ruleset):
-            by.setdefault(r.keyword, []).append(i)
+            for k in r.keyword.split("|"):
+                by.setdefault(k, []).append(i)
         for phrase, _ in BASE:
             by.setdefault(phrase, [])
         self.by = by
@@ -186,19 +209,10 @@ class Scanner:
                     end = at + len(phrase)
                     if (at == 0 or joined[at - 1] == " ") and (end == len(joined) or joined[end] == " "):
                         out["base"].append((at, label))
-        tried, hits = set(), []
+        hits = []
         for i in sorted({i for k in held for i in self.by[k]}):
-            r = self.ruleset[i]
-            if (r.label, r.pattern) in tried:
-                continue
-            tried.add((r.label, r.pattern))
-            hits += [(m.start(), m.end(), r) for m in self.compiled[i].finditer(joined)]
-        # better rules first; a detection inside a kept one adds nothing
-        hits.sort(key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label))
-        kept: list = []
-        for h in hits:
-            if not any(k[0] <= h[0] and h[1] <= k[1] for k in kept):
-                kept.append(h)
+            hits += [(m.start(), m.end(), self.ruleset[i]) for m in self.compiled[i].finditer(joined)]
+        kept = uncontained(hits)
         if out["base"] or kept:
             starts = [0, *(n for n in accumulate(len(w) + 1 for w in words))]
             word_at = lambda c: bisect_right(starts, c) - 1
@@ -212,7 +226,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rulese
 
     Whole texts, lower-cased in A-Z, as words of digits, letters and non-ASCII characters. Base phrases count wherever their words stand consecutively; their labels always stay. Rules
     run only where the text holds their keyword; of overlapping detections one inside another of higher priority, or of the same and longer, is dropped.
-    ``score`` is the probability that some detection is right if they err independently, 1 with a base place. A null or empty text has 0 words and no labels; repeated rows and ids are kept.
+    ``score`` is the probability that some detection is right if they err independently, 1 with a base place. A null or empty text has 0 words and no labels; texts of any length are scanned whole, in about linear time. Repeated rows and ids and null ids are kept, other columns are
+    left out, whatever their names; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     detection = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("confidence", pa.float64())])
