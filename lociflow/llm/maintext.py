@@ -163,15 +163,13 @@ def _evidence(name: str, attributes: str, inherited: float) -> tuple[float, bool
     return min(inherited + own, 14.0), hidden
 
 
-def cost(b: Block) -> float:
-    """Evidence for content minus that for boilerplate: enclosing elements, length, sentences and links."""
+def local_cost(b: Block) -> float:
+    """The classifier's evidence for content minus that for boilerplate from the block's own text: length, sentences and links."""
+    linked = min(1.0, b.linked / len(b.text))
+    if b.evidence >= 8:  # inside an article short blocks are no worse than long ones
+        return -3.0 * linked
     n = len(b.text)
-    linked = min(1.0, b.linked / n)
-    e = b.evidence
-    if e < 8:  # inside an article every block counts, short ones too
-        e += min(n, 400) / 100 - 0.8
-        e += 0.8 if b.text[-1] in ".!?…。:;\"”»" and n > 40 else -0.2
-    return e - (6.0 if e < 8 else 3.0) * linked
+    return min(n, 400) / 100 - 0.8 + (0.8 if b.text[-1] in ".!?…。:;\"”»" and n > 40 else -0.2) - 6.0 * linked
 
 
 def min_cut(n: int, gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -255,16 +253,18 @@ def min_cut(n: int, gain: list[float], edges: list[tuple[int, int, float]]) -> l
     return [not reach[i] for i in range(n)]
 
 
-def labels(found: list[Block]) -> list[bool]:
-    """Content or not for each block. Neighbours are tied, the more so the deeper the element that holds both and the nearer they are to it."""
-    gain = [cost(b) for b in found]
-    if all(g >= 0 for g in gain):
-        return [True] * len(gain)
-    if all(g < 0 for g in gain):  # a page of short blocks: what nothing marks as boilerplate
-        return [b.evidence >= 0 and 2 * b.linked <= len(b.text) for b in found]
-    edges = []
+def graph(found: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal capacities and smoothness edges: the blocks first, then the elements that hold them.
+
+    Blocks have the classifier's costs of their own text. An element that names its kind, or stands in one that does, is tied to its terminal more strongly than all of its blocks could pull it away, and
+    each of its blocks to it by the evidence: whoever stands in an advert goes with it unless the text outweighs that. Neighbours are tied, the more so the nearer the element that holds both is to them.
+    """
+    gain, edges = [local_cost(b) for b in found], []
+    holders: dict[tuple[int, float], list[int]] = {}
     last: dict[int, int] = {}  # container -> last block directly in it
     for i, b in enumerate(found):
+        if b.evidence:
+            holders.setdefault((b.path[-1] if b.path else 0, b.evidence), []).append(i)
         if i:
             a = found[i - 1]
             shared = 0
@@ -278,7 +278,18 @@ def labels(found: list[Block]) -> list[bool]:
         if holder in last and last[holder] != i - 1:
             edges.append((last[holder], i, 0.6))
         last[holder] = i
-    return min_cut(len(found), gain, edges)
+    for (_, evidence), inside in holders.items():
+        edges += [(i, len(gain), abs(evidence)) for i in inside]
+        gain.append(evidence * (1 + len(inside)))
+    return gain, edges
+
+
+def labels(found: list[Block]) -> list[bool]:
+    """Content or not for each block, by the minimum cut of ``graph``; where nothing at all speaks for content, what nothing marks as boilerplate."""
+    if found and all(local_cost(b) + b.evidence < 0 for b in found):
+        return [b.evidence >= 0 and 2 * b.linked <= len(b.text) for b in found]
+    gain, edges = graph(found)
+    return min_cut(len(gain), gain, edges)[: len(found)]
 
 
 def main_text(html: str) -> str:
@@ -293,9 +304,10 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The rows of ``pages`` without their markup, with ``text`` and ``n_chars``.
 
     The whole html is cut into blocks at block elements; character references are decoded, white space inside a block becomes one space (a line break counts as white space),
-    and blocks of the main text are joined by line feeds. A classifier's evidence for each block (enclosing elements and their names, length, sentences, links) ties it to source or sink,
-    neighbours in the page and blocks of one container are tied to one another, and the minimum cut separates content from the rest. Boilerplate inside an article is cut out of it.
-    Null and empty pages give an empty text; pages without markup are one block. Repeated rows are kept; an empty table gives no rows.
+    and blocks of the main text are joined by line feeds. A classifier's costs of each block's own text (length, sentences, links) tie it to source or sink, elements whose kind or name speaks for
+    or against content are nodes tied to a terminal and to their blocks, neighbours in the page and blocks of one container are tied to one another, and the minimum cut separates content from the
+    rest. Boilerplate inside an article is cut out of it. Null and empty pages give an empty text; pages without markup are one block; pages of any length are taken whole. Repeated rows and other
+    columns are kept, but for those named text and n_chars, which are replaced; an empty table gives no rows.
     """
     others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
