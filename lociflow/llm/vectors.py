@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, null_key, partitions
 from .components import components
 
 #: Code bits, segments of the code, and rows of one partition of the segment tables.
 BITS, SEGMENTS, TABLE_ROWS = 64, 4, 400_000
 WIDTH = BITS // SEGMENTS
+#: Bits of a label's digest in the key of a bucket; labels that share them are told apart afterwards.
+LABEL_BITS = np.int64((1 << 45) - 1)
 
 
 def usable(col: str) -> F.Column:
@@ -30,14 +32,27 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def learn(sample: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: no bit of a cosine changes, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) if len(x) else x
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def learn(sample: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 5, most_mean: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
     """``(mean, projection)`` of iterative quantisation: principal directions, turned so that signs lose as little as possible.
 
-    With fewer dimensions than bits the remaining bits come from further random turns of the same directions.
+    With fewer dimensions than bits the remaining bits come from further random turns of the same directions. The mean is taken off only if it is short: then an angle hardly grows. From vectors that
+    share a direction nothing is taken, as near what they share even small angles would turn into any angle; their codes are alike, and what is alike is compared exactly.
     """
     rng = np.random.default_rng(seed)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = unit_rows(sample)
     mean = unit.mean(axis=0)
+    if np.linalg.norm(mean) > most_mean:
+        mean = np.zeros_like(mean)
     x = unit - mean
     d = x.shape[1]
     values, directions = np.linalg.eigh(x.T @ x / max(len(x), 1))
@@ -58,8 +73,7 @@ def learn(sample: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 5)
 
 def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
     """64-bit codes of the rows of x."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return np.packbits((unit - mean) @ projection >= 0, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits((unit_rows(x) - mean) @ projection >= 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _entries(mean: np.ndarray, projection: np.ndarray):
@@ -74,7 +88,7 @@ def _entries(mean: np.ndarray, projection: np.ndarray):
                 code = codes(matrix(s.column(2)), mean, projection)
                 for seg in range(SEGMENTS):
                     value = ((code >> np.uint64(WIDTH * seg)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
-                    key = (((label << 2 | seg) << WIDTH)[:, None] | (value[:, None] ^ flips)).ravel()
+                    key = ((((label & LABEL_BITS) << 2 | seg) << WIDTH)[:, None] | (value[:, None] ^ flips)).ravel()
                     n = len(flips)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(code.view(np.int64), n)), pa.array(np.repeat(cls, n))], ["key", "code", "cls"])
 
@@ -141,7 +155,7 @@ def _cosines(least: float):
         for b in batches:
             for lo in range(0, b.num_rows, 20_000):
                 s = b.slice(lo, 20_000)
-                x, y = matrix(s.column(2)), matrix(s.column(3))
+                x, y = scaled(matrix(s.column(2))), scaled(matrix(s.column(3)))
                 cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
                 keep = np.flatnonzero(cosine >= least)
                 yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(keep)), s.column(1).take(pa.array(keep)), pa.array(cosine[keep])], ["a", "b", "cosine"])
@@ -157,28 +171,31 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, least: float = 0.93, m
     always up to ``most_bits``. What meets is compared on the whole code, once, and then by cosine in double precision on the original vectors.
 
     Equal vectors of a label are one entry with a count: they are linked without being paired. Vectors that are null, empty, zero or hold null or non-finite components, null labels and null ids
-    link with nothing; neither do vectors of another length than most of the sample. Rows with equal ids are rows of their own. A component's id is the smallest vec_id in it. An empty table gives no rows.
+    link with nothing. Labels may be of any type. Vectors of different lengths have no cosine; each length is a table of its own with its own rotation. Rows with equal ids are rows of their own, other
+    columns are left out, whatever their names. A component's id is the smallest vec_id in it. An empty table gives no rows.
     """
     scratch = Scratch(spark, "vectors")
-    r = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-    r = r.withColumn("ok", usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    size = r.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    r = r.withColumn("ok", F.col("ok") & (F.size("v") == (size["d"] if size else 0)))
+    r = rows.select(F.col(id_col).alias("vec_id"), null_key(label_col).alias("label"), F.col(label_col).isNotNull().alias("labelled"), F.col(vec_col).cast("array<double>").alias("v"))
+    r = r.withColumn("ok", usable("v") & F.col("labelled") & F.col("vec_id").isNotNull())
     keyed = r.withColumns({"k1": F.xxhash64(F.lit(1), "label", "v"), "k2": F.xxhash64(F.lit(2), "label", "v")})
     own = keyed.select("vec_id", "ok", F.when(F.col("ok"), F.col("k1")).alias("k1"), F.when(F.col("ok"), F.col("k2")).alias("k2"))
-    if size is None:
-        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     classes = keyed.where("ok").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("vec_id").alias("least_id"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = scratch.write(classes.withColumn("cls", F.monotonically_increasing_id()))
-
-    learned = classes.orderBy(F.xxhash64("least_id"), "least_id").limit(sample).select("v").toPandas()["v"]
-    mean, projection = learn(np.array(learned.tolist(), np.float64))
-    entries = classes.select("cls", "label", "v").mapInArrow(_entries(mean, projection), "key long, code long, cls long")
+    classes = scratch.write(classes.withColumns({"cls": F.monotonically_increasing_id(), "d": F.size("v"), "lab": F.xxhash64("label")}))
     parts = partitions(spark, classes.count() * SEGMENTS * (WIDTH + 1), TABLE_ROWS)
-    pairs = entries.repartition(parts, "key").mapInArrow(_pairs(most_bits), "a long, b long")
-    body = classes.select("cls", "v")
-    both = pairs.join(body.select(F.col("cls").alias("a"), F.col("v").alias("va")), "a").join(body.select(F.col("cls").alias("b"), F.col("v").alias("vb")), "b")
-    links = scratch.write(both.select("a", "b", "va", "vb").mapInArrow(_cosines(least), "a long, b long, cosine double"))
+
+    links = None
+    for (d,) in classes.groupBy("d").count().where("count > 1").select("d").orderBy("d").collect():
+        own_length = classes.where(F.col("d") == d)
+        learned = own_length.orderBy(F.xxhash64("least_id"), "least_id").limit(sample).select("v").toPandas()["v"]
+        mean, projection = learn(np.array(learned.tolist(), np.float64))
+        entries = own_length.select("cls", "lab", "v").mapInArrow(_entries(mean, projection), "key long, code long, cls long")
+        pairs = entries.repartition(parts, "key").mapInArrow(_pairs(most_bits), "a long, b long")
+        body = own_length.select("cls", "label", "v")
+        both = pairs.join(body.select(F.col("cls").alias("a"), F.col("label").alias("la"), F.col("v").alias("va")), "a").join(body.select(F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("v").alias("vb")), "b")
+        found = scratch.write(both.where("la = lb").select("a", "b", "va", "vb").mapInArrow(_cosines(least), "a long, b long, cosine double"))
+        links = found if links is None else links.union(found)
+    if links is None:
+        links = spark.createDataFrame([], "a long, b long, cosine double")
 
     counts = classes.select(F.col("cls").alias("other"), F.col("n").alias("n_other"))
     ends = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select("b", "a"))
