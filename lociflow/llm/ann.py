@@ -18,8 +18,8 @@ K, REVERSE, ROUNDS, STARTS, BLOCK = 24, 24, 4, 4, 384
 POOL, FRONT, HOPS = 256, 64, 6
 #: Nodes of one task of the graph, and of one task of the start.
 NODES, START_NODES = 4_000, 20_000
-#: Nodes that all queries look at first, and how many of them a query walks from besides its own.
-ENTRIES, DOORS = 1024, 16
+#: Nodes that all queries look at first, how many of them a query keeps, so that none ends with fewer, and how many it walks from besides its own.
+ENTRIES, KEPT, DOORS = 1024, 64, 16
 
 
 def quantise(x: np.ndarray) -> np.ndarray:
@@ -201,12 +201,12 @@ def _expand(width: int):
     return each
 
 
-def _enter(width: int, shared):
+def _enter(width: int, shared, most: int):
     """The shared entry points that score best for each query."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, packed = shared.value
-        x, k = restore(packed, width), min(DOORS, len(node))
+        x, k = restore(packed, width), min(most, len(node))
         for b in batches:
             if not b.num_rows:
                 continue
@@ -218,27 +218,31 @@ def _enter(width: int, shared):
     return each
 
 
-def search(spark: SparkSession, graph: DataFrame, points: DataFrame, queries: DataFrame, width: int, scratch: Scratch, n: int) -> DataFrame:
+def search(spark: SparkSession, graph: DataFrame, points: DataFrame, queries: DataFrame, width: int, scratch: Scratch, n: int, least: int) -> DataFrame:
     """``(query, node)``: the pool of each query node after a greedy walk.
 
-    A query enters at its own node and at the best of ``ENTRIES`` nodes that all share. All queries walk at once: in a hop each expands its ``FRONT`` best nodes that it hasn't yet, by a join with the nodes' packed neighbourhoods, and keeps the best ``POOL``.
+    A query enters at its own node and at the best of ``ENTRIES`` nodes that all share, of which its pool keeps ``least`` at least: one that starts in a small part of the graph still finds as many.
+    All queries walk at once: in a hop each expands its ``FRONT`` best nodes that it hasn't yet, by a join with the nodes' packed neighbourhoods, and keeps the best ``POOL``. Walks end after ``HOPS``, or when none has a node left to expand.
     """
     parts = partitions(spark, n, NODES)
     hood = with_reverse(graph, 99).join(points.select(F.col("node").alias("to"), "packed"), "to").select("at", "to", "packed")
     hood = scratch.write(hood.repartition(parts, "at").mapInArrow(_pack, "node long, others binary, vectors binary"))
     asked = scratch.write(queries.join(points, queries.query == points.node).select("query", F.col("packed").alias("vector")))
-    doors = points.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(ENTRIES).collect()
+    kept = max(KEPT, 2 * least)
+    doors = points.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(max(ENTRIES, 4 * kept)).collect()
     shared = spark.sparkContext.broadcast((np.array([r["node"] for r in doors], np.int64), b"".join(bytes(r["packed"]) for r in doors)))
     own = asked.select(F.col("query").alias("node"), F.col("query").alias("other"), F.lit(float("inf")).cast("float").alias("score"))
-    pool = scratch.write(own.union(asked.select("query", "vector").mapInArrow(_enter(width, shared), EDGE)))
-    done = front = scratch.write(pool.select(F.col("node").alias("query"), "other").distinct())
+    pool = scratch.write(own.union(asked.select("query", "vector").mapInArrow(_enter(width, shared, kept), EDGE)))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "other"))
+    done = front = scratch.write(pool.withColumn("r", rank).where(F.col("r") <= DOORS + 1).select(F.col("node").alias("query"), "other").distinct())
     for _ in range(HOPS):
         seen = front.join(asked, "query").join(hood, F.col("other") == hood.node).select("query", "vector", "others", "vectors").mapInArrow(_expand(width), EDGE)
-        pool = scratch.write(pool.union(seen).repartition(parts, "node").mapInArrow(_merge(POOL + 1), EDGE))
+        pool = scratch.write(pool.union(seen).repartition(parts, "node").mapInArrow(_merge(max(POOL, kept) + 1), EDGE))
         left = pool.join(done.select(F.col("query").alias("node"), "other"), ["node", "other"], "left_anti")
         front = scratch.write(left.withColumn("r", rank).where(F.col("r") <= FRONT).select(F.col("node").alias("query"), "other"))
         done = done.union(front)
+        if not front.limit(1).count():
+            break
     return pool.where("node <> other").select(F.col("node").alias("query"), F.col("other").alias("node")).distinct()
 
 
@@ -250,20 +254,25 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nearest(spark: SparkSession, rows: DataFrame, is_query: F.Column, most: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each row that ``is_query`` marks, the ``most`` rows with the largest inner product that a greedy search finds.
+    """``(query_id, rank, vec_id, score)``: for each row that ``is_query`` marks, the ``most`` rows with the largest inner product that a greedy search finds, or all others if they are fewer.
 
     Graph and walk use one byte a component; the pool is scored in double precision on the original vectors. Equal vectors are one node of the graph, of which the smallest ids
-    answer; the query itself never does. Ties go to the smaller id. Vectors that are null, empty, zero or hold null or non-finite components, vectors of another length than most, and null ids take no part.
-    Rows with equal ids are rows of their own. An empty table gives no rows.
+    answer; the query itself never does. Ties go to the smaller id. Vectors that are null, empty, zero or hold null or non-finite components and null ids take no part. Vectors of different lengths have
+    no inner product; each length is a table of its own with its own graph. Rows with equal ids are rows of their own, other columns are left out, whatever their names. An empty table gives no rows.
     """
-    scratch = Scratch(spark, "ann")
-    schema = "query_id long, rank int, vec_id long, score double"
     r = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable("v") & F.col("vec_id").isNotNull())
-    size = r.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if size is None:
-        return spark.createDataFrame([], schema)
-    width = size["d"] + 4
-    r = r.where(F.size("v") == size["d"]).withColumns({"k1": F.xxhash64(F.lit(1), "v"), "k2": F.xxhash64(F.lit(2), "v")})
+    out = None
+    for (d,) in r.groupBy(F.size("v").alias("d")).agg(F.max("asks").alias("asks")).where("asks").select("d").orderBy("d").collect():
+        found = _nearest(spark, r.where(F.size("v") == d), d, most)
+        out = found if out is None else out.union(found)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _nearest(spark: SparkSession, r: DataFrame, d: int, most: int) -> DataFrame:
+    """``nearest`` of rows ``(vec_id, v, asks)`` of one length."""
+    scratch = Scratch(spark, "ann")
+    width = d + 4
+    r = r.withColumns({"k1": F.xxhash64(F.lit(1), "v"), "k2": F.xxhash64(F.lit(2), "v")})
     nodes = r.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.max("asks").alias("asks"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     nodes = scratch.write(nodes)
     n = nodes.count()
@@ -276,7 +285,7 @@ def nearest(spark: SparkSession, rows: DataFrame, is_query: F.Column, most: int
     points = scratch.write(nodes.select("node", "v").mapInArrow(packed, "node long, packed binary"))
     if n > 1:
         graph = build(spark, points, width, scratch, n)
-        pairs = search(spark, graph, points, nodes.where("asks").select(F.col("node").alias("query")), width, scratch, n)
+        pairs = search(spark, graph, points, nodes.where("asks").select(F.col("node").alias("query")), width, scratch, n, most)
     else:
         pairs = spark.createDataFrame([], "query long, node long")
     # a query's own copies are found without a walk

@@ -271,6 +271,32 @@ def test_licenses(spark, odd, none):
     assert len(licenses.rules()) > 200 and licenses.scan(odd).count() == len(odd_texts()) and licenses.scan(none).count() == 0
 
 
+def test_base_places_by_brute_force(spark):
+    r = random.Random(11)
+    bits = "cc by CC-BY general public license general public all rights reserved rights cc cc, by; é ccby License".split(" ")
+    texts = [(i, None if i == 3 else r.choice([" ", "  ", "-", ", "]).join(r.choice(bits) for _ in range(r.randint(0, 60)))) for i in range(200)]
+    got = {x["doc_id"]: x for x in licenses.scan(table(spark, texts)).collect()}
+    for i, t in texts:
+        words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+        places = [(at, label) for phrase, label in licenses.BASE for at in range(len(words)) if words[at : at + len(phrase.split())] == phrase.split()]
+        want = (len(words), len(places), min((a for a, _ in places), default=None), max((a for a, _ in places), default=None), ",".join(sorted({x for _, x in places})))
+        assert tuple(got[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == want
+        assert {x for _, x in places} <= set(got[i]["labels"].split(",")) and 0 <= got[i]["score"] <= 1
+
+
+def test_detections_within_better_ones_go():
+    r = random.Random(12)
+    better = lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label)
+    for _ in range(300):
+        hits = [(a, a + r.randint(1, 10), licenses.Rule(r.choice("abc"), "", "", r.choice([1, 2, 3]), 0.5)) for a in (r.randint(0, 20) for _ in range(r.randint(0, 25)))]
+        kept = []
+        for h in sorted(hits, key=better):
+            if not any(k[0] <= h[0] and h[1] <= k[1] for k in kept):
+                kept.append(h)
+        assert licenses.uncontained(hits) == kept
+    assert len({(x.label, x.pattern) for x in licenses.rules()}) == len(licenses.rules())
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies, please accept them all now.</div>
 <div class="post"><h1>Head</h1><p>A first paragraph of the story, long enough to be text as one may see.<p>Short.<ul><li>one<li>two</ul><div class="ad">Buy this now, it is the best thing ever made.</div>
 <p>Last &amp; <b>bold</b>&nbsp;one with <a href=1>a link</a>, and it goes on.</div><section id="comments"><p>I like this article very much, thank you for it.</p></section><footer>&copy; me</footer>"""
@@ -284,6 +310,15 @@ def test_main_text(spark):
     assert maintext.extract(pages.limit(0)).count() == 0
 
 
+def test_the_cut_overrules_the_text(spark):
+    found = maintext.blocks(PAGE)
+    own, kept = [maintext.local_cost(b) >= 0 for b in found], maintext.labels(found)
+    text = {b.text: (o, k) for b, o, k in zip(found, own, kept, strict=True)}
+    # short lines of the article stay, long sentences of a notice, an advert and a comment go
+    assert text["one"] == (False, True) and text["Short."] == (False, True)
+    assert text["We use cookies, please accept them all now."] == text["Buy this now, it is the best thing ever made."] == text["I like this article very much, thank you for it."] == (True, False)
+
+
 def test_minimum_cut_is_minimal():
     import itertools
 
