@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -11,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,19 +142,19 @@ def build(data: bytes):
 class Codec:
     """Encodes and decodes batches, and compares what it finds with the reference library."""
 
-    def __init__(self, data: bytes, threads: int = 2, most_words: int = 400_000):
+    def __init__(self, data: bytes, threads: int = 2, most_bytes: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
         from tokenizers import Tokenizer
 
         m = parse(data)
-        self.tokenizer, self.threads, self.most_words = build(data), threads, most_words
+        self.tokenizer, self.threads, self.most_bytes, self.held = build(data), threads, most_bytes, 0
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         # where words are independent, each distinct word goes through the pieces once
         self.apart = words_apart(m) and m.byte_fallback and not any(k == USER_DEFINED for _, _, k in m.pieces)
         self.words: dict[str, bytes] = {}
-        self.spelled: dict[str, bytes] = {}
+        self.misspelled: set[str] = set()  # words whose ids don't spell them
         self.differ: set[str] = set()  # words to which the reference library gives other ids
         self.pieces = Tokenizer(self.tokenizer.model)
         mark = MARK.encode()
@@ -161,19 +163,21 @@ class Codec:
         self.dummy = m.dummy_prefix
         self.identity, self.start = not m.charsmap and not m.squeeze, MARK if m.dummy_prefix else ""
 
-    def split(self, texts: list[str], check: bool) -> list[list[str]]:
-        """The words of each text, all of them known from here on: their ids packed, and what these spell.
+    def split(self, texts: list[str], check: bool) -> tuple[list[str], list[list[str]]]:
+        """The normalised texts and the words of each, all of them known from here on by their packed ids.
 
-        ``check`` compares the words that are new with the reference library.
+        ``check`` compares the words that are new with the reference library. What is known takes ``most_bytes`` by estimate, however long the words are, and starts anew beyond.
         """
-        if len(self.words) > self.most_words:
-            for held in (self.words, self.spelled, self.differ):
+        if self.held > self.most_bytes:
+            for held in (self.words, self.misspelled, self.differ):
                 held.clear()
+            self.held = 0
         known = self.words
         normal = (lambda t: self.start + t.replace(" ", MARK)) if self.identity else self.tokenizer.normalizer.normalize_str
-        split = []
+        whole, split = [], []
         for t in texts:
             n = normal(t) if t else ""
+            whole.append(n)
             if MARK * 2 in n or not n.startswith(MARK):
                 split.append(_WORDS.findall(n))
             else:
@@ -181,16 +185,17 @@ class Codec:
         missing = list({w for ws in split for w in ws if w not in known})
         own = [e.ids for e in self.pieces.encode_batch_fast(missing, add_special_tokens=False)]
         known.update(zip(missing, [array("i", x).tobytes() for x in own], strict=True))
-        self.spelled.update(zip(missing, [b"".join([self.bytes[i] for i in x]) for x in own], strict=True))
+        self.held += sum(240 + 2 * len(w) + 4 * len(x) for w, x in zip(missing, own, strict=True))
+        self.misspelled.update(w for w, x in zip(missing, own, strict=True) if b"".join([self.bytes[i] for i in x]) != w.replace(MARK, " ").encode())
         if check:
             theirs = self.original.encode([w[self.dummy :].replace(MARK, " ") for w in missing], num_threads=self.threads)
             self.differ.update(w for w, a, b in zip(missing, own, theirs, strict=True) if a != b)
-        return split
+        return whole, split
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if not self.apart:
             return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
-        return [array("i", b"".join([self.words[w] for w in ws])).tolist() for ws in self.split(texts, False)]
+        return [array("i", b"".join([self.words[w] for w in ws])).tolist() for ws in self.split(texts, False)[1]]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Pieces joined, bytes put together and markers turned into spaces; ids that stand for the unknown piece go through the library."""
@@ -218,38 +223,52 @@ class Codec:
                 same = [a == b for a, b in zip(own, theirs, strict=True)]
                 own = theirs
             return pa.array(own, pa.list_(pa.int32())), same, [a == b for a, b in zip(self.decode(own), texts, strict=True)]
-        split = self.split(texts, check)
+        whole, split = self.split(texts, check)
         packed = [b"".join([self.words[w] for w in ws]) for ws in split]
-        back = []
-        for t, ws in zip(texts, split, strict=True):
-            spelled = b"".join([self.spelled[w] for w in ws])
-            back.append((spelled[1:] if self.dummy and spelled[:1] == b" " else spelled) == t.encode())
+        back = [n.replace(MARK, " ")[self.dummy and n[:1] == MARK :] == t for t, n in zip(texts, whole, strict=True)]
         same = [True if check else None] * len(texts)
-        if self.differ:
-            for i, ws in enumerate(split):
-                if not self.differ.isdisjoint(ws):
-                    ids = self.original.encode(texts[i])
-                    same[i] = array("i", ids).tobytes() == packed[i]
-                    packed[i], back[i] = array("i", ids).tobytes(), self.decode([ids])[0] == texts[i]
+        for i, ws in enumerate(split if self.differ or self.misspelled else ()):
+            if not self.differ.isdisjoint(ws):
+                ids = self.original.encode(texts[i])
+                same[i] = array("i", ids).tobytes() == packed[i]
+                packed[i] = array("i", ids).tobytes()
+                back[i] = self.decode([ids])[0] == texts[i]
+            elif not self.misspelled.isdisjoint(ws):
+                back[i] = self.decode([array("i", packed[i]).tolist()])[0] == texts[i]
         offsets = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))), same, back
 
 
-def _slices(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+#: The codec of this Python worker, by model and threads; tasks that follow one another share it and what it knows.
+_CODECS: dict[tuple[str, int], Codec] = {}
+
+
+def codec_of(data: bytes, threads: int) -> Codec:
+    """The worker's codec for a model; another model takes its place, so that there is one at a time."""
+    key = (hashlib.sha256(data).hexdigest(), threads)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(data, threads)
+    return _CODECS[key]
+
+
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose first column, of strings or lists, holds about ``most`` bytes or values, or one row."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(0)) if pa.types.is_string(batch.column(0).type) else pc.list_value_length(batch.column(0)), 0).to_pylist()
     lo = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield lo, i
+    for i, n in enumerate(lengths):
+        if size and size + n > most:
+            yield batch.slice(lo, i - lo)
             lo, size = i, 0
-        size += len(t)
-    if texts:
-        yield lo, len(texts)
+        size += n
+    if lengths:
+        yield batch.slice(lo)
 
 
 def encode(spark: SparkSession, docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", verify: bool = True, threads: int = 2) -> DataFrame:
     """The rows of ``docs`` with ``ids array<int>``, ``parity boolean`` and ``round_trip boolean``.
 
-    Whole texts are encoded in batches on several threads. ``parity``: the reference library gives the same ids, to every word where words are independent (null if not verified); where it doesn't, its ids are
+    Whole texts are encoded in batches of about a megabyte, or of one longer text, on several threads. ``parity``: the reference library gives the same ids, to every word where words are independent (null if not verified); where it doesn't, its ids are
     taken. ``round_trip``: decoding gives the text back. Null and empty texts have no ids and agree. The model is read once on the driver, is at most ``MOST_BYTES`` and goes to the executors as a whole.
     Columns of ``docs`` with the names of the new ones are replaced. Repeated rows are kept; an empty table gives no rows.
     """
@@ -261,14 +280,11 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text_col: str
     others = [c for c in docs.columns if c not in (out_col, "parity", "round_trip")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, threads)
+        codec = codec_of(shared.value, threads)
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            for lo, hi in _slices(texts):
-                part = texts[lo:hi]
-                ids, same, back = codec.coded(part, verify)
-                kept = [b.column(i + 1).slice(lo, hi - lo) for i in range(len(others))]
-                yield pa.RecordBatch.from_arrays([*kept, ids, pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], [*others, out_col, "parity", "round_trip"])
+            for part in _slices(b):
+                ids, same, back = codec.coded([t or "" for t in part.column(0).to_pylist()], verify)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], [*others, out_col, "parity", "round_trip"])
 
     source = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in others])
     schema = source.drop("__text").schema.add(out_col, T.ArrayType(T.IntegerType())).add("parity", "boolean").add("round_trip", "boolean")
@@ -282,11 +298,12 @@ def decode(spark: SparkSession, rows: DataFrame, model_path: str, ids_col: str =
     others = [c for c in rows.columns if c != out_col]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, threads)
+        codec = codec_of(shared.value, threads)
         for b in batches:
-            ids = b.column(0).to_pylist()
-            texts = codec.decode([x or [] for x in ids])
-            yield pa.RecordBatch.from_arrays([*[b.column(i + 1) for i in range(len(others))], pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string())], [*others, out_col])
+            for part in _slices(b):
+                ids = part.column(0).to_pylist()
+                texts = codec.decode([x or [] for x in ids])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string())], [*others, out_col])
 
     source = rows.select(F.col(ids_col).alias("__ids"), *[F.col(f"`{c}`") for c in others])
     return source.mapInArrow(each, source.drop("__ids").schema.add(out_col, "string"))
