@@ -22,6 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Setting under which Spark removes the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Intermediate tables written as Parquet in the shared folder.
 
@@ -31,22 +35,37 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, f"{shared_folder(spark)}/lociflow/{name}-{uuid.uuid4().hex}", 0
+        self.paths: set[str] = set()
 
     def write(self, df: DataFrame) -> DataFrame:
-        """Evaluate ``df`` into a new table and return a DataFrame that reads it."""
+        """Evaluate ``df`` into a new table and return a DataFrame that reads it; the shuffle files behind it go."""
         self.made += 1
         path, schema = f"{self.root}/{self.made}", df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete the files of tables that this object wrote."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete the files of all tables that this object wrote, but for those that are named."""
+        for path in self.paths - {t._scratch_path for t in tables}:
+            self._delete(path)
+
+    def _delete(self, name: str) -> None:
+        self.paths.discard(name)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession, rows: int, each: int) -> int:

@@ -135,5 +135,6 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (3, 1,
         new = scratch.write(chosen.join(small(alone), "k", "left").withColumn("more", F.when(hit, 1 - F.col("more")).otherwise(F.col("more"))).drop("flip_u", "flip_size"))
         scratch.drop(chosen)
         chosen = new
+    scratch.drop_all_but(chosen)
     copies = F.col("whole") + F.col("more")
     return chosen.select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

@@ -229,6 +229,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         scratch.drop(texts)
         verified, true = (pairs, links) if verified is None else (verified.union(pairs), true.union(links))
         roots = scratch.write(components(true, scratch))
+        if order is None:
+            scratch.drop_all_but(keys, roots)
     named = keys.join(roots, keys.rep == roots.node, "left").select("t1", "t2", F.col("least_id").alias("rep"), F.coalesce("root", "rep").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "t1", "t2")).alias("first"))
     found = named.join(first, "root")

@@ -467,7 +467,9 @@ def _removals(spark: SparkSession, keyed: DataFrame, length: int, gram: int, hot
         ranges = ranges.union(windows.join(repeated, ["d1", "d2"], "left_semi").select("id", "lo", (F.col("lo") + length).alias("hi")))
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     done = holders.select("id", "t1", "t2", "packed").join(ranges, "id").select("t1", "t2", "packed", "ranges")
-    return scratch.write(done.mapInArrow(_unpressed(_cut(digest)), f"t1 long, t2 long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"))
+    out = scratch.write(done.mapInArrow(_unpressed(_cut(digest)), f"t1 long, t2 long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"))
+    scratch.drop_all_but(out)
+    return out
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, text_col: str = "text", gram: int = 40, hot: int = HOT) -> DataFrame:
