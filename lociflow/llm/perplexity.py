@@ -16,7 +16,9 @@ from .common import Scratch, null_key
 #: Characters of an n-gram. The alphabet is all of Unicode: no character is put into a class, and n-grams are as many as the texts have.
 ORDER = 5
 #: Characters of the texts that share their look-ups, and characters that are sorted at once.
-BLOCK, CHUNK = 32_000_000, 2_000_000
+BLOCK, CHUNK = 8_000_000, 400_000
+#: Trusted ids up to which they are broadcast; more are joined by shuffling.
+MOST_IDS = 1_000_000
 #: Judged documents from which a language has a quantile of its own.
 LEAST_JUDGED = 500
 
@@ -125,8 +127,8 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> Iterator[pa.RecordBatch]:
         seen.merge()
         for lo in range(0, len(seen.key), 100_000):
-            key = seen.key[lo : lo + 100_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key), seen.grams(lo, lo + 100_000)], ["block", "key", "gram"])
+            gram = seen.grams(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), gram], ["block", "gram"])
 
     for b in batches:
         for own, text in zip(b.column("block").to_pylist(), _texts(b, unpress), strict=True):
@@ -158,15 +160,19 @@ class Model:
     def __init__(self, seen: list[DataFrame], weights: list[DataFrame], none: float):
         self.seen, self.weights, self.none = seen, weights, none
 
-    def probabilities(self, asked: DataFrame, scratch: Scratch, k: int = ORDER) -> DataFrame:
-        """``(gram, p)`` of the distinct n-grams of length k in ``asked(gram)``: what was seen has its probability, the rest that of the shorter n-gram times the weight of its context."""
-        found = scratch.write(asked.join(self.seen[k - 1], "gram", "left"))
-        known, rest = found.where("p is not null"), found.where("p is null").select("gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), F.expr("substring(gram, 2)").alias("short"))
+    def unseen(self, grams: DataFrame, k: int) -> DataFrame:
+        """``(gram, p)`` of distinct n-grams of length k that were never seen: the probability of the shorter n-gram times the weight of the context."""
         if k == 1:
-            return known.union(rest.select("gram", F.lit(self.none).alias("p")))
-        below = self.probabilities(rest.select(F.col("short").alias("gram")).distinct(), scratch, k - 1)
+            return grams.select("gram", F.lit(self.none).alias("p"))
+        rest = grams.select("gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), F.expr("substring(gram, 2)").alias("short"))
+        below = self.probabilities(rest.select(F.col("short").alias("gram")).distinct(), k - 1)
         rest = rest.join(below.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short").join(self.weights[k - 1], "context", "left")
-        return known.union(rest.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p")))
+        return rest.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p"))
+
+    def probabilities(self, grams: DataFrame, k: int) -> DataFrame:
+        """``(gram, p)`` of distinct n-grams of length k."""
+        found = grams.join(self.seen[k - 1], "gram", "left")
+        return found.where("p is not null").union(self.unseen(found.where("p is null").select("gram"), k))
 
 
 def train(texts: DataFrame, scratch: Scratch) -> Model | None:
@@ -197,6 +203,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model | None:
             p = direct.join(seen[-1].select(F.col("gram").alias("short"), F.col("p").alias("below")), "short").select("gram", (F.col("direct") + F.col("weight") * F.col("below")).alias("p"))
         seen.append(scratch.write(p))
         weights.append(contexts.select("context", "weight"))
+    scratch.drop(*orders)
     return Model(seen, weights, none)
 
 
@@ -205,9 +212,11 @@ def entropies(docs: DataFrame, model: Model, scratch: Scratch, with_text: str |
 
     Each block asks once for each of its distinct n-grams: the questions go to the shards of the model, and the answers back to the block, where documents add theirs up.
     """
-    asked = scratch.write(docs.where("n_symbols > 0").select("block", "packed").mapInArrow(_asked, "block long, key long, gram string"))
-    p = model.probabilities(asked.select("gram").distinct(), scratch)
-    answers = asked.join(p, "gram").select("block", "key", F.log("p").alias("log"))
+    asked = docs.where("n_symbols > 0").select("block", "packed").mapInArrow(_asked, "block long, gram string")
+    log = F.log("p").alias("log")
+    found = scratch.write(asked.join(model.seen[-1], "gram", "left").select("gram", "block", log))
+    never = scratch.write(model.unseen(found.where("log is null").select("gram").distinct(), ORDER).select("gram", log))
+    answers = found.where("log is not null").select("block", "gram", "log").union(found.where("log is null").select("block", "gram").join(never, "gram").select("block", "gram", "log"))
     others = [c for c in docs.columns if c not in ("packed", "block")]
     schema = T.StructType([docs.schema[c] for c in others]).add("nats", "double")
     if with_text:
@@ -217,17 +226,18 @@ def entropies(docs: DataFrame, model: Model, scratch: Scratch, with_text: str |
         import zstandard
 
         unpress = zstandard.ZstdDecompressor()
-        key = found.column("key").to_numpy().view(np.uint64)
+        window = np.frombuffer("".join(found.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        key = _keys(window)[::ORDER] if len(window) else np.zeros(0, np.uint64)
         order = np.argsort(key)
         key, log = key[order], found.column("log").to_numpy()[order]
-        nats, texts = [], []
-        for b in rows.to_batches(max_chunksize=1000):
-            for text in _texts(b, unpress):
-                nats.append(-float(log[np.searchsorted(key, _keys(_points(text)))].sum()) if text else 0.0)
-                if with_text:
-                    texts.append(text)
-        out = [*[rows.column(c).combine_chunks() for c in others], pa.array(nats, pa.float64()), *([pa.array(texts, pa.string())] if with_text else [])]
-        return pa.Table.from_arrays(out, names=[f.name for f in schema])
+        del window
+        done = []
+        for b in rows.select([*others, "packed"]).to_batches(max_chunksize=200):
+            texts = list(_texts(b, unpress))
+            nats = [-float(log[np.searchsorted(key, _keys(_points(t)))].sum()) if t else 0.0 for t in texts]
+            columns = [*b.columns[:-1], pa.array(nats, pa.float64()), *([pa.array(texts, pa.string())] if with_text else [])]
+            done.append(pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema]))
+        return pa.Table.from_batches(done) if done else pa.table({f.name: [] for f in schema})
 
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, schema)
 
@@ -250,19 +260,24 @@ def classify(
     named = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), null_key(lang_col).alias("k"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
     schema = named.drop("__text").schema.add("packed", "binary").add("n_symbols", "long")
     packed = named.mapInArrow(_pack(schema.names), schema)
-    # a null id meets nothing, and is dealt by the text so that many of them don't share a task
     role = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0, 2).otherwise(1)
     ids = trusted.where("doc_id is not null").select("doc_id").distinct().select(F.col("doc_id").alias("__id"), F.lit(0).alias("__salt"), role.alias("role"))
-    packed = packed.withColumn("__salt", F.when(F.col("__id").isNull(), F.pmod(F.xxhash64("packed"), F.lit(4096)).cast("int")).otherwise(0))
-    rows = packed.join(ids.hint("merge"), ["__id", "__salt"], "left").drop("__salt").withColumn("role", F.coalesce("role", F.lit(0)))
-    rows = rows.select(*schema.names, "role")
+    if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
+        rows = packed.join(F.broadcast(ids.drop("__salt")), "__id", "left")
+    else:
+        # a null id meets nothing, and is dealt by the text so that many of them don't share a task
+        packed = packed.withColumn("__salt", F.when(F.col("__id").isNull(), F.pmod(F.xxhash64("packed"), F.lit(4096)).cast("int")).otherwise(0))
+        rows = packed.join(ids.hint("merge"), ["__id", "__salt"], "left")
+    rows = rows.withColumn("role", F.coalesce("role", F.lit(0))).select(*schema.names, "role")
     rows = scratch.write(rows.mapInArrow(_blocks, T.StructType([*rows.schema]).add("block", "long")))
 
     model = train(rows.where("role = 1 and n_symbols > 0").select("packed"), scratch)
     text_out = "__text" if text_col in carry else None
     if model is None:
         model = Model([spark.createDataFrame([], "gram string, p double")] * ORDER, [spark.createDataFrame([], "context string, weight double")] * ORDER, 1.0)
-    scored = scratch.write(entropies(rows, model, scratch, text_out))
+    scored = entropies(rows, model, scratch, text_out)
+    scored = scratch.write(scored)
+    scratch.drop_all_but(scored)
 
     known = scored.where("role = 2 and n_symbols > 0").select("k", "nats", "n_symbols")
     rate = F.col("nats") / F.nullif(F.col("n_symbols"), F.lit(0))
