@@ -28,12 +28,22 @@ def count_letters(seq: str | Column, letters: str) -> Column:
     return (F.length(c) - F.length(F.translate(c, letters, ""))).cast("int")
 
 
-def count_unknown(seq: str, mask: tuple[int, ...] = ()) -> Column:
+def masked(reference: str, mask: tuple[int, ...] = (), by: str = ".") -> str:
+    """The reference with another character at masked positions: one string, however many these are."""
+    hidden = set(mask)
+    return "".join(by if i in hidden else c for i, c in enumerate(check_reference(reference))) if hidden else check_reference(reference)
+
+
+def _differences(seq: Column, reference: str, mask: tuple[int, ...]) -> Column:
+    """Array of ``(base, ref, pos)`` where a sequence differs from the reference outside the mask; both are split once, and the plan holds the reference as one literal."""
+    letters = F.split(F.translate(F.upper(seq), "-", "N"), "")
+    cells = F.arrays_zip(letters.alias("base"), F.split(F.lit(masked(reference, mask)), "").alias("ref"), F.sequence(F.lit(0), F.lit(len(reference) - 1)).alias("pos"))
+    return F.filter(cells, lambda c: (c["base"] != c["ref"]) & (c["ref"] != "."))
+
+
+def count_unknown(seq: str, reference: str, mask: tuple[int, ...] = ()) -> Column:
     """Positions outside the mask that hold no called base."""
-    outside = count_letters(seq, BASES)
-    masked = [F.when(F.substring(seq, p + 1, 1).isin(*BASES), 1).otherwise(0) for p in mask]
-    called = outside - sum(masked, F.lit(0))
-    return F.length(seq) - len(mask) - called
+    return F.size(F.filter(_differences(F.col(seq), reference, mask), lambda c: ~c["base"].isin(*BASES)))
 
 
 def composition(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -51,12 +61,8 @@ def positions(df: DataFrame, reference: str, mask: tuple[int, ...] = (), seq: st
 
     The comparison runs inside the row, so that only differences are exploded.
     """
-    ref = check_reference(reference)
-    s = F.translate(F.upper(F.col(seq)), "-", "N")
-    letters = F.split(s, "")
-    cells = F.arrays_zip(letters.alias("base"), F.array(*map(F.lit, ref)).alias("ref"), F.sequence(F.lit(0), F.lit(len(ref) - 1)).alias("pos"))
-    differ = F.filter(cells, lambda c: (c["base"] != c["ref"]) & (~c["pos"].isin(*mask) if mask else F.lit(True)))
-    return df.where(F.length(seq) == len(ref)).select("sample_id", F.explode(differ).alias("c")).select("sample_id", "c.pos", "c.base", "c.ref")
+    rows = df.where(F.length(seq) == len(reference)).select("sample_id", F.explode(_differences(F.col(seq), reference, mask)).alias("c"))
+    return rows.select("sample_id", "c.pos", "c.base", "c.ref")
 
 
 def compress(df: DataFrame, reference: str, mask: tuple[int, ...] = (), max_unknown: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -64,8 +70,7 @@ def compress(df: DataFrame, reference: str, mask: tuple[int, ...] = (), max_unkn
 
     Samples with more than ``max_unknown`` unknown positions outside the mask are invalid and have no rows in the other two.
     """
-    seq = F.translate(F.upper(F.col("seq")), "-", "N")
-    flagged = df.select("sample_id", seq.alias("seq")).withColumn("invalid", F.lit(0) if max_unknown is None else (count_unknown("seq", mask) > max_unknown).cast("int"))
+    flagged = df.select("sample_id", "seq").withColumn("invalid", F.lit(0) if max_unknown is None else (count_unknown("seq", reference, mask) > max_unknown).cast("int"))
     differences = positions(flagged.where("invalid = 0"), reference, mask)
     called = F.col("base").isin(*BASES)
     variants = differences.where(called).select("sample_id", "pos", "base")
@@ -77,7 +82,7 @@ def uncompress(samples: DataFrame, variants: DataFrame, unknowns: DataFrame, ref
     """``(sample_id, seq)`` of valid samples: the reference with their differences; masked positions become N."""
     own = variants.select("sample_id", "pos", "base").union(unknowns.select("sample_id", "pos", F.col("code")))
     changes = own.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "base"))).alias("changes"))
-    start = F.array(*[F.lit("N" if i in mask else c) for i, c in enumerate(reference)])
+    start = F.split(F.lit(masked(reference, mask, "N")), "")
     fill = F.transform(start, lambda c, i: F.coalesce(F.try_element_at("changes", i), c))
     rows = samples.where("invalid = 0").select("sample_id").join(changes, "sample_id", "left")
     rows = rows.withColumn("changes", F.coalesce("changes", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))))
@@ -146,3 +151,36 @@ RCS = "A array<int>, C array<int>, G array<int>, T array<int>, N array<int>, U a
 def from_json(rows: DataFrame) -> DataFrame:
     """The parsed compressed sequences."""
     return rows.select("sample_id", F.from_json("rcs", RCS).alias("rcs")).select("sample_id", "rcs.*")
+
+
+def set_stats(a: str, b: str) -> tuple[Column, Column, Column]:
+    """Sizes of two sets and of their union."""
+    return F.size(F.array_distinct(a)).cast("long"), F.size(F.array_distinct(b)).cast("long"), F.size(F.array_union(a, b)).cast("long")
+
+
+def sparse_vectors(variants: DataFrame, unknowns: DataFrame, length: int) -> DataFrame:
+    """``(sample_id, alleles, missing)``: sorted integers of a sample's variants, and its unknown positions."""
+    v = variants.groupBy("sample_id").agg(F.array_sort(F.collect_set(variant_id(F.col("base"), F.col("pos"), length))).alias("alleles"))
+    u = unknowns.groupBy("sample_id").agg(F.array_sort(F.collect_set("pos")).alias("missing"))
+    return v.join(u, "sample_id", "full_outer").select("sample_id", *[F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("alleles", "missing")])
+
+
+def position_vector(alleles: DataFrame, length: int) -> DataFrame:
+    """``(pos, n)``: counts of ``alleles(variant_id, n)`` added up over the four bases of each position."""
+    return alleles.groupBy(F.pmod("variant_id", F.lit(length)).cast("int").alias("pos")).agg(F.sum("n").alias("n"))
+
+
+def link_weight(dist: Column) -> Column:
+    """Weight of a link in a network: 1 / (1 + distance)."""
+    return 1 / (1 + dist)
+
+
+def iupac_bases(code: Column) -> Column:
+    """The bases that a letter stands for, in order; null for what is none."""
+    table = F.create_map(*[F.lit(x) for k, v in ({b: b for b in BASES} | IUPAC).items() for x in (k, v)])
+    return F.try_element_at(table, code)
+
+
+def column_name(pos: Column, base: Column) -> Column:
+    """Name of an allele's column: ``pos:base``."""
+    return F.concat_ws(":", pos.cast("string"), base)

@@ -26,26 +26,72 @@ def profiles(ids: DataFrame, variants: DataFrame, unknowns: DataFrame) -> DataFr
     return rows.join(heads, ["k1", "k2"]).select("sample_id", "profile", "n_variants")
 
 
-def half_matrix(ids: DataFrame, variants: DataFrame, unknowns: DataFrame, ceiling: int) -> DataFrame:
-    """``(a, b, dist)`` with a < b for all pairs of ids at most ``ceiling`` apart, for distinct profiles.
+#: Positions at which most samples differ from the reference, up to which they are sent to every task.
+MOST_TURNED = 100_000
 
-    The distance is the number of positions at which both samples have a called base and these differ. With V the called differences from the reference and U the unknown
+
+def turned(ids: DataFrame, variants: DataFrame, unknowns: DataFrame) -> DataFrame:
+    """Variants against the commonest base of each position instead of the reference's, which leaves all distances as they are.
+
+    A base that most samples carry would make pairs of all of them. Where it isn't the reference's, its carriers lose their row, and those that show the reference get one: the positions among these that a
+    sample has no row for, found within its own row.
+    """
+    spark = ids.sparkSession
+    n = ids.count()
+    unknown = unknowns.groupBy("pos").agg(F.count_distinct("sample_id").alias("u"))
+    counts = variants.groupBy("pos", "base").agg(F.count("*").alias("n")).groupBy("pos").agg(F.max(F.struct("n", "base")).alias("top"), F.sum("n").alias("all"))
+    counts = counts.where(F.col("top.n") > n / 3).join(unknown, "pos", "left").where(F.col("top.n") > n - F.col("all") - F.coalesce("u", F.lit(0)))
+    flip = Scratch(spark, "turned").write(counts.select("pos", F.col("top.base").alias("common")))
+    n_flip = flip.limit(MOST_TURNED + 1).count()
+    if not 0 < n_flip <= MOST_TURNED:
+        return variants.select("sample_id", "pos", "base")
+    small = F.broadcast(flip)
+    stay = variants.join(small, "pos", "left").where("common is null or base <> common").select("sample_id", "pos", "base")
+    own = variants.select("sample_id", "pos").union(unknowns.select("sample_id", "pos")).join(small, "pos", "left_semi").groupBy("sample_id").agg(F.collect_set("pos").alias("own"))
+    every = flip.agg(F.collect_list("pos").alias("every"))
+    gain = ids.select("sample_id").join(own, "sample_id", "left").join(F.broadcast(every)).select("sample_id", F.explode(F.array_except("every", F.coalesce("own", F.array().cast("array<int>")))).alias("pos"))
+    return stay.union(gain.select("sample_id", "pos", F.lit("=").alias("base")))  # = stands for the reference's base
+
+
+def half_matrix(ids: DataFrame, variants: DataFrame, unknowns: DataFrame, ceiling: int, new: DataFrame | None = None) -> DataFrame:
+    """``(a, b, dist)`` with a < b for all pairs of ids at most ``ceiling`` apart, for distinct profiles; of ``new(sample_id)`` with each other and with all, if they are given.
+
+    The distance is the number of positions at which both samples have a called base and these differ. With V the called differences from the commonest bases and U the unknown
     positions it equals |Va| + |Vb| less, for each position that both vary at, 2 (same base) or 1 (different bases), and less 1 for each variant at a position unknown in the other. Both corrections are equi-joins on the position,
-    summed per pair. Pairs that meet in neither have |Va| + |Vb| and come from an equi-join on that sum.
+    summed per pair. Pairs that meet in neither have |Va| + |Vb| and come from an equi-join on that sum. With new ids no pair of two others is made at any step.
     """
-    v = variants.join(ids.select("sample_id"), "sample_id", "left_semi")
+    scratch = Scratch(ids.sparkSession, "met")
     u = unknowns.join(ids.select("sample_id"), "sample_id", "left_semi").select("sample_id", "pos").distinct()
+    v = scratch.write(turned(ids, variants.join(ids.select("sample_id"), "sample_id", "left_semi"), u))
     size = ids.select("sample_id").join(v.groupBy("sample_id").agg(F.count("*").cast("int").alias("n")), "sample_id", "left").select("sample_id", F.coalesce("n", F.lit(0)).alias("n"))
-    va, vb, ub = (x.alias(n) for x, n in ((v, "a"), (v, "b"), (u, "u")))
-    vv = va.join(vb, F.expr("a.pos = b.pos and a.sample_id < b.sample_id")).select(F.col("a.sample_id").alias("a"), F.col("b.sample_id").alias("b"), F.expr("if(a.base = b.base, 2, 1)").alias("less"))
-    vu = va.join(ub, F.expr("a.pos = u.pos and a.sample_id <> u.sample_id")).select(F.least("a.sample_id", "u.sample_id").alias("a"), F.greatest("a.sample_id", "u.sample_id").alias("b"), F.lit(1).alias("less"))
-    met = vv.union(vu).groupBy("a", "b").agg(F.sum("less").cast("int").alias("less"))
-    met = Scratch(ids.sparkSession, "met").write(met)
+    if new is None:
+        v1, v2, u1, order = v, v, u, "a.sample_id < b.sample_id"
+        meets = [(v, u)]
+        n1 = size
+    else:
+        fresh = new.select("sample_id").distinct().withColumn("fresh", F.lit(True))
+        mark = lambda df: df.join(fresh, "sample_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+        v2, n2 = mark(v), mark(size)
+        v1, u1, n1 = v2.where("fresh"), mark(u).where("fresh"), n2.where("fresh")
+        order = "a.sample_id <> b.sample_id and (not b.fresh or a.sample_id < b.sample_id)"
+        meets = [(v1, u), (v2.where("not fresh"), u1)]
+        size = n2
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    less = v1.alias("a").join(v2.alias("b"), F.expr(f"a.pos = b.pos and {order}")).select(*pair("a.sample_id", "b.sample_id"), F.expr("if(a.base = b.base, 2, 1)").alias("less"))
+    for x, y in meets:
+        less = less.union(x.alias("a").join(y.alias("u"), F.expr("a.pos = u.pos and a.sample_id <> u.sample_id")).select(*pair("a.sample_id", "u.sample_id"), F.lit(1).alias("less")))
+    met = scratch.write(less.groupBy("a", "b").agg(F.sum("less").cast("int").alias("less")))
     na, nb = size.select(F.col("sample_id").alias("a"), F.col("n").alias("na")), size.select(F.col("sample_id").alias("b"), F.col("n").alias("nb"))
     near = met.join(na, "a").join(nb, "b").withColumn("dist", F.expr("cast(na + nb - less as int)")).select("a", "b", "dist")
-    small = na.where(F.col("na") <= ceiling).withColumn("nb", F.explode(F.sequence(F.lit(0), F.lit(ceiling) - F.col("na"))))
-    apart = small.join(nb, "nb").where("a < b").select("a", "b", F.expr("cast(na + nb as int)").alias("dist")).join(met, ["a", "b"], "left_anti")
-    return near.where(F.col("dist") <= ceiling).unionByName(apart)
+    small = n1.select(F.col("sample_id").alias("x"), F.col("n").alias("nx")).where(F.col("nx") <= ceiling).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(ceiling) - F.col("nx"))))
+    apart = small.join(size, "n").where("x < sample_id" if new is None else "x <> sample_id and (not fresh or x < sample_id)").select(*pair("x", "sample_id"), F.expr("cast(nx + n as int)").alias("dist"))
+    return near.where(F.col("dist") <= ceiling).unionByName(apart.join(met, ["a", "b"], "left_anti"))
+
+
+def new_edges(known: DataFrame, new: DataFrame, variants: DataFrame, unknowns: DataFrame, ceiling: int, uncertain: str = "N_or_M") -> DataFrame:
+    """``(a, b, dist)`` in both directions for the pairs at most ``ceiling`` apart of which one sample at least is new; ``known`` holds the new ones too."""
+    half = half_matrix(known, variants, with_unknown(unknowns, uncertain), ceiling, new)
+    return half.union(half.select("b", "a", "dist"))
 
 
 def edges(ids: DataFrame, variants: DataFrame, unknowns: DataFrame, ceiling: int, uncertain: str = "N_or_M") -> DataFrame:
@@ -65,13 +111,13 @@ def edges(ids: DataFrame, variants: DataFrame, unknowns: DataFrame, ceiling: int
 
 
 def one_to_all(sample_id: str, ids: DataFrame, variants: DataFrame, unknowns: DataFrame) -> DataFrame:
-    """``(a, b, dist)`` of one sample to every other, without a ceiling: two joins with the rows of one sample."""
+    """``(a, b, dist)`` of one sample to every other, without a ceiling: joins with the rows of one sample, of which there is one a position at most; Spark broadcasts them if they are few."""
     v1, u1 = variants.where(F.col("sample_id") == sample_id).select("pos", F.col("base").alias("base1")), unknowns.where(F.col("sample_id") == sample_id).select("pos").distinct()
     others = ids.where(F.col("sample_id") != sample_id).select("sample_id")
     n1 = v1.agg(F.count("*").alias("n1"))
-    vv = variants.join(F.broadcast(v1), "pos").groupBy("sample_id").agg(F.sum(F.expr("if(base = base1, 2, 1)")).alias("less"))
-    vu = variants.join(F.broadcast(u1), "pos").groupBy("sample_id").agg(F.count("*").alias("less"))
-    uv = unknowns.join(F.broadcast(v1), "pos").groupBy("sample_id").agg(F.count("*").alias("less"))
+    vv = variants.join(v1, "pos").groupBy("sample_id").agg(F.sum(F.expr("if(base = base1, 2, 1)")).alias("less"))
+    vu = variants.join(u1, "pos").groupBy("sample_id").agg(F.count("*").alias("less"))
+    uv = unknowns.join(v1, "pos").groupBy("sample_id").agg(F.count("*").alias("less"))
     less = vv.union(vu).union(uv).groupBy("sample_id").agg(F.sum("less").alias("less"))
     n = variants.groupBy("sample_id").agg(F.count("*").alias("n"))
     rows = others.join(n, "sample_id", "left").join(less, "sample_id", "left").join(F.broadcast(n1))

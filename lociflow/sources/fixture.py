@@ -6,6 +6,8 @@ positions. ``SQL`` holds the same tables as common table expressions.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_sequences(spark, sf_dir)
     place = read("customer").join(read("nation"), F.expr("n_nationkey = c_nationkey")).join(read("region"), F.expr("r_regionkey = n_regionkey")).select(F.col("c_custkey").alias("k"), F.col("n_name").alias("country"), F.col("r_name").alias("adm1"))
     examined = read("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderdate").cast("date").alias("examined"))
-    unknown = codec.count_unknown("seq", MASK)
+    unknown = codec.count_unknown("seq", REFERENCE, MASK)
     return (
         raw.withColumn("invalid", (unknown > MAX_UNKNOWN).cast("int"))
         .withColumn("prop_actg", F.round(codec.count_letters("seq", "ACGT") / F.lit(float(LENGTH)), 9))
@@ -111,3 +113,25 @@ def coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.lit(1).alias("pc"), F.expr("concat('1_', k % 6)").alias("pc_cat"), F.expr("(k * 37 % 101) / 10.0D").alias("coord"))
     two = F.struct(F.lit(2).alias("pc"), F.expr("concat('2_', (k * 3 + k % 7) % 5)").alias("pc_cat"), F.expr("(k * 53 % 211) / 10.0D").alias("coord"))
     return s.select("sample_id", F.explode(F.array(one, two)).alias("c")).select("sample_id", "c.*")
+
+
+#: A reference and a mask of the size of a whole viral genome, by rule: hexadecimal digits as bases, and every 77th position from 55 on.
+LONG_LENGTH = 29_903
+LONG_REFERENCE = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(LONG_LENGTH // 64 + 1)).translate(str.maketrans("0123456789abcdef", "ACGT" * 4))[:LONG_LENGTH]
+LONG_MASK = tuple(range(55, LONG_LENGTH, 77))[:386]
+#: Where sample k departs from the long reference: unknown positions first, then substitutions by the next base, on masked positions too.
+LONG_SQL = f"""long_cells as (
+  select sample_id, pos, max(kind) as kind from (
+    select 's' || lpad(cast(c_custkey as varchar), 7, '0') as sample_id, cast((c_custkey * 7919 + i * 104729) % {LONG_LENGTH} as integer) as pos, 0 as kind from customer, range(12) r(i)
+    union all select 's' || lpad(cast(c_custkey as varchar), 7, '0'), cast((c_custkey * 613 + i * 77 + 55) % {LONG_LENGTH} as integer), 1 from customer, range(5) r(i)) group by 1, 2),
+long_rows as (select sample_id, pos, kind, substr('{LONG_REFERENCE}', pos + 1, 1) as ref from long_cells where not (pos >= 55 and (pos - 55) % 77 = 0 and pos <= {max(LONG_MASK)}))"""
+
+
+def long_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(sample_id, seq)`` of whole genomes: the long reference with each customer's departures."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    at = lambda n, e: f"transform(sequence(0, {n - 1}), i -> cast(({e}) % {LONG_LENGTH} as int))"
+    k = k.withColumns({"subs": F.expr(at(12, "k * 7919 + i * 104729")), "gaps": F.expr(at(5, "k * 613 + i * 77 + 55"))})
+    changed = lambda c, i: F.when(F.array_contains("gaps", i), "N").when(F.array_contains("subs", i), F.translate(c, "ACGT", "CGTA")).otherwise(c)
+    seq = F.array_join(F.transform(F.split(F.lit(LONG_REFERENCE), ""), changed), "")
+    return k.select(F.concat(F.lit("s"), F.lpad(F.col("k").cast("string"), 7, "0")).alias("sample_id"), seq.alias("seq"))

@@ -16,7 +16,7 @@ EDGES = "a string, b string, dist int"
 
 
 def insert_batch(store: Store, batch: DataFrame, reference: str, mask: tuple[int, ...], max_unknown: int, ceiling: int) -> int:
-    """Store a batch ``(sample_id, seq)`` and its edges to itself and to everything stored; known ids are ignored. Returns the number of new samples.
+    """Store a batch ``(sample_id, seq)`` and its edges to itself and to everything stored, without comparing what is stored again; known ids are ignored. Returns the number of new samples.
 
     Edges and differences are written before the samples, so that a batch that is repeated after a failure finds its samples missing and writes all again; readers take distinct rows.
     """
@@ -31,9 +31,8 @@ def insert_batch(store: Store, batch: DataFrame, reference: str, mask: tuple[int
         known = old.where("invalid = 0").select("sample_id").union(new)
         all_v = store.read("variants", VARIANTS).distinct().union(variants)
         all_u = store.read("unknowns", UNKNOWNS).distinct().union(unknowns)
-        found = distance.edges(known, all_v, all_u, ceiling)
-        touched = found.join(new, F.col("a") == F.col("sample_id"), "left_semi").union(found.join(new, F.col("b") == F.col("sample_id"), "left_semi")).distinct()
-        touched.write.mode("append").parquet(store.path("edges"))
+        found = distance.new_edges(known, new, all_v, all_u, ceiling)
+        found.write.mode("append").parquet(store.path("edges"))
         variants.write.mode("append").parquet(store.path("variants"))
         unknowns.write.mode("append").parquet(store.path("unknowns"))
         samples.write.mode("append").parquet(store.path("samples"))

@@ -87,3 +87,34 @@ def test_json_round_trip(spark):
     s, v, u = codec.compress(seqs(spark, a="TCTR", b="ACTG"), REF)
     got = {r["sample_id"]: r for r in codec.from_json(codec.to_json(s, v, u)).collect()}
     assert got["a"]["T"] == [0] and got["a"]["M"] == {"3": "R"} and got["a"]["U"] == [3] and got["b"]["A"] == []
+
+
+def test_masks_and_references_of_real_size(spark):
+    from lociflow.sources import fixture as fx
+
+    assert len(fx.LONG_REFERENCE) == 29_903 and len(fx.LONG_MASK) == 386
+    seq = list(fx.LONG_REFERENCE)
+    for p in (0, 55, 132, 200, 29_902):
+        seq[p] = "T" if seq[p] != "T" else "A"
+    seq[300] = "-"
+    parts = codec.compress(seqs(spark, a="".join(seq)), fx.LONG_REFERENCE, fx.LONG_MASK, 10)
+    assert [p for _, p in rows(parts[1], "sample_id", "pos")] == [0, 200, 29_902] and rows(parts[2], "pos", "kind") == [(300, "N")]
+    back = codec.uncompress(*parts, fx.LONG_REFERENCE, fx.LONG_MASK).first()["seq"]
+    assert all(b == ("N" if i in set(fx.LONG_MASK) or i == 300 else c) for i, (b, c) in enumerate(zip(back, seq, strict=True)))
+
+
+def test_a_position_that_most_vary_at(spark):
+    import random
+
+    r = random.Random(5)
+    ref = "ACGTTGCAAGAC"
+    stem = "T" + ref[1:5] + "C" + ref[6:]  # two bases that nearly all share
+    data = {f"s{i:02d}": "".join(c if r.random() < 0.85 else r.choice("ACGTNR") for c in (stem if i % 10 else ref)) for i in range(40)}
+    s, v, u = codec.compress(seqs(spark, **data), ref)
+    want = sorted((a, b, sum(x != y and x in "ACGT" and y in "ACGT" for x, y in zip(data[a], data[b], strict=True))) for a in data for b in data if a != b)
+    assert rows(distance.edges(s, v, u, 3), "a", "b", "dist") == [w for w in want if w[2] <= 3]
+    turned = distance.turned(s, v, u)
+    assert turned.groupBy("pos", "base").count().agg(F.max("count")).first()[0] <= 20 < v.groupBy("pos", "base").count().agg(F.max("count")).first()[0]
+    new = s.where("sample_id >= 's30'")
+    got = rows(distance.new_edges(s, new, v, u, 3), "a", "b", "dist")
+    assert got == [w for w in want if w[2] <= 3 and (w[0] >= "s30" or w[1] >= "s30")]
