@@ -34,11 +34,24 @@ def masked(reference: str, mask: tuple[int, ...] = (), by: str = ".") -> str:
     return "".join(by if i in hidden else c for i, c in enumerate(check_reference(reference))) if hidden else check_reference(reference)
 
 
+#: Characters that are compared at once.
+PIECE = 64
+
+
 def _differences(seq: Column, reference: str, mask: tuple[int, ...]) -> Column:
-    """Array of ``(base, ref, pos)`` where a sequence differs from the reference outside the mask; both are split once, and the plan holds the reference as one literal."""
-    letters = F.split(F.translate(F.upper(seq), "-", "N"), "")
-    cells = F.arrays_zip(letters.alias("base"), F.split(F.lit(masked(reference, mask)), "").alias("ref"), F.sequence(F.lit(0), F.lit(len(reference) - 1)).alias("pos"))
-    return F.filter(cells, lambda c: (c["base"] != c["ref"]) & (c["ref"] != "."))
+    """Array of ``(base, ref, pos)`` where a sequence differs from the reference outside the mask.
+
+    Sequence and reference, which the plan holds as one literal, are cut into pieces; only pieces that differ are looked at character by character. A masked character of the reference is one that
+    matches any.
+    """
+    ref = masked(reference, mask)
+    text = F.translate(F.upper(seq), "-", "N")
+    pieces = F.split(F.regexp_replace(text, f"(.{{{PIECE}}})", "$1\n"), "\n").alias("p")
+    own = F.split(F.lit("\n".join(ref[i : i + PIECE] for i in range(0, len(ref), PIECE))), "\n").alias("r")
+    cells = F.arrays_zip(pieces, own, F.sequence(F.lit(0), F.lit((len(ref) - 1) // PIECE)).alias("i"))
+    unlike = F.filter(cells, lambda c: (c["p"] != c["r"]) & ~F.rlike(c["p"], F.concat(F.lit("^"), c["r"], F.lit("$"))))
+    cell = lambda c: lambda b, j: F.struct(b.alias("base"), F.substring(c["r"], j + 1, F.lit(1)).alias("ref"), (c["i"] * PIECE + j).alias("pos"))
+    return F.flatten(F.transform(unlike, lambda c: F.filter(F.transform(F.split(c["p"], ""), cell(c)), lambda x: (x["base"] != x["ref"]) & (x["ref"] != "."))))
 
 
 def count_unknown(seq: str, reference: str, mask: tuple[int, ...] = ()) -> Column:

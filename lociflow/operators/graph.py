@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociflow.operators.components import components
+from lociflow.operators.neighbours import induced
 from lociflow.scratch import Scratch
 
 MODES = ("ignore", "exclude", "include")
@@ -82,6 +83,11 @@ def without(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return edges.join(r, F.col("a") == F.col("sample_id"), "left_anti").join(r, F.col("b") == F.col("sample_id"), "left_anti")
 
 
+def restored(edges: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """All edges of the graph again, after it was simplified or samples were taken out: they come from the edge table, once per pair."""
+    return induced(edges.where((F.col("dist") <= threshold) & (F.col("a") < F.col("b"))), nodes)
+
+
 def degree_z(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(sample_id, degree, degree_z)``: degree less the median of the linked samples, over their median absolute deviation, which is 1 at least."""
     degree = edges.groupBy(F.col("a").alias("sample_id")).agg(F.count("*").alias("degree"))

@@ -66,15 +66,18 @@ def expected_unknown(counts: DataFrame, sample_size: int | None = None, seed: in
     return out.select("n_samples", *[F.when(enough, F.col(c)).alias(c) for c in ("median_unknown", "mean_unknown", "sum_unknown")])
 
 
-def mixture_tests(alignment: DataFrame, counts: DataFrame, sites: DataFrame, included: int, length: int, p1: float | Column) -> DataFrame:
-    """The four exact tests of each aligned sample, on unknown bases of any kind.
+def mixture_tests(alignment: DataFrame, counts: DataFrame, sites: DataFrame, included: int, length: int, p1: float | Column, at_sites: DataFrame | None = None, kind: str = "N_or_M") -> DataFrame:
+    """The four exact tests of each aligned sample, on unknown bases of the ``kind`` N, M or N_or_M.
 
-    Observed are the unknown bases in the alignment. Expected shares: 1, of unknown bases in samples at large; 2, of those of this sample outside the alignment; 3, of this sample's unknown bases in the whole genome; 4, the
+    Observed are the unknown bases in the alignment. Expected shares: 1, of unknown bases in samples at large; 2, the median of unknown bases that samples at large have at the very sites of the
+    alignment, ``at_sites(cluster_id, median_unknown)``, null without it; 3, of unknown bases of this sample outside the alignment, over the genome outside of it; 4, the
     median share of the other members, for clusters of three others or more.
     """
     width = sites.groupBy("cluster_id").agg(F.count("*").alias("width"))
     a = alignment.join(counts, "sample_id").join(width, "cluster_id", "left").withColumn("width", F.coalesce("width", F.lit(0)))
-    a = a.withColumn("k", F.col("align_n") + F.col("align_m"))
+    a = a.join(at_sites.select("cluster_id", F.col("median_unknown").alias("usual")), "cluster_id", "left") if at_sites is not None else a.withColumn("usual", F.lit(None).cast("double"))
+    k, every = {"N": ("align_n", "all_n"), "M": ("align_m", "all_m")}.get(kind, (None, "all_n_or_m"))
+    a = a.withColumn("k", F.col(k) if k else F.col("align_n") + F.col("align_m"))
     share = F.when(F.col("width") > 0, F.col("k") / F.col("width"))
     shares = a.groupBy("cluster_id").agg(F.sort_array(F.collect_list(share)).alias("shares"))
     a = a.join(shares, "cluster_id").withColumn("share", share)
@@ -83,16 +86,17 @@ def mixture_tests(alignment: DataFrame, counts: DataFrame, sites: DataFrame, inc
     n = F.size(others)
     middle = F.when(n >= 3, (F.get(others, F.floor((n - 1) / 2).cast("int")) + F.get(others, F.floor(n / 2).cast("int"))) / 2)
     p1 = F.lit(p1) if isinstance(p1, float) else p1
-    p2 = F.when(F.lit(included) > F.col("width"), (F.col("all_n_or_m") - F.col("k")) / (F.lit(included) - F.col("width")))
-    expected = {"expected_proportion1": p1, "expected_proportion2": p2, "expected_proportion3": F.col("all_n_or_m") / F.lit(float(length)), "expected_proportion4": middle}
+    p2 = F.when(F.col("width") > 0, F.col("usual") / F.col("width"))
+    p3 = F.when(F.lit(length) > F.col("width"), (F.col(every) - F.col("k")) / (F.lit(length) - F.col("width")))
+    expected = {"expected_proportion1": p1, "expected_proportion2": p2, "expected_proportion3": p3, "expected_proportion4": middle}
     a = a.withColumns(expected)
     tests = {f"p_value{i}": F.round(binomial_tail(F.col("k").cast("int"), F.col("width").cast("int"), F.col(f"expected_proportion{i}").cast("double")), 9) for i in (1, 2, 3, 4)}
     return a.withColumns(tests).select("cluster_id", "sample_id", F.col("k").alias("observed"), "width", F.round("share", 9).alias("observed_proportion"), *[F.round(c, 9).alias(c) for c in expected], *tests)
 
 
-def mixed_samples(tests: DataFrame, criterion: str = "p_value1", cutoff: float = 0.05) -> DataFrame:
-    """Samples whose test rejects chance: probably mixtures."""
-    return tests.where(F.col(criterion) <= cutoff).select("sample_id").distinct()
+def mixed_samples(tests: DataFrame, criterion: str = "p_value1", cutoff: float = 0.05, least_bases: int = 0) -> DataFrame:
+    """Samples whose test rejects chance and that hold more than ``least_bases`` unknown bases in the alignment: probably mixtures."""
+    return tests.where((F.col(criterion) < cutoff) & (F.col("observed") > least_bases)).select("sample_id").distinct()
 
 
 def fasta(alignment: DataFrame) -> DataFrame:

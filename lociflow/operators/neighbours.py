@@ -20,8 +20,10 @@ def quality_over(samples: DataFrame, cutoff: float) -> DataFrame:
     return samples.where(F.col("prop_actg") >= cutoff).select("sample_id", "prop_actg")
 
 
-def prefix_search(samples: DataFrame, prefix: str, most: int = 30) -> DataFrame:
-    """The first ``most`` ids with a prefix, in order."""
+def prefix_search(samples: DataFrame, prefix: str, most: int = 30, or_none: bool = False) -> DataFrame:
+    """The first ``most`` ids with a prefix, in order; with ``or_none`` no id at all where there are as many or more."""
+    if or_none and samples.where(F.col("sample_id").startswith(prefix)).select("sample_id").distinct().limit(most).count() >= most:
+        return samples.select("sample_id").limit(0)
     return samples.where(F.col("sample_id").startswith(prefix)).select("sample_id").distinct().orderBy("sample_id").limit(most)
 
 
@@ -35,6 +37,18 @@ def examined_after(samples: DataFrame, when: str) -> DataFrame:
     return samples.where(F.col("examined") > F.lit(when).cast("date")).select("sample_id", "examined")
 
 
+def examined_after_sample(samples: DataFrame, sample_id: str) -> DataFrame:
+    """Samples examined after another one; none if it is unknown."""
+    at = samples.where(F.col("sample_id") == sample_id).agg(F.max("examined").alias("at"))
+    return samples.join(F.broadcast(at), F.col("examined") > F.col("at")).select("sample_id")
+
+
+def ordered(edges: DataFrame, sample_id: str, threshold: int) -> DataFrame:
+    """``(rank, b, dist)``: a sample's neighbours, the nearest first."""
+    w = Window.partitionBy("a").orderBy("dist", "b")
+    return neighbours(edges, threshold, sample_id).withColumn("rank", F.row_number().over(w)).select("rank", "b", "dist")
+
+
 def neighbours(edges: DataFrame, threshold: int, sample_id: str | None = None, form: int = 1) -> DataFrame:
     """Neighbours within a distance: form 1 ``(a, b, dist)``, form 3 ids only, form 4 as a struct; 2 was never made."""
     if form not in (1, 3, 4):

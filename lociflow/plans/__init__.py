@@ -1 +1,3 @@
+"""Registered queries."""
 
+from lociflow.plans import catalogue, extended  # noqa: F401

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions import codec
-from lociflow.operators import distance, graph, labels, msa, neighbours, pca, popstat, telemetry
+from lociflow.operators import distance, graph, labels, mixture, msa, neighbours, pca, popstat, telemetry
 from lociflow.scratch import Scratch
 from lociflow.sources import fixture as fx
 from lociflow.sources.fixture import CEILING, LENGTH, MASK, MAX_UNKNOWN, REFERENCE
@@ -438,24 +438,36 @@ _TAIL = """case when width < 1 or {p} is null then null when k <= 0 then 1.0 whe
   else round(least((select sum(exp(lgamma(width + 1) - lgamma(i + 1) - lgamma(width - i + 1) + i * ln({p}) + (width - i) * ln(1 - {p}))) from unnest(generate_series(k, width)) g(i)), 1.0), 9) end"""
 
 
-@_query(_ALIGNED.replace("\n--\n", """,
-tested as (select a.cluster_id, a.sample_id, cast(align_n + align_m as bigint) as k, aligned_seq_len as width, 0.01 as p1, coalesce(u.n, 0) / 48.0 as p3 from aligned a left join (select sample_id, count(*) as n from unknowns group by 1) u using (sample_id))
+_UNKNOWN_AT = """population as (select sample_id from quality where invalid = 0),
+at_sites as (select s.cluster_id, median(n) as usual from (select c.cluster_id, p.sample_id, (select count(*) from unknowns u join sites s using (pos) where u.sample_id = p.sample_id and s.cluster_id = c.cluster_id) as n
+  from (select distinct cluster_id from sites) c, population p) s group by 1)"""
+_TESTED = _ALIGNED.replace("\n--\n", f""",
+{_UNKNOWN_AT},
+observed as (select a.cluster_id, a.sample_id, cast(align_n + align_m as bigint) as k, cast(aligned_seq_len as bigint) as width, (align_n + align_m) / cast(nullif(aligned_seq_len, 0) as double) as share, coalesce(u.n, 0) as everywhere
+  from aligned a left join (select sample_id, count(*) as n from unknowns group by 1) u using (sample_id)),
+tested as (select o.*, 0.01 as p1, t.usual / cast(nullif(o.width, 0) as double) as p2, (o.everywhere - o.k) / cast({LENGTH} - o.width as double) as p3, x.p4
+  from observed o left join at_sites t using (cluster_id)
+  left join (select m.sample_id, case when count(n.share) >= 3 then median(n.share) end as p4 from observed m join observed n on n.cluster_id = m.cluster_id and n.sample_id <> m.sample_id group by 1) x using (sample_id))
 --
-""") + f"select cluster_id, sample_id, k as observed, width, {_TAIL.format(p='p1')} as p_value1, {_TAIL.format(p='p3')} as p_value3 from tested")
-def binom_tests(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+""")
+
+
+def _tests(t: Tables) -> DataFrame:
     sites = t.kept("sites", lambda: _sites(t))
     aligned = msa.aligned(_lineages(t), sites, t.variants, t.unknowns, REFERENCE)
-    tests = msa.mixture_tests(aligned, msa.unknown_counts(t.valid, t.unknowns), sites, LENGTH - len(MASK), LENGTH, 0.01)
-    return tests.select("cluster_id", "sample_id", F.col("observed").cast("long").alias("observed"), F.col("width").cast("long").alias("width"), "p_value1", "p_value3")
+    usual = mixture.site_unknowns(sites, t.valid, t.unknowns)
+    rows = msa.mixture_tests(aligned, msa.unknown_counts(t.valid, t.unknowns), sites, LENGTH - len(MASK), LENGTH, 0.01, usual)
+    return rows.withColumns({"observed": F.col("observed").cast("long"), "width": F.col("width").cast("long")})
 
 
-@_query()
+@_query(_TESTED + f"select cluster_id, sample_id, k as observed, width, {_TAIL.format(p='p1')} as p_value1, {_TAIL.format(p='p3')} as p_value3 from tested")
+def binom_tests(spark, sf_dir):
+    return _tests(Tables(spark, sf_dir)).select("cluster_id", "sample_id", "observed", "width", "p_value1", "p_value3")
+
+
+@_query(_TESTED + f"""select cluster_id, sample_id, k as observed, width, round(share, 9) as observed_proportion, {', '.join(f"round(p{i}, 9) as expected_proportion{i}, {_TAIL.format(p=f'p{i}')} as p_value{i}" for i in (1, 2, 3, 4))} from tested""")
 def mixture_tests(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    sites = t.kept("sites", lambda: _sites(t))
-    aligned = msa.aligned(_lineages(t), sites, t.variants, t.unknowns, REFERENCE)
-    return msa.mixture_tests(aligned, msa.unknown_counts(t.valid, t.unknowns), sites, LENGTH - len(MASK), LENGTH, 0.01)
+    return _tests(Tables(spark, sf_dir))
 
 
 @_query(_ALIGNED + "select cluster_id, sample_id, '>' || sample_id || chr(10) || aligned_seq as record from aligned")

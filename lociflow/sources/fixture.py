@@ -131,7 +131,11 @@ def long_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sample_id, seq)`` of whole genomes: the long reference with each customer's departures."""
     k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
     at = lambda n, e: f"transform(sequence(0, {n - 1}), i -> cast(({e}) % {LONG_LENGTH} as int))"
-    k = k.withColumns({"subs": F.expr(at(12, "k * 7919 + i * 104729")), "gaps": F.expr(at(5, "k * 613 + i * 77 + 55"))})
-    changed = lambda c, i: F.when(F.array_contains("gaps", i), "N").when(F.array_contains("subs", i), F.translate(c, "ACGT", "CGTA")).otherwise(c)
-    seq = F.array_join(F.transform(F.split(F.lit(LONG_REFERENCE), ""), changed), "")
+    # the pieces between the departures, in order
+    k = k.withColumn("at", F.array_sort(F.array_distinct(F.concat(F.expr(at(12, "k * 7919 + i * 104729")), F.expr(at(5, "k * 613 + i * 77 + 55")), F.array(F.lit(-1), F.lit(LONG_LENGTH))))))
+    k = k.withColumn("gaps", F.expr(at(5, "k * 613 + i * 77 + 55")))
+    ref = F.lit(LONG_REFERENCE)
+    own = lambda p: F.when((p < 0) | (p >= LONG_LENGTH), "").when(F.array_contains("gaps", p), "N").otherwise(F.translate(F.substring(ref, p + 1, F.lit(1)), "ACGT", "CGTA"))
+    piece = lambda p, i: F.concat(own(p), F.when(p < LONG_LENGTH, F.substring(ref, p + 2, F.get("at", i + 1) - p - 1)).otherwise(""))
+    seq = F.array_join(F.transform("at", piece), "")
     return k.select(F.concat(F.lit("s"), F.lpad(F.col("k").cast("string"), 7, "0")).alias("sample_id"), seq.alias("seq"))
