@@ -105,8 +105,8 @@ class Store:
         fresh.write.mode("append").parquet(self.path(table))
         return n
 
-    def put(self, table: str, key: str, content: str) -> None:
-        """A key's new content; the last write counts."""
+    def put(self, table: str, key: str, content: str | None) -> None:
+        """A key's new content; the last write counts, and nothing deletes the key."""
         version = self.read(table, KV).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
         self.spark.createDataFrame([(key, version, content)], KV).write.mode("append").parquet(self.path(table))
 
@@ -119,11 +119,32 @@ class Store:
         row = self.read(table, KV).where((F.col("key") == key) & (F.col("version") > version)).agg(F.max("version"), F.max_by("content", "version")).first()
         return None if row[0] is None else (row[0], row[1])
 
+    def put_new(self, table: str, key: str, content: str) -> bool:
+        """Content for a key that has none; returns whether it was stored."""
+        fresh = self.get(table, key) is None
+        if fresh:
+            self.put(table, key, content)
+        return fresh
+
+    def delete(self, table: str, key: str) -> None:
+        self.put(table, key, None)
+
+    def keys(self, table: str) -> list[str]:
+        """The keys that have content, in order."""
+        return [r["key"] for r in self.keep_latest(table).orderBy("key").collect()]
+
+    def delete_unless(self, table: str, whitelist: list[str]) -> int:
+        """Delete all keys but those of the whitelist; returns how many went."""
+        gone = [k for k in self.keys(table) if k not in set(whitelist)]
+        for k in gone:
+            self.delete(table, k)
+        return len(gone)
+
     def keep_latest(self, table: str, whitelist: list[str] | None = None) -> DataFrame:
-        """What a purge leaves: the newest version of each key, of the whitelist if one is given."""
+        """What a purge leaves: the newest version of each key that isn't deleted, of the whitelist if one is given."""
         rows = self.read(table, KV)
         rows = rows if whitelist is None else rows.where(F.col("key").isin(whitelist))
-        return rows.groupBy("key").agg(F.max("version").alias("version"), F.max_by("content", "version").alias("content"))
+        return rows.groupBy("key").agg(F.max("version").alias("version"), F.max_by("content", "version").alias("content")).where("content is not null")
 
 
 KV = "key string, version long, content string"

@@ -109,3 +109,27 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.ingest(spark, stream, str(tmp_path / "store"), ref, (), 3, 2, str(tmp_path / "ckpt")).awaitTermination()
     got = rows(ingest.stored_edges(io.Store(spark, str(tmp_path / "store"))), "a", "b", "dist")
     assert got == [("a", "b", 1), ("a", "c", 1), ("b", "a", 1), ("b", "c", 0), ("c", "a", 1), ("c", "b", 0)]
+
+
+def test_keys_are_stored_once_deleted_and_listed(spark, tmp_path):
+    store = io.Store(spark, str(tmp_path / "kv"))
+    assert store.put_new("msa", "x", "1") and not store.put_new("msa", "x", "2")
+    store.put("msa", "y", "3")
+    store.put("msa", "z", "4")
+    assert store.get("msa", "x") == "1" and store.keys("msa") == ["x", "y", "z"]
+    store.delete("msa", "y")
+    assert store.get("msa", "y") is None and store.delete_unless("msa", ["z"]) == 1 and store.keys("msa") == ["z"]
+    assert store.put_new("msa", "y", "5") and store.keys("msa") == ["y", "z"]
+
+
+def test_a_growing_linkage_keeps_its_versions(spark, net, tmp_path):
+    from lociflow.operators.linkage import Linkage
+
+    _, edges, mixed = net
+    ids = lambda s: spark.createDataFrame([(x,) for x in s], "sample_id string")
+    grown = Linkage(spark, str(tmp_path / "g"), 2, "exclude")
+    assert grown.add(ids("ab"), edges) == 1 and grown.add(ids("ba"), edges) == -1
+    assert grown.persist("g") == 1 and grown.add(ids("cdefm"), edges, mixed) == 6
+    assert grown.persist("g") == 2 and grown.refreshed("g", 2) is None
+    version, found = grown.refreshed("g", 1)
+    assert version == 2 and rows(found, "sample_id", "cluster_id") == [("a", 0), ("b", 0), ("c", 0), ("d", 3), ("e", 3), ("f", 5), ("m", 6)]
