@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, null_key
+from .common import Scratch, null_key, partitions
 
 #: Characters of an n-gram. The alphabet is all of Unicode: no character is put into a class, and n-grams are as many as the texts have.
 ORDER = 5
@@ -31,13 +31,42 @@ def _points(text: str) -> np.ndarray:
 def _keys(points: np.ndarray) -> np.ndarray:
     """64-bit digests of the n-grams that begin at each place."""
     n = len(points) - ORDER + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(ORDER):
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (points[j : j + n].astype(np.uint64) + np.uint64(0x632BE59B))
+    return _digests([points[j : j + n] for j in range(ORDER)])
+
+
+def _digests(places: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    """64-bit digests of n-grams whose first, second, ... characters are given."""
+    h = np.zeros(len(places[0]), np.uint64)
+    for points in places:
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (points.astype(np.uint64) + np.uint64(0x632BE59B))
         h ^= h >> np.uint64(29)
     return h
 
 
+def _squeeze(values: np.ndarray, press) -> bytes:
+    """Numbers compressed with their bytes apart: all first bytes, then all second ones and so on."""
+    return press.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def _unsqueeze(packed: bytes, kind: type, unpress) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(unpress.decompress(packed), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _squeeze_grams(window: np.ndarray, press) -> bytes:
+    return _squeeze(np.ascontiguousarray(window.T).ravel(), press)
+
+
+def _unsqueeze_grams(packed: bytes, unpress) -> np.ndarray:
+    """The characters of packed n-grams, one row for each place."""
+    return _unsqueeze(packed, np.uint32, unpress).reshape(ORDER, -1)
+
+
+def _strings(window: np.ndarray) -> pa.Array:
+    text = np.ascontiguousarray(window).tobytes().decode("utf-32-le", "surrogatepass")
+    return pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string())
+
+
 class _Counter:
     """The distinct n-grams of many texts with their counts, sorted a chunk at a time."""
 
@@ -69,8 +98,7 @@ class _Counter:
         self.window = np.concatenate((self.window, window))[first]
 
     def grams(self, lo: int, hi: int) -> pa.Array:
-        text = self.window[lo:hi].tobytes().decode("utf-32-le", "surrogatepass")
-        return pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string())
+        return _strings(self.window[lo:hi])
 
 
 def _pack(names: list[str]):
@@ -118,27 +146,115 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([seen.grams(lo, lo + 100_000), pa.array(seen.n[lo : lo + 100_000])], ["gram", "c"])
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of each block, of the part of it that a task reads."""
-    import zstandard
+#: What goes to the shards: the n-grams that a block asks for, or (block -1) digests of n-grams and their log-probabilities.
+SHARD_ROW = "shard int, block long, grams binary, logs binary"
 
-    unpress, seen, block = zstandard.ZstdDecompressor(), _Counter(), None
 
-    def out() -> Iterator[pa.RecordBatch]:
-        seen.merge()
-        for lo in range(0, len(seen.key), 100_000):
-            gram = seen.grams(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), gram], ["block", "gram"])
+def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of equal numbers in a sorted array."""
+    at = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+    return zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
 
-    for b in batches:
-        for own, text in zip(b.column("block").to_pylist(), _texts(b, unpress), strict=True):
-            if own != block:
-                if block is not None:
-                    yield from out()
-                seen, block = _Counter(), own
-            seen.add(text)
-    if block is not None:
-        yield from out()
+
+def _shard_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["shard", "block", "grams", "logs"])
+
+
+def _asked(shards: int):
+    """The distinct n-grams of each block, of the part of it that a task reads, in one row for each shard."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press, unpress, seen, block = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), _Counter(), None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            seen.merge()
+            shard, w = (seen.key % np.uint64(shards)).astype(np.int64), seen.window.astype(np.uint64)
+            order = np.lexsort((w[:, 3] << np.uint64(21) | w[:, 4], w[:, 0] << np.uint64(42) | w[:, 1] << np.uint64(21) | w[:, 2], shard))
+            shard, window = shard[order], seen.window[order]
+            yield _shard_rows([(int(shard[lo]), block, _squeeze_grams(window[lo:hi], press), None) for lo, hi in _cuts(shard)])
+
+        for b in batches:
+            for own, text in zip(b.column("block").to_pylist(), _texts(b, unpress), strict=True):
+                if own != block:
+                    if block is not None:
+                        yield from out()
+                    seen, block = _Counter(), own
+                seen.add(text)
+        if block is not None:
+            yield from out()
+
+    return each
+
+
+def _known(shards: int):
+    """``(gram, p)`` as digests and log-probabilities, in rows of one shard."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            points = np.frombuffer("".join(table.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            key, log = _digests(points.reshape(-1, ORDER).T), np.log(table.column("p").to_numpy())
+            order = np.lexsort((key, key % np.uint64(shards)))
+            key, log, shard = key[order], log[order], (key[order] % np.uint64(shards)).astype(np.int64)
+            yield _shard_rows([(int(shard[lo]), -1, _squeeze(key[lo:hi], press), _squeeze(log[lo:hi], press)) for lo, hi in _cuts(shard)])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 500_000:
+                yield from out(held)
+                held = []
+        if sum(x.num_rows for x in held):
+            yield from out(held)
+
+    return each
+
+
+def _answered(only_never: bool):
+    """Answers of the shards of a task, whose rows come shard by shard, the known n-grams first: log-probabilities beside
+    the n-grams that each block asked for, or only the distinct n-grams that aren't known. A shard's known n-grams and one question are held at a time."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        own, held, key, log, never = None, [], np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64)
+        for b in batches:
+            for shard, block, grams, logs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard != own:
+                    own, held, key, log, never = shard, [], np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64)
+                if block < 0:
+                    held.append((_unsqueeze(grams, np.uint64, unpress), _unsqueeze(logs, np.float64, unpress)))
+                    continue
+                if held:
+                    key, log, held = np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held]), []
+                    order = np.argsort(key)
+                    key, log = key[order], log[order]
+                places = _unsqueeze_grams(grams, unpress)
+                asked = _digests(places)
+                if only_never:
+                    new = np.flatnonzero(~(_within(asked, key) | _within(asked, never)))
+                    if len(new):
+                        never = np.sort(np.concatenate((never, asked[new])))
+                        yield pa.RecordBatch.from_arrays([_strings(places[:, new].T)], ["gram"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([grams], pa.binary()), pa.array([_squeeze(log[np.searchsorted(key, asked)], press)], pa.binary())], ["block", "grams", "logs"])
+
+    return each
+
+
+def _within(some: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which numbers stand in a sorted array."""
+    if not len(known):
+        return np.zeros(len(some), bool)
+    return known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
 
 
 def _discount(c: Column, d: list[float]) -> Column:
@@ -210,13 +326,19 @@ def train(texts: DataFrame, scratch: Scratch) -> Model | None:
 def entropies(docs: DataFrame, model: Model, scratch: Scratch, with_text: str | None = None) -> DataFrame:
     """The rows of ``docs(packed, n_symbols, block, ...)`` with ``nats``, the negative log-probability of the whole text, and, if a name is given, the text.
 
-    Each block asks once for each of its distinct n-grams: the questions go to the shards of the model, and the answers back to the block, where documents add theirs up.
+    Each block asks once for each of its distinct n-grams: the questions go to the shards of the model in one compressed row for each block and shard, the n-grams that
+    no shard knows get their probability by joins with the lower orders, and the answers go back to the block, where documents add theirs up. The number of shards grows with the model and with the texts.
     """
-    asked = docs.where("n_symbols > 0").select("block", "packed").mapInArrow(_asked, "block long, gram string")
-    log = F.log("p").alias("log")
-    found = scratch.write(asked.join(model.seen[-1], "gram", "left").select("gram", "block", log))
-    never = scratch.write(model.unseen(found.where("log is null").select("gram").distinct(), ORDER).select("gram", log))
-    answers = found.where("log is not null").select("block", "gram", "log").union(found.where("log is null").select("block", "gram").join(never, "gram").select("block", "gram", "log"))
+    spark = docs.sparkSession
+    sizes = docs.agg(F.coalesce(F.sum("n_symbols"), F.lit(0)).alias("n")).first()["n"]
+    each_way = max(partitions(spark, model.seen[-1].count(), 1_000_000), partitions(spark, sizes, 20 * BLOCK))
+    shards = 4 * each_way
+    dealt = lambda rows: rows.repartition(each_way, "shard").sortWithinPartitions("shard", "block")
+    asked = scratch.write(docs.where("n_symbols > 0").select("block", "packed").mapInArrow(_asked(shards), SHARD_ROW))
+    known = lambda grams: grams.select("gram", "p").mapInArrow(_known(shards), SHARD_ROW)
+    never = scratch.write(dealt(known(model.seen[-1]).union(asked)).mapInArrow(_answered(True), "gram string"))
+    never = scratch.write(model.unseen(never, ORDER))
+    answers = dealt(known(model.seen[-1]).union(known(never)).union(asked)).mapInArrow(_answered(False), "block long, grams binary, logs binary")
     others = [c for c in docs.columns if c not in ("packed", "block")]
     schema = T.StructType([docs.schema[c] for c in others]).add("nats", "double")
     if with_text:
@@ -226,11 +348,11 @@ def entropies(docs: DataFrame, model: Model, scratch: Scratch, with_text: str |
         import zstandard
 
         unpress = zstandard.ZstdDecompressor()
-        window = np.frombuffer("".join(found.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        key = _keys(window)[::ORDER] if len(window) else np.zeros(0, np.uint64)
+        held = [(_digests(_unsqueeze_grams(g, unpress)), _unsqueeze(x, np.float64, unpress)) for g, x in zip(found.column("grams").to_pylist(), found.column("logs").to_pylist(), strict=True)]
+        key, log = (np.concatenate([h[i] for h in held] or [np.zeros(0, kind)]) for i, kind in enumerate((np.uint64, np.float64)))
         order = np.argsort(key)
-        key, log = key[order], found.column("log").to_numpy()[order]
-        del window
+        key, log = key[order], log[order]
+        del held
         done = []
         for b in rows.select([*others, "packed"]).to_batches(max_chunksize=200):
             texts = list(_texts(b, unpress))
