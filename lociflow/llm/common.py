@@ -36,18 +36,29 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, f"{shared_folder(spark)}/lociflow/{name}-{uuid.uuid4().hex}", 0
         self.paths: set[str] = set()
+        self.tables: dict[str, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Evaluate ``df`` into a new table and return a DataFrame that reads it; the shuffle files behind it go."""
+    def write(self, df: DataFrame, bucket: str | None = None, buckets: int = 0) -> DataFrame:
+        """Evaluate ``df`` into a new table and return a DataFrame that reads it; the shuffle files behind it go.
+
+        With ``bucket``, the files are dealt by the hash of that column, so that grouping or joining by it moves no row of
+        this table. Such a table is registered in the session's catalogue until it is dropped.
+        """
         self.made += 1
         path, schema = f"{self.root}/{self.made}", df.schema
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            to = df.write.option("compression", "zstd")
+            if bucket:
+                name = f"spark_catalog.default.lociflow_{uuid.uuid4().hex}"
+                to.format("parquet").bucketBy(buckets, bucket).option("path", path).saveAsTable(name)
+                self.tables[path] = name
+            else:
+                to.parquet(path)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
-        out = self.spark.read.schema(schema).parquet(path)
+        out = self.spark.table(self.tables[path]) if bucket else self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         self.paths.add(path)
         return out
@@ -64,6 +75,8 @@ class Scratch:
 
     def _delete(self, name: str) -> None:
         self.paths.discard(name)
+        if name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

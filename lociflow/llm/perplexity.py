@@ -15,8 +15,10 @@ from .common import Scratch, null_key, partitions
 
 #: Characters of an n-gram. The alphabet is all of Unicode: no character is put into a class, and n-grams are as many as the texts have.
 ORDER = 5
-#: Characters of the texts that share their look-ups, and characters that are sorted at once.
-BLOCK, CHUNK = 8_000_000, 400_000
+#: Characters of the texts that share their look-ups, that are sorted at once, and that are compressed together.
+BLOCK, CHUNK, TOGETHER = 8_000_000, 400_000, 1_000_000
+#: Log-probabilities of n-grams go to the documents as whole numbers of this part of a nat.
+FINE = 2**34
 #: Trusted ids up to which they are broadcast; more are joined by shuffling.
 MOST_IDS = 1_000_000
 #: Judged documents from which a language has a quantile of its own.
@@ -102,7 +104,7 @@ class _Counter:
 
 
 def _pack(names: list[str]):
-    """Texts compressed and cut into blocks of about ``BLOCK`` characters of one task."""
+    """Texts compressed one by one."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -117,21 +119,46 @@ def _pack(names: list[str]):
     return each
 
 
+#: Documents of one block and role, compressed together with all of their columns, and the number of their characters.
+PACK = "block long, role int, n long, chunk binary"
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of documents of about ``TOGETHER`` characters, or one longer text, in blocks of about ``BLOCK`` characters of one task."""
+    import zstandard
+
+    press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     part, block, size = TaskContext.get().partitionId(), 0, 0
+    held: dict[int, list[pa.RecordBatch]] = {}
+    sizes: dict[int, int] = {}
+
+    def out(role: int) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held.pop(role)).combine_chunks()
+        texts = pa.array([unpress.decompress(x).decode("utf-8", "surrogatepass") for x in rows.column("packed").to_pylist()], pa.string())
+        rows = rows.drop_columns(["packed"]).append_column("text", texts)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as to:
+            to.write_table(rows)
+        values = (part << 24 | block, role, sizes.pop(role), press.compress(sink.getvalue()))
+        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "role", "n", "chunk"])
+
     for b in batches:
-        out = []
-        for n in b.column("n_symbols").to_pylist():
+        for i, (n, role) in enumerate(zip(b.column("n_symbols").to_pylist(), b.column("role").to_pylist(), strict=True)):
             if size and size + n > BLOCK:
+                yield from [out(r) for r in sorted(held)]
                 block, size = block + 1, 0
+            if role in held and sizes[role] + n > TOGETHER:
+                yield out(role)
+            held.setdefault(role, []).append(b.slice(i, 1))
+            sizes[role] = sizes.get(role, 0) + n
             size += n
-            out.append(part << 24 | block)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "block"])
+    yield from [out(r) for r in sorted(held)]
 
 
-def _texts(b: pa.RecordBatch, unpress) -> Iterator[str]:
-    for packed in b.column("packed").to_pylist():
-        yield unpress.decompress(packed).decode("utf-8", "surrogatepass")
+def _unpacked(b: pa.RecordBatch | pa.Table, unpress) -> Iterator[pa.Table]:
+    """The documents of each pack."""
+    for chunk in b.column("chunk"):
+        yield pa.ipc.open_stream(unpress.decompress(chunk.as_py())).read_all()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +166,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     unpress, seen = zstandard.ZstdDecompressor(), _Counter()
     for b in batches:
-        for text in _texts(b, unpress):
-            seen.add(text)
+        for pack in _unpacked(b, unpress):
+            for text in pack.column("text").to_pylist():
+                seen.add(text)
     seen.merge()
     for lo in range(0, len(seen.key), 100_000):
         yield pa.RecordBatch.from_arrays([seen.grams(lo, lo + 100_000), pa.array(seen.n[lo : lo + 100_000])], ["gram", "c"])
@@ -177,12 +205,13 @@ def _asked(shards: int):
             yield _shard_rows([(int(shard[lo]), block, _squeeze_grams(window[lo:hi], press), None) for lo, hi in _cuts(shard)])
 
         for b in batches:
-            for own, text in zip(b.column("block").to_pylist(), _texts(b, unpress), strict=True):
+            for own, pack in zip(b.column("block").to_pylist(), _unpacked(b, unpress), strict=True):
                 if own != block:
                     if block is not None:
                         yield from out()
                     seen, block = _Counter(), own
-                seen.add(text)
+                for text in pack.column("text").to_pylist():
+                    seen.add(text)
         if block is not None:
             yield from out()
 
@@ -245,7 +274,7 @@ def _answered(only_never: bool):
                         never = np.sort(np.concatenate((never, asked[new])))
                         yield pa.RecordBatch.from_arrays([_strings(places[:, new].T)], ["gram"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([grams], pa.binary()), pa.array([_squeeze(log[np.searchsorted(key, asked)], press)], pa.binary())], ["block", "grams", "logs"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([grams], pa.binary()), pa.array([_squeeze(np.rint(-log[np.searchsorted(key, asked)] * FINE).astype(np.int64), press)], pa.binary())], ["block", "grams", "logs"])
 
     return each
 
@@ -292,7 +321,7 @@ class Model:
 
 
 def train(texts: DataFrame, scratch: Scratch) -> Model | None:
-    """The model of all texts of ``texts(packed)``, nothing if they hold no character.
+    """The model of all texts of ``texts(chunk)``, nothing if they hold no character.
 
     N-grams are counted per partition before the shuffle and then sharded; contexts, continuation counts of lower orders and the probabilities of each order meet by joins on the context and on the
     shortened n-gram. All of these tables grow with the texts and stay distributed; only the counts of counts come to the driver.
@@ -323,24 +352,22 @@ def train(texts: DataFrame, scratch: Scratch) -> Model | None:
     return Model(seen, weights, none)
 
 
-def entropies(docs: DataFrame, model: Model, scratch: Scratch, with_text: str | None = None) -> DataFrame:
-    """The rows of ``docs(packed, n_symbols, block, ...)`` with ``nats``, the negative log-probability of the whole text, and, if a name is given, the text.
+def entropies(docs: DataFrame, size: int, model: Model, scratch: Scratch, fields: T.StructType, with_text: str | None = None) -> DataFrame:
+    """The documents of ``docs(block, n, chunk)``, of ``size`` bytes of text, with their columns ``fields``, ``nats``, the negative log-probability of the whole text, and, if a name is given, the text.
 
     Each block asks once for each of its distinct n-grams: the questions go to the shards of the model in one compressed row for each block and shard, the n-grams that
     no shard knows get their probability by joins with the lower orders, and the answers go back to the block, where documents add theirs up. The number of shards grows with the model and with the texts.
     """
     spark = docs.sparkSession
-    sizes = docs.agg(F.coalesce(F.sum("n_symbols"), F.lit(0)).alias("n")).first()["n"]
-    each_way = max(partitions(spark, model.seen[-1].count(), 1_000_000), partitions(spark, sizes, 20 * BLOCK))
+    each_way = max(partitions(spark, model.seen[-1].count(), 1_000_000), partitions(spark, size, 20 * BLOCK))
     shards = 4 * each_way
     dealt = lambda rows: rows.repartition(each_way, "shard").sortWithinPartitions("shard", "block")
-    asked = scratch.write(docs.where("n_symbols > 0").select("block", "packed").mapInArrow(_asked(shards), SHARD_ROW))
+    asked = scratch.write(docs.where("n > 0").select("block", "chunk").mapInArrow(_asked(shards), SHARD_ROW))
     known = lambda grams: grams.select("gram", "p").mapInArrow(_known(shards), SHARD_ROW)
     never = scratch.write(dealt(known(model.seen[-1]).union(asked)).mapInArrow(_answered(True), "gram string"))
     never = scratch.write(model.unseen(never, ORDER))
     answers = dealt(known(model.seen[-1]).union(known(never)).union(asked)).mapInArrow(_answered(False), "block long, grams binary, logs binary")
-    others = [c for c in docs.columns if c not in ("packed", "block")]
-    schema = T.StructType([docs.schema[c] for c in others]).add("nats", "double")
+    schema = T.StructType([*fields]).add("nats", "double")
     if with_text:
         schema = schema.add(with_text, "string")
 
@@ -348,20 +375,20 @@ def entropies(docs: DataFrame, model: Model, scratch: Scratch, with_text: str |
         import zstandard
 
         unpress = zstandard.ZstdDecompressor()
-        held = [(_digests(_unsqueeze_grams(g, unpress)), _unsqueeze(x, np.float64, unpress)) for g, x in zip(found.column("grams").to_pylist(), found.column("logs").to_pylist(), strict=True)]
-        key, log = (np.concatenate([h[i] for h in held] or [np.zeros(0, kind)]) for i, kind in enumerate((np.uint64, np.float64)))
+        held = [(_digests(_unsqueeze_grams(g, unpress)), _unsqueeze(x, np.int64, unpress)) for g, x in zip(found.column("grams").to_pylist(), found.column("logs").to_pylist(), strict=True)]
+        key, log = (np.concatenate([h[i] for h in held] or [np.zeros(0, kind)]) for i, kind in enumerate((np.uint64, np.int64)))
         order = np.argsort(key)
         key, log = key[order], log[order]
         del held
         done = []
-        for b in rows.select([*others, "packed"]).to_batches(max_chunksize=200):
-            texts = list(_texts(b, unpress))
-            nats = [-float(log[np.searchsorted(key, _keys(_points(t)))].sum()) if t else 0.0 for t in texts]
-            columns = [*b.columns[:-1], pa.array(nats, pa.float64()), *([pa.array(texts, pa.string())] if with_text else [])]
-            done.append(pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema]))
-        return pa.Table.from_batches(done) if done else pa.table({f.name: [] for f in schema})
+        for pack in _unpacked(rows, unpress):
+            texts = pack.column("text").to_pylist()
+            nats = [float(log[np.searchsorted(key, _keys(_points(t)))].sum(dtype=np.longdouble)) / FINE if t else 0.0 for t in texts]  # no sum overflows
+            columns = [*(pack.column(f.name) for f in fields), pa.array(nats, pa.float64()), *([pack.column("text")] if with_text else [])]
+            done.append(pa.Table.from_arrays(columns, names=[f.name for f in schema]))
+        return pa.concat_tables(done) if done else pa.table({f.name: [] for f in schema})
 
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, schema)
+    return docs.select("block", "chunk").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, schema)
 
 
 def classify(
@@ -391,13 +418,15 @@ def classify(
         packed = packed.withColumn("__salt", F.when(F.col("__id").isNull(), F.pmod(F.xxhash64("packed"), F.lit(4096)).cast("int")).otherwise(0))
         rows = packed.join(ids.hint("merge"), ["__id", "__salt"], "left")
     rows = rows.withColumn("role", F.coalesce("role", F.lit(0))).select(*schema.names, "role")
-    rows = scratch.write(rows.mapInArrow(_blocks, T.StructType([*rows.schema]).add("block", "long")))
+    fields = T.StructType([f for f in rows.schema if f.name != "packed"])
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    rows = scratch.write(rows.mapInArrow(_blocks, PACK), "block", partitions(spark, size, 2 * BLOCK))
 
-    model = train(rows.where("role = 1 and n_symbols > 0").select("packed"), scratch)
+    model = train(rows.where("role = 1 and n > 0").select("chunk"), scratch)
     text_out = "__text" if text_col in carry else None
     if model is None:
         model = Model([spark.createDataFrame([], "gram string, p double")] * ORDER, [spark.createDataFrame([], "context string, weight double")] * ORDER, 1.0)
-    scored = entropies(rows, model, scratch, text_out)
+    scored = entropies(rows, size, model, scratch, fields, text_out)
     scored = scratch.write(scored)
     scratch.drop_all_but(scored)
 
