@@ -18,6 +18,8 @@ from .components import components
 TABLE_ROWS = 600_000
 #: Texts whose shingles are counted to tell common ones, and how many of these are told at most.
 SAMPLE, COMMON = 5_000, 100_000
+#: Pairs that may meet at once in the buckets of prefix shingles, or a hundred for each text if that is more; beyond it the buckets are taken in turns.
+MOST_PAIRS = 50_000_000
 #: Buckets above this size are split once more by the bytes of the other segment.
 WIDE = 2048
 
@@ -73,47 +75,128 @@ def shingle_hashes(text: bytes, words_each: int = 5) -> np.ndarray:
     return np.unique(np.array([xxh3_64_intdigest(joined[s : e - 1]) for s, e in zip(starts, ends[k - 1 :], strict=True)], np.uint64).view(np.int64))
 
 
+def odd_sketch(h: np.ndarray) -> bytes:
+    """Bits that tell of which remainders there is an odd number of hashes: about a bit for each, a power of two of them.
+
+    Two sets differ in at least as many elements as their sketches in bits, once the longer one is folded to the length of the shorter.
+    """
+    size = min(max(64, 1 << max(0, len(h) - 1).bit_length()), 1 << 14)
+    return np.packbits(np.bincount(h & (size - 1), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def sketched_difference(a: bytes, b: bytes) -> int:
+    """Of two sets, given by their sketches, the least number of elements that only one of them has."""
+    if len(a) > len(b):
+        a, b = b, a
+    x = np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, len(a) // 8), axis=0) if len(a) < len(b) else np.frombuffer(b, np.uint64)
+    return int(np.bitwise_count(x ^ np.frombuffer(a, np.uint64)).sum())
+
+
 def _prefix(words_each: int, least: float, shared):
-    """Of every text the number of its shingles and the first of them, rare ones before common ones: two texts with a similarity of at least ``least`` have one of these in common."""
+    """Of every text the number of its shingles, their sketch and the first of them, rare ones before common ones: two texts with a similarity of at least ``least`` have one of these in common."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
         for b in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-            size, first = [], []
-            for t in b.column(2).to_pylist():
+            size, sketch, first = [], [], []
+            for t in b.column(3).to_pylist():
                 h = shingle_hashes(t, words_each)
                 size.append(len(h))
+                sketch.append(odd_sketch(h))
                 if len(h) and len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, rank[at], 0), kind="stable")]
                 first.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].tobytes() if len(h) else bytes(8))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int32()), pa.array(first, pa.binary())], ["t1", "t2", "n", "first"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(first, pa.binary())], ["t1", "t2", "doc_id", "n", "sketch", "first"])
 
     return each
 
 
-def _prefix_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            s = b.slice(lo, 1000)
-            first = [np.frombuffer(x, np.int64) for x in s.column(2).to_pylist()]
-            count = np.array([len(x) for x in first], np.int64)
-            if not len(count):
-                continue
-            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.repeat(s.column(0).to_numpy(), count)), pa.array(np.repeat(s.column(1).to_numpy(), count)), pa.array(place.astype(np.int32))], ["key", "rep", "n", "place"])
+#: Entries of texts under their prefix shingles that go to one shard, as bytes of key, text, number of shingles and place.
+ENTRIES = "shard int, packed binary"
+ENTRY = np.dtype([("key", "<i8"), ("rep", "<i8"), ("n", "<i4"), ("place", "<i4")])
+
+
+def _prefix_entries(shards: int):
+    """The entries of many texts at once, in one compressed row for each shard."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+
+        def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held)
+            shard = (x["key"].view(np.uint64) % np.uint64(shards)).astype(np.int32)
+            order = np.lexsort((x["key"], shard))
+            x, shard = x[order], shard[order]
+            starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            rows = [press.compress(_apart(part)) for part in np.split(x, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), pa.array(rows, pa.binary())], ["shard", "packed"])
+
+        held, size = [], 0
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                s = b.slice(lo, 1000)
+                first = [np.frombuffer(x, np.int64) for x in s.column(2).to_pylist()]
+                count = np.array([len(x) for x in first], np.int64)
+                x = np.empty(count.sum(), ENTRY)
+                x["key"], x["rep"], x["n"] = np.concatenate(first), np.repeat(s.column(0).to_numpy(), count), np.repeat(s.column(1).to_numpy(), count)
+                x["place"] = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+                held.append(x)
+                size += len(x)
+                if size > 1_000_000:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
+    return each
+
+
+def _apart(x: np.ndarray) -> bytes:
+    """Entries sorted by key: of each column all first bytes, then all second ones and so on; keys as steps from one to the next."""
+    columns = [np.diff(x["key"].view(np.uint64), prepend=np.uint64(0)), *(np.ascontiguousarray(x[c]) for c in ENTRY.names[1:])]
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(x), -1).T).tobytes() for c in columns)
+
+
+def _together(packed: bytes) -> np.ndarray:
+    n = len(packed) // ENTRY.itemsize
+    x, at = np.empty(n, ENTRY), 0
+    for c in ENTRY.names:
+        width = ENTRY[c].itemsize
+        x[c] = np.ascontiguousarray(np.frombuffer(packed, np.uint8, n * width, at).reshape(width, n).T).view(ENTRY[c]).ravel()
+        at += n * width
+    x["key"] = np.cumsum(x["key"].view(np.uint64), dtype=np.uint64).view(np.int64)
+    return x
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The entries of a partition whose key another text has too."""
-    parts = [b for b in batches if b.num_rows]
+    import zstandard
+
+    unpress = zstandard.ZstdDecompressor()
+    parts = [_together(unpress.decompress(p)) for b in batches for p in b.column(1).to_pylist()]
     if parts:
-        key = np.concatenate([b.column(0).to_numpy() for b in parts])
-        _, at, count = np.unique(key, return_inverse=True, return_counts=True)
-        more, lo = count[at] > 1, 0
-        for b in parts:
-            yield b.filter(pa.array(more[lo : lo + b.num_rows]))
-            lo += b.num_rows
+        x = np.concatenate(parts)
+        del parts
+        x = x[np.argsort(x["key"], kind="stable")]
+        same = x["key"][1:] == x["key"][:-1]
+        x = x[np.r_[False, same] | np.r_[same, False]]
+        for lo in range(0, len(x), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c][lo : lo + 100_000])) for c in ENTRY.names], ["key", "rep", "n", "place"])
+
+
+def _not_ruled_out(least: float):
+    """Pairs that may be similar by their sketches; none that is gets lost."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = (b.column(2).to_numpy() + b.column(3).to_numpy()) * (1 - least) / (1 + least) + 1e-6
+            differ = np.array([sketched_difference(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
+            yield b.select([0, 1]).filter(pa.array(differ <= n))
+
+    return each
 
 
 def _candidates(least: float, order: int | None):
@@ -177,10 +260,13 @@ def _similar(words_each: int, least: float):
         return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = shingles(x), shingles(y)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = shingles(unpress.decompress(x.as_py())), shingles(unpress.decompress(y.as_py()))
                 common = len(p & q)
                 keep.append(common >= least * (len(p) + len(q) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -188,49 +274,67 @@ def _similar(words_each: int, least: float):
     return each
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    for b in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([press.compress(t) for t in b.column(2).to_pylist()], pa.binary())], ["t1", "t2", "text"])
+
+
 def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8) -> DataFrame:
     """``(t1, t2, rep, component, stays)`` of every distinct text: texts linked by a similarity of at least ``least`` share the smallest of their ids.
 
     An exact prefix-filter join: of a text's distinct shingles of ``words_each`` words, ordered from rare to common, the first n - ceil(least * n) + 1 are entered; two texts as similar as ``least``
-    share one of them. The order comes from the counts of a sample, which decides how long buckets are and not what is found. Every candidate is verified by the exact Jaccard similarity of the
-    texts unless both already hang together by verified links: neighbours in each bucket in two orders first, so that large groups grow together, then all pairs that are left.
+    share one of them. The order comes from the counts of a sample, which decides how long buckets are and not what is found. Candidates whose sketches differ in more bits than similar texts
+    have different shingles are none; every other one is verified by the exact Jaccard similarity of the texts unless both already hang together by verified links: neighbours in each bucket in
+    two orders first, so that large groups grow together, then all pairs that are left, some of the buckets at a time where they hold many. Only texts of pairs that are verified meet, compressed.
     ``t1`` and ``t2`` are two digests of the text, ``rep`` is the smallest id among its copies, null if none has an id, and ``component`` the smallest in the group. ``stays`` marks one text of
     each group: that with the smallest id, and where ids are null or equal with the smallest digests. Null texts count as empty; an empty table gives no rows.
     """
     scratch = Scratch(spark, "similar")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.withColumns({"t1": F.xxhash64(F.lit(1), "text"), "t2": F.xxhash64(F.lit(2), "text")})
-    keys = scratch.write(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("least_id")).withColumn("rep", F.monotonically_increasing_id()))
-    n = keys.count()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(lo, 100) for b in batches for lo in range(0, b.num_rows, 100)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_hashes(t, words_each) for t in b.column(0).to_pylist()]))], ["h"])
 
-    sample = rows.where(F.pmod(F.xxhash64("t1", "t2"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    sample = rows.where(F.pmod(F.xxhash64("t1", "t2"), F.lit(max(1, docs.count() // SAMPLE))) == 0).select("text")
     often = sample.mapInArrow(hashes, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toPandas().sort_values("h")
     shared = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
-    printed = rows.select("t1", "t2", "text").mapInArrow(_prefix(words_each, least, shared), "t1 long, t2 long, n int, first binary").groupBy("t1", "t2").agg(F.first(F.struct("n", "first")).alias("p"))
-    heads = printed.join(keys, ["t1", "t2"]).select(F.col("rep").cast("long").alias("rep"), "p.n", "p.first")
-    entries = heads.mapInArrow(_prefix_entries, "key long, rep long, n int, place int")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    printed = rows.select("t1", "t2", "doc_id", "text").mapInArrow(_prefix(words_each, least, shared), f"t1 long, t2 long, doc_id {kind}, n int, sketch binary, first binary")
+    one = printed.groupBy("t1", "t2").agg(F.min("doc_id").alias("least_id"), F.first(F.struct("n", "sketch", "first")).alias("p"))
+    heads = scratch.write(one.select("t1", "t2", "least_id", "p.*").withColumn("rep", F.monotonically_increasing_id()))
+    n = heads.count()
     parts = partitions(spark, 70 * n, TABLE_ROWS)
-    entries = scratch.write(entries.repartition(parts, "key").mapInArrow(_met, entries.schema))
+    entries = heads.select("rep", "n", "first").mapInArrow(_prefix_entries(parts), ENTRIES).repartition(parts, "shard")
+    entries = scratch.write(entries.mapInArrow(_met, "key long, rep long, n int, place int"))
+    keys = scratch.write(heads.drop("first"))
+    scratch.drop(heads)
+    end = lambda c: keys.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    most = entries.groupBy("key").count().agg(F.sum(F.expr("cast(count as double) * (count - 1) / 2"))).first()[0] or 0
+    slices = math.ceil(most / max(MOST_PAIRS, 100 * n)) or 1
 
     verified = true = roots = None
-    for order in (0, 1, None):
-        placed = entries.withColumn("root", F.col("rep")) if roots is None else entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "place", F.coalesce("root", "rep").alias("root"))
-        pairs = placed.repartition(parts, "key").mapInArrow(_candidates(least, order), "u long, v long").distinct()
-        pairs = scratch.write(pairs if verified is None else pairs.join(verified, ["u", "v"], "left_anti"))
+    for order, part in [(0, None), (1, None), *((None, i) for i in range(slices))]:
+        own = entries if part is None or slices == 1 else entries.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == part)
+        placed = own.withColumn("root", F.col("rep")) if roots is None else own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "place", F.coalesce("root", "rep").alias("root"))
+        found = placed.repartition(parts, "key").mapInArrow(_candidates(least, order), "u long, v long").distinct()
+        found = found if verified is None else found.join(verified, ["u", "v"], "left_anti")
+        pairs = scratch.write(found.join(end("u"), "u").join(end("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(_not_ruled_out(least), "u long, v long"))
         ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
         wanted = keys.join(ends, keys.rep == ends.doc_id, "left_semi").select("t1", "t2", F.col("rep").alias("doc_id"))
-        texts = scratch.write(rows.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).dropDuplicates(["doc_id"]).select("doc_id", "text"))
+        packed = rows.select("t1", "t2", "text").mapInArrow(_pressed, "t1 long, t2 long, text binary")
+        texts = scratch.write(packed.join(wanted, ["t1", "t2"]).dropDuplicates(["doc_id"]).select("doc_id", "text"))
         both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
         links = scratch.write(both.select("u", "v", "a", "b").mapInArrow(_similar(words_each, least), "u long, v long"))
         scratch.drop(texts)
         verified, true = (pairs, links) if verified is None else (verified.union(pairs), true.union(links))
         roots = scratch.write(components(true, scratch))
-        if order is None:
-            scratch.drop_all_but(keys, roots)
+    scratch.drop_all_but(keys, roots)
     named = keys.join(roots, keys.rep == roots.node, "left").select("t1", "t2", F.col("least_id").alias("rep"), F.coalesce("root", "rep").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "t1", "t2")).alias("first"))
     found = named.join(first, "root")

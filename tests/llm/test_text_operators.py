@@ -142,6 +142,37 @@ def test_isolated_pairs_at_the_limit_are_found(spark):
     assert [got[i] for i, _ in texts] == want
 
 
+def test_texts_of_pairs_that_sketches_rule_out_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 1)  # so that shared shingles are not known to be common
+    r = random.Random(8)
+    texts = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(150)) + "".join(f" c{j}" for j in range(30))) for i in range(60)]
+    texts += [(100 + i, t + " more") for i, t in texts[:5]]
+    gathered = []
+    write = simhash.Scratch.write
+
+    def watched(self, df, *args, **more):
+        out = write(self, df, *args, **more)
+        if "text" in out.columns:
+            gathered.append({x["doc_id"] for x in out.select("doc_id").collect()})
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "write", watched)
+    got = {x["rep"]: x["component"] for x in simhash.similar_groups(spark, table(spark, texts)).collect()}
+    assert got == {i: i % 100 for i, _ in texts}
+    assert len(set().union(*gathered)) == 10
+
+
+def test_sketches_rule_out_no_similar_pair():
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    for n in (0, 1, 63, 64, 65, 700, 5000, 40_000):
+        a = np.unique(r.integers(-(2**62), 2**62, n))
+        for gone, new in ((0, 0), (3, 5), (n // 10, n // 4), (n, n)):
+            b = np.unique(np.concatenate((a[gone:], r.integers(-(2**62), 2**62, new))))
+            assert simhash.sketched_difference(simhash.odd_sketch(a), simhash.odd_sketch(b)) <= len(np.setxor1d(a, b))
+
+
 def brute_cut(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
