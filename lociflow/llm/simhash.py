@@ -24,26 +24,37 @@ MOST_PAIRS = 50_000_000
 WIDE = 2048
 
 
-def fingerprint(text: bytes, words_each: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a text: a bit is set if it is set in over half of the XXH64 hashes of the word shingles."""
+def _digests(text: bytes, words_each: int, seed: int) -> bytes:
+    """XXH64 of every word shingle of a text, one after the other."""
     from xxhash import xxh64_digest
 
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return b""
     joined = b" ".join(words)
     k = min(words_each, n)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: n - k]]
-    hashes = b"".join([xxh64_digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[k - 1 :], strict=True)])
-    m = n - k + 1
+    return b"".join([xxh64_digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[k - 1 :], strict=True)])
+
+
+def _majority(hashes: bytes) -> int:
+    """64 bits, of which one is set if it is set in over half of the hashes."""
+    m = len(hashes) // 8
+    if not m:
+        return 0
     # Eight one-byte counters share a machine word; 255 hashes can't overflow them.
     lanes = np.unpackbits(np.frombuffer(hashes, np.uint8)).view(np.uint64).reshape(m, 8)
     sums = np.add.reduceat(lanes, np.arange(0, m, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * sums > m).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words_each: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of a text: a bit is set if it is set in over half of the XXH64 hashes of the word shingles."""
+    return _majority(_digests(text, words_each, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, seed: int = 42) -> DataFrame:
     """``(doc_id, fp long)`` of every row; a null text counts as empty and has fingerprint zero.
 
@@ -60,19 +71,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
 
 
-def shingle_hashes(text: bytes, words_each: int = 5) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, in ascending order."""
-    from xxhash import xxh3_64_intdigest
+def _distinct(hashes: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(hashes, np.int64))
 
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(words)
-    k = min(words_each, n)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[: n - k]]
-    return np.unique(np.array([xxh3_64_intdigest(joined[s : e - 1]) for s, e in zip(starts, ends[k - 1 :], strict=True)], np.uint64).view(np.int64))
+
+def shingle_hashes(text: bytes, words_each: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in ascending order."""
+    return _distinct(_digests(text, words_each, seed))
 
 
 def odd_sketch(h: np.ndarray) -> bytes:
@@ -93,21 +98,23 @@ def sketched_difference(a: bytes, b: bytes) -> int:
 
 
 def _prefix(words_each: int, least: float, shared):
-    """Of every text the number of its shingles, their sketch and the first of them, rare ones before common ones: two texts with a similarity of at least ``least`` have one of these in common."""
+    """Of every text its fingerprint, the number of its shingles, their sketch and the first of them, rare ones before common ones: two texts with a similarity of at least ``least`` have one of these in common."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
         for b in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-            size, sketch, first = [], [], []
+            fp, size, sketch, first = [], [], [], []
             for t in b.column(3).to_pylist():
-                h = shingle_hashes(t, words_each)
+                hashes = _digests(t, words_each, 42)
+                fp.append(_majority(hashes))
+                h = _distinct(hashes)
                 size.append(len(h))
                 sketch.append(odd_sketch(h))
                 if len(h) and len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, rank[at], 0), kind="stable")]
                 first.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].tobytes() if len(h) else bytes(8))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(first, pa.binary())], ["t1", "t2", "doc_id", "n", "sketch", "first"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(first, pa.binary())], ["t1", "t2", "doc_id", "fp", "n", "sketch", "first"])
 
     return each
 
@@ -286,7 +293,8 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8) -> DataFrame:
     """``(t1, t2, rep, component, stays)`` of every distinct text: texts linked by a similarity of at least ``least`` share the smallest of their ids.
 
-    An exact prefix-filter join: of a text's distinct shingles of ``words_each`` words, ordered from rare to common, the first n - ceil(least * n) + 1 are entered; two texts as similar as ``least``
+    SimHash by multi-index hashing comes first: texts whose fingerprints differ in at most three bits are the first candidates. What fingerprints miss or a forest of their links leaves apart is
+    found by an exact prefix-filter join: of a text's distinct shingles of ``words_each`` words, ordered from rare to common, the first n - ceil(least * n) + 1 are entered; two texts as similar as ``least``
     share one of them. The order comes from the counts of a sample, which decides how long buckets are and not what is found. Candidates whose sketches differ in more bits than similar texts
     have different shingles are none; every other one is verified by the exact Jaccard similarity of the texts unless both already hang together by verified links: neighbours in each bucket in
     two orders first, so that large groups grow together, then all pairs that are left, some of the buckets at a time where they hold many. Only texts of pairs that are verified meet, compressed.
@@ -305,8 +313,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     often = sample.mapInArrow(hashes, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toPandas().sort_values("h")
     shared = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    printed = rows.select("t1", "t2", "doc_id", "text").mapInArrow(_prefix(words_each, least, shared), f"t1 long, t2 long, doc_id {kind}, n int, sketch binary, first binary")
-    one = printed.groupBy("t1", "t2").agg(F.min("doc_id").alias("least_id"), F.first(F.struct("n", "sketch", "first")).alias("p"))
+    printed = rows.select("t1", "t2", "doc_id", "text").mapInArrow(_prefix(words_each, least, shared), f"t1 long, t2 long, doc_id {kind}, fp long, n int, sketch binary, first binary")
+    one = printed.groupBy("t1", "t2").agg(F.min("doc_id").alias("least_id"), F.first(F.struct("fp", "n", "sketch", "first")).alias("p"))
     heads = scratch.write(one.select("t1", "t2", "least_id", "p.*").withColumn("rep", F.monotonically_increasing_id()))
     n = heads.count()
     parts = partitions(spark, 70 * n, TABLE_ROWS)
@@ -319,10 +327,10 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     slices = math.ceil(most / max(MOST_PAIRS, 100 * n)) or 1
 
     verified = true = roots = None
-    for order, part in [(0, None), (1, None), *((None, i) for i in range(slices))]:
+    for order, part in [("fingerprints", None), (0, None), (1, None), *((None, i) for i in range(slices))]:
         own = entries if part is None or slices == 1 else entries.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == part)
         placed = own.withColumn("root", F.col("rep")) if roots is None else own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "place", F.coalesce("root", "rep").alias("root"))
-        found = placed.repartition(parts, "key").mapInArrow(_candidates(least, order), "u long, v long").distinct()
+        found = near_fingerprints(keys) if order == "fingerprints" else placed.repartition(parts, "key").mapInArrow(_candidates(least, order), "u long, v long").distinct()
         found = found if verified is None else found.join(verified, ["u", "v"], "left_anti")
         pairs = scratch.write(found.join(end("u"), "u").join(end("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(_not_ruled_out(least), "u long, v long"))
         ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
@@ -341,9 +349,20 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     return found.select("t1", "t2", "rep", F.col("first.rep").alias("component"), ((F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))).alias("stays"))
 
 
+def near_fingerprints(keys: DataFrame, most_bits: int = 3) -> DataFrame:
+    """``(u, v)``, u < v: of the texts of ``keys(rep, fp)`` pairs whose fingerprints are equal or differ in at most ``most_bits`` bits, enough to connect all that do."""
+    distinct = keys.groupBy("fp").agg(F.min("rep").alias("rep"))
+    entries = distinct.mapInArrow(_tables, "key long, probe boolean, fp long, rep long")
+    near = entries.repartition(partitions(keys.sparkSession, 36 * distinct.count(), TABLE_ROWS), "key").mapInArrow(_spanning(most_bits), "u long, v long")
+    equal = keys.select("fp", F.col("rep").alias("v")).join(distinct, "fp").where("rep <> v").select(F.col("rep").alias("u"), "v")
+    return near.union(equal).distinct()
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without those that another row stands for: of each group of copies and near copies the row with the smallest id stays.
 
+    Near copies are found by SimHash and multi-index hashing, verified on the texts, and completed by an exact join (``similar_groups``).
+
     Where the ids of a group are null, one of its rows stays; of equal rows all but one go. Different texts with one id are texts of their own. Null texts are empty ones. Columns and their names are those of ``docs``.
     """
     groups = similar_groups(spark, docs, id_col, text_col, words_each, least)
@@ -435,6 +454,29 @@ def _links(most: int):
     return each
 
 
+def _spanning(most: int):
+    """Of the pairs in the buckets of a partition that differ in at most ``most`` bits those that connect what others don't, and few more."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, probe, fp, rep = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((probe, key))
+        key, probe, fp, rep = key[order], probe[order], fp[order].view(np.uint64), rep[order]
+        nodes, at = np.unique(rep, return_inverse=True)
+        sets = Unions(len(nodes))
+        for a, b in _matches(key, probe, fp, most):
+            x, y = sets.roots(at[a]), sets.roots(at[b])
+            _, new = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0, return_index=True)
+            new = new[x[new] != y[new]]
+            sets.union(at[a[new]], at[b[new]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a[new]], rep[b[new]])), pa.array(np.maximum(rep[a[new]], rep[b[new]]))], ["u", "v"])
+
+    return each
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, most_bits: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)``: documents whose fingerprints are linked, directly or through others, share the smallest id.
 

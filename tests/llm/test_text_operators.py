@@ -40,6 +40,12 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def brute_words(text, each):
+    words = text.split()
+    hs = [xxhash.xxh64_intdigest(" ".join(words[i : i + each]).encode(), 42) for i in range(len(words) - each + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
 def brute_fingerprint(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     if not words:
@@ -173,6 +179,29 @@ def test_sketches_rule_out_no_similar_pair():
             assert simhash.sketched_difference(simhash.odd_sketch(a), simhash.odd_sketch(b)) <= len(np.setxor1d(a, b))
 
 
+def test_fingerprints_find_near_copies_by_themselves(spark, monkeypatch):
+    def no_entry(batches):
+        for _ in batches:
+            pass
+        yield from ()
+
+    monkeypatch.setattr(simhash, "_met", no_entry)  # the exact join finds nothing
+    r = random.Random(10)
+    texts = []
+    for g in range(20):
+        base = [f"w{r.randrange(10**4)}" for _ in range(1500)]
+        texts += [(100 * g + c, " ".join([*base[:700], *["new"] * c, *base[700:]])) for c in range(3)]
+    fp = [brute_words(t, 5) for _, t in texts]
+    near = {(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3}
+    got = {x["rep"]: x["component"] for x in simhash.similar_groups(spark, table(spark, texts)).collect()}
+    sets = simhash.Unions(len(texts))
+    import numpy as np
+
+    sets.union(*(np.array(x, np.int64) for x in zip(*near, strict=True)))
+    assert len(near) > 10
+    assert [got[i] for i, _ in texts] == [texts[x][0] for x in sets.labels()]
+
+
 def brute_cut(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
