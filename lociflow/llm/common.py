@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +90,23 @@ def partitions(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
+def hand_back() -> None:
+    """Memory that a Python worker has freed goes back to the system; the worker waits for its next task, and would hold it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(f: Callable) -> Callable:
+    """``f`` over the batches of a task, which hands its memory back at the end."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        hand_back()
+
+    return each
+
+
 def null_key(c: str | Column) -> Column:
     """A non-null string in which null and every string stay distinct, for joins that match nulls."""
     c = F.col(c) if isinstance(c, str) else c

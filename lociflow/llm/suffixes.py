@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, partitions, released
 
 #: Depth in bytes to which suffixes are ordered by multikey quicksort; blind tries order the rest.
 SHALLOW = 64
 #: Window starts handled at once in a text; longer texts go in overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Occurrences of one anchor above which its windows are counted in the cluster instead of in one task.
 HOT = 50_000
 #: Contexts in one partition of the sort.
@@ -115,7 +115,7 @@ def _digest(text: bytes) -> tuple[int, int]:
 
 def _anchored(length: int, k: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             texts = b.column(2).to_pylist()
             found: dict[int, list[np.ndarray]] = defaultdict(list)
             for buf, who, off, lo, hi in _pieces(texts, length):
@@ -199,7 +199,7 @@ def _contexts(length: int):
                 for h, pos, f, e, w in zip(a["h"].tolist(), a["pos"].tolist(), a["first"].tolist(), a["last"].tolist(), is_hot, strict=True):
                     held[h, pos - f, text[f : e + length], w].append((id_, f, m))
                 n += len(a)
-                if n > 200_000:
+                if n > 100_000:
                     yield from rows(held)
                     held.clear()
                     n = 0
@@ -381,7 +381,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
         yield b.set_column(2, "packed", pa.array([press.compress(t) for t in b.column(2).to_pylist()], pa.binary()))
 
 
@@ -443,31 +443,31 @@ def _removals(spark: SparkSession, keyed: DataFrame, length: int, gram: int, hot
     """``(t1, t2, n_removed, n_spans, kept)`` for those distinct texts that lose something; ``kept`` as bytes or as their digest."""
     scratch = Scratch(spark, "suffixes")
     d = keyed.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col("__body").alias("text")).where(F.length("text") >= length)
-    found = d.mapInArrow(_anchored(length, gram), "t1 long, t2 long, anchors binary")
+    found = d.mapInArrow(released(_anchored(length, gram)), "t1 long, t2 long, anchors binary")
     texts = found.groupBy("t1", "t2").agg(F.least(F.count("*"), F.lit(2)).cast("tinyint").alias("m"), F.first("anchors").alias("anchors"))
     texts = scratch.write(texts.withColumn("id", F.monotonically_increasing_id()))  # written, and so fixed
 
-    places = texts.select("id", "m", "anchors").mapInArrow(_hashes, "h long, m tinyint, id long")
+    places = texts.select("id", "m", "anchors").mapInArrow(released(_hashes), "h long, m tinyint, id long")
     # one sum holds the number of places and, in the lower bits, that of texts
     seen = places.groupBy("h").agg(F.sum(F.shiftleft(F.col("m").cast("long"), 40) + 1).alias("n"))
     twice = seen.where(F.shiftright("n", 40) >= 2).select("h", (F.col("n").bitwiseAND(F.lit((1 << 40) - 1)) > hot).alias("hot"))
     marks = places.select("h", "id").join(twice, "h").groupBy("id").agg(F.collect_list("h").alias("marks"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
 
-    pressed = d.mapInArrow(_texts, "t1 long, t2 long, packed binary").groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
+    pressed = d.mapInArrow(released(_texts), "t1 long, t2 long, packed binary").groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
     marked = texts.join(marks, "id").select("t1", "t2", "id", "m", "anchors", "marks", "hot")
     holders = scratch.write(pressed.join(marked, ["t1", "t2"]))
     scratch.drop(texts)
-    contexts = holders.select("id", "m", "packed", "anchors", "marks", "hot").mapInArrow(_unpressed(_contexts(length)), "h long, ctx binary, ahead smallint, places binary, hot boolean")
+    contexts = holders.select("id", "m", "packed", "anchors", "marks", "hot").mapInArrow(released(_unpressed(_contexts(length))), "h long, ctx binary, ahead smallint, places binary, hot boolean")
     total, hottest = holders.agg(F.sum(F.size("marks")), F.max(F.size("hot"))).first()
     sort_parts = partitions(spark, total or 0, CONTEXTS)
-    ranges = contexts.where("not hot").repartition(sort_parts, "h").mapInArrow(_sorted_ranges(length), "id long, lo long, hi long")
+    ranges = contexts.where("not hot").repartition(sort_parts, "h").mapInArrow(released(_sorted_ranges(length)), "id long, lo long, hi long")
     if hottest:
-        windows = scratch.write(contexts.where("hot").mapInArrow(_windows(length), "d1 long, d2 long, id long, lo long, m long"))
+        windows = scratch.write(contexts.where("hot").mapInArrow(released(_windows(length)), "d1 long, d2 long, id long, lo long, m long"))
         repeated = windows.groupBy("d1", "d2").agg(F.sum("m").alias("c")).where("c >= 2").select("d1", "d2")
         ranges = ranges.union(windows.join(repeated, ["d1", "d2"], "left_semi").select("id", "lo", (F.col("lo") + length).alias("hi")))
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     done = holders.select("id", "t1", "t2", "packed").join(ranges, "id").select("t1", "t2", "packed", "ranges")
-    out = scratch.write(done.mapInArrow(_unpressed(_cut(digest)), f"t1 long, t2 long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"))
+    out = scratch.write(done.mapInArrow(released(_unpressed(_cut(digest))), f"t1 long, t2 long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"))
     scratch.drop_all_but(out)
     return out
 

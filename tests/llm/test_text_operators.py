@@ -226,6 +226,21 @@ def test_repeats(spark, odd, none, hot):
         assert suffixes.repeat_digests(spark, none).count() == 0
 
 
+def test_anchors_take_little_memory_beside_the_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(11)
+    texts = [r.randbytes(4000) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), pa.array(texts, pa.binary())], ["t1", "t2", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in suffixes._anchored(200, 40)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 and most < 100e6
+
+
 def test_deep_shallow_sort_orders_and_measures():
     import numpy as np
 
