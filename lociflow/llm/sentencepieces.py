@@ -9,6 +9,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import hand_back
+
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Piece types, model types and field numbers of the model's protobuf.
@@ -105,8 +108,8 @@ def words_apart(m: Model) -> bool:
     return m.escape and not any(MARK in p.lstrip(MARK) for p, _, k in m.pieces if k in (NORMAL, USER_DEFINED))
 
 
-def build(data: bytes):
-    """A tokenizer with the model's normaliser, metaspace marker, pieces with their scores, and byte fallback."""
+def build(data: bytes, cache: int = 10_000):
+    """A tokenizer with the model's normaliser, metaspace marker, pieces with their scores, and byte fallback; it remembers the pieces of ``cache`` words."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     m = parse(data)
@@ -117,7 +120,7 @@ def build(data: bytes):
         usable = {p: s for p, s, k in m.pieces if k in (NORMAL, USER_DEFINED)}
         order = sorted((p for p in usable if len(p) > 1), key=lambda p: -usable[p])  # stable: equal scores in the order of ids
         merges = [(p[:i], p[i:]) for p in order for i in range(1, len(p)) if p[:i] in usable and p[i:] in usable]
-        model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges, unk_token=m.pieces[unknown][0] if unknown is not None else None, fuse_unk=True, byte_fallback=m.byte_fallback)
+        model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges, unk_token=m.pieces[unknown][0] if unknown is not None else None, fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=cache)
     t = Tokenizer(model)
     steps = []
     if m.charsmap:
@@ -149,16 +152,17 @@ class Codec:
         from tokenizers import Tokenizer
 
         m = parse(data)
-        self.tokenizer, self.threads, self.most_bytes, self.held = build(data), threads, most_bytes, 0
-        self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
-        # where words are independent, each distinct word goes through the pieces once
+        # where words are independent, each distinct word goes through the pieces once, and they needn't remember it
         self.apart = words_apart(m) and m.byte_fallback and not any(k == USER_DEFINED for _, _, k in m.pieces)
+        self.tokenizer, self.threads, self.most_bytes, self.held = build(data, 0) if self.apart else build(data), threads, most_bytes, 0
+        self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.words: dict[str, bytes] = {}
         self.misspelled: set[str] = set()  # words whose ids don't spell them
         self.differ: set[str] = set()  # words to which the reference library gives other ids
         self.pieces = Tokenizer(self.tokenizer.model)
         mark = MARK.encode()
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode().replace(mark, b" ") for p, _, k in m.pieces]
+        self.lengths = np.array([len(p) for p in self.bytes], np.int64)
         self.unknown = {i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN}
         self.dummy = m.dummy_prefix
         self.identity, self.start = not m.charsmap and not m.squeeze, MARK if m.dummy_prefix else ""
@@ -169,29 +173,46 @@ class Codec:
         ``check`` compares the words that are new with the reference library. What is known takes ``most_bytes`` by estimate, however long the words are, and starts anew beyond.
         """
         if self.held > self.most_bytes:
-            for held in (self.words, self.misspelled, self.differ):
-                held.clear()
-            self.held = 0
+            self.forget()
         known = self.words
         normal = (lambda t: self.start + t.replace(" ", MARK)) if self.identity else self.tokenizer.normalizer.normalize_str
         whole, split = [], []
         for t in texts:
             n = normal(t) if t else ""
             whole.append(n)
-            if MARK * 2 in n or not n.startswith(MARK):
+            if MARK * 2 in n or " " in n or not n.startswith(MARK):
                 split.append(_WORDS.findall(n))
             else:
-                split.append([MARK + w for w in n[1:].split(MARK)] if n != MARK else [n])
-        missing = list({w for ws in split for w in ws if w not in known})
+                split.append(n.replace(MARK, " " + MARK)[1:].split(" "))
+        missing = list(set(chain.from_iterable(split)).difference(known))
+        if not missing:
+            return whole, split
         own = [e.ids for e in self.pieces.encode_batch_fast(missing, add_special_tokens=False)]
-        known.update(zip(missing, [array("i", x).tobytes() for x in own], strict=True))
-        self.held += sum(240 + 2 * len(w) + 4 * len(x) for w, x in zip(missing, own, strict=True))
-        self.misspelled.update(w for w, x in zip(missing, own, strict=True) if b"".join([self.bytes[i] for i in x]) != w.replace(MARK, " ").encode())
+        ends = np.cumsum([0, *map(len, own)])
+        ids = np.fromiter(chain.from_iterable(own), np.int32, ends[-1])
+        packed, at = ids.tobytes(), (4 * ends).tolist()
+        known.update(zip(missing, [packed[lo:hi] for lo, hi in pairwise(at)], strict=True))
+        plain = [w.encode() for w in "\0".join(missing).replace(MARK, " ").split("\0")]
+        if len(plain) != len(missing):  # a word holds the separator
+            plain = [w.replace(MARK, " ").encode() for w in missing]
+        lengths = np.fromiter(map(len, plain), np.int64, len(plain))
+        self.held += 240 * len(missing) + 2 * int(lengths.sum()) + len(packed)
+        # all words are spelled by their ids if they are as long and the same when joined
+        spelled = np.diff(np.concatenate(([0], np.cumsum(self.lengths[ids])))[ends])
+        if not np.array_equal(spelled, lengths) or b"".join(map(self.bytes.__getitem__, ids.tolist())) != b"".join(plain):
+            self.misspelled.update(w for w, x, t in zip(missing, own, plain, strict=True) if b"".join([self.bytes[i] for i in x]) != t)
         if check:
-            theirs = self.original.encode([w[self.dummy :].replace(MARK, " ") for w in missing], num_threads=self.threads)
-            self.differ.update(w for w, a, b in zip(missing, own, theirs, strict=True) if a != b)
+            theirs = self.original.encode([t[self.dummy and t[:1] == b" " :] for t in plain], num_threads=self.threads)
+            if theirs != own:
+                self.differ.update(w for w, a, b in zip(missing, own, theirs, strict=True) if a != b)
         return whole, split
 
+    def forget(self) -> None:
+        """Lets go of the words that are known, so that a worker that waits for its next task doesn't hold them."""
+        for held in (self.words, self.misspelled, self.differ):
+            held.clear()
+        self.held = 0
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         if not self.apart:
             return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
@@ -224,7 +245,7 @@ class Codec:
                 own = theirs
             return pa.array(own, pa.list_(pa.int32())), same, [a == b for a, b in zip(self.decode(own), texts, strict=True)]
         whole, split = self.split(texts, check)
-        packed = [b"".join([self.words[w] for w in ws]) for ws in split]
+        packed = [b"".join(map(self.words.__getitem__, ws)) for ws in split]
         back = [n.replace(MARK, " ")[self.dummy and n[:1] == MARK :] == t for t, n in zip(texts, whole, strict=True)]
         same = [True if check else None] * len(texts)
         for i, ws in enumerate(split if self.differ or self.misspelled else ()):
@@ -265,10 +286,10 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(lo)
 
 
-def encode(spark: SparkSession, docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", verify: bool = True, threads: int = 2) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", verify: bool = True, threads: int | None = None) -> DataFrame:
     """The rows of ``docs`` with ``ids array<int>``, ``parity boolean`` and ``round_trip boolean``.
 
-    Whole texts are encoded in batches of about a megabyte, or of one longer text, on several threads. ``parity``: the reference library gives the same ids, to every word where words are independent (null if not verified); where it doesn't, its ids are
+    Whole texts are encoded in batches of about a megabyte, or of one longer text, on ``threads`` threads, by default as many as a task has cores. ``parity``: the reference library gives the same ids, to every word where words are independent (null if not verified); where it doesn't, its ids are
     taken. ``round_trip``: decoding gives the text back. Null and empty texts have no ids and agree. The model is read once on the driver, is at most ``MOST_BYTES`` and goes to the executors as a whole.
     Columns of ``docs`` with the names of the new ones are replaced. Repeated rows are kept; an empty table gives no rows.
     """
@@ -277,6 +298,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text_col: str
     if len(data) > MOST_BYTES:
         raise ValueError("the model is too large to hand to every executor")
     shared = spark.sparkContext.broadcast(data)
+    threads = threads or int(spark.conf.get("spark.task.cpus", "1"))
     others = [c for c in docs.columns if c not in (out_col, "parity", "round_trip")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +307,9 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text_col: str
             for part in _slices(b):
                 ids, same, back = codec.coded([t or "" for t in part.column(0).to_pylist()], verify)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], [*others, out_col, "parity", "round_trip"])
+                del ids, same, back
+        codec.forget()
+        hand_back()
 
     source = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in others])
     schema = source.drop("__text").schema.add(out_col, T.ArrayType(T.IntegerType())).add("parity", "boolean").add("round_trip", "boolean")

@@ -495,3 +495,40 @@ def test_perplexity_does_not_depend_on_blocks(spark, monkeypatch):
         assert dict(zip(c.grams(0, len(c.key)).to_pylist(), c.n.tolist(), strict=True)) == want
     again = {r["doc_id"]: r["perplexity"] for r in perplexity.classify(spark, docs.repartition(13, "text"), trusted).collect()}
     assert all(abs(whole[i] - again[i]) < 1e-9 for i in whole)
+
+
+def test_order_by_shard_is_that_of_the_characters():
+    import numpy as np
+
+    r = np.random.default_rng(12)
+    for high in (50, 0x10FFFF):
+        window = np.unique(r.integers(0, high, (3000, perplexity.ORDER)).astype(np.uint32), axis=0)
+        shard = r.integers(0, 40, len(window))
+        order = perplexity._by_shard(shard, window, 40)
+        assert order.tolist() == np.lexsort((*window.T[::-1], shard)).tolist()
+
+
+def test_sums_of_looked_up_grams_are_those_of_each_text(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(perplexity, "CHUNK", 300)
+    r = random.Random(13)
+    texts = ["".join(r.choice("abcé") for _ in range(n)) for n in (0, 1, 4, 50, 299, 700, 20)] + [None]
+    counter = perplexity._Counter()
+    for t in texts:
+        counter.add(t or "")
+    counter.merge()
+    log = np.arange(len(counter.key), dtype=np.int64) << 40
+    by = dict(zip(counter.key.tolist(), log.tolist(), strict=True))
+    assert perplexity._nats(texts, counter.key, log) == [sum(by[k] for k in perplexity._keys(perplexity._points(t)).tolist()) / perplexity.FINE if t else 0.0 for t in texts]
+    assert sum(counter.n) == sum(len(t or "") for t in texts)
+
+
+def test_codec_forgets_and_finds_the_same_again():
+    with open(tokenizer_path(), "rb") as f:
+        codec = sentencepieces.Codec(f.read(), 1)
+    texts = ["", " ", "a  b", " a", "a ", "▁x y", "nul\0 in \0 it", "é€😀 x", "two\nlines here"]
+    first = codec.verified(texts)
+    assert first[0] == [codec.original.encode(t) for t in texts] and codec.words
+    codec.forget()
+    assert not codec.words and codec.held == 0 and codec.verified(texts) == first
