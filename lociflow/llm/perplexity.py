@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, null_key, partitions
+from .common import Scratch, hand_back, null_key, partitions, released
 
 #: Characters of an n-gram. The alphabet is all of Unicode: no character is put into a class, and n-grams are as many as the texts have.
 ORDER = 5
@@ -69,20 +69,32 @@ def _strings(window: np.ndarray) -> pa.Array:
     return pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string())
 
 
+def _distinct(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, a place of each, and how often it stands there, or the sum of its ``n``."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(starts, append=len(keys)) if n is None else np.add.reduceat(n[order], starts) if len(keys) else n
+    return keys[starts], order[starts], counts
+
+
 class _Counter:
-    """The distinct n-grams of many texts with their counts, sorted a chunk at a time."""
+    """The distinct n-grams of many texts with their counts, sorted a chunk at a time; chunks meet when they have become as many as what is known."""
 
     def __init__(self):
         self.held, self.size = [], 0
         self.key, self.n, self.window = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, text: str) -> None:
         self.held.append(_points(text))
         self.size += len(text)
         if self.size > CHUNK:
-            self.merge()
+            self.sort()
+            if sum(len(p[0]) for p in self.parts) > len(self.key):
+                self.merge()
 
-    def merge(self) -> None:
+    def sort(self) -> None:
         if not self.held:
             return
         # windows that reach from one text into the next are no n-grams
@@ -91,13 +103,18 @@ class _Counter:
         for back in range(1, ORDER):
             inside[np.cumsum(lengths) - back] = False
         at = np.flatnonzero(inside[: len(points) - ORDER + 1])
-        key, first, n = np.unique(_keys(points)[at], return_index=True, return_counts=True)
-        window = points[at[first][:, None] + np.arange(ORDER)]
+        key, first, n = _distinct(_keys(points)[at])
+        self.parts.append((key, n, points[at[first][:, None] + np.arange(ORDER)]))
         self.held, self.size = [], 0
-        both = np.concatenate((self.key, key))
-        self.key, first, back = np.unique(both, return_index=True, return_inverse=True)
-        self.n = np.bincount(back, weights=np.concatenate((self.n, n)), minlength=len(self.key)).astype(np.int64)
-        self.window = np.concatenate((self.window, window))[first]
+
+    def merge(self) -> None:
+        self.sort()
+        if not self.parts:
+            return
+        key, n, window = (np.concatenate(x) for x in zip((self.key, self.n, self.window), *self.parts, strict=True))
+        self.parts = []
+        self.key, first, self.n = _distinct(key, n)
+        self.window = window[first]
 
     def grams(self, lo: int, hi: int) -> pa.Array:
         return _strings(self.window[lo:hi])
@@ -189,6 +206,48 @@ def _shard_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["shard", "block", "grams", "logs"])
 
 
+def _by_shard(shard: np.ndarray, window: np.ndarray, shards: int) -> np.ndarray:
+    """The order of distinct n-grams by shard and then by their characters."""
+    used = np.unique(window)
+    bits = max(1, int(len(used) - 1).bit_length())
+    if len(used) and ORDER * bits + shards.bit_length() <= 64:  # one number has room for the shard and the ranks of the characters
+        rank = np.zeros(int(used[-1]) + 1, np.uint64)
+        rank[used] = np.arange(len(used))
+        whole = shard.astype(np.uint64)
+        for j in range(ORDER):
+            whole = whole << np.uint64(bits) | rank[window[:, j]]
+        return np.argsort(whole)
+    w = window.astype(np.uint64)
+    return np.lexsort((w[:, 3] << np.uint64(21) | w[:, 4], w[:, 0] << np.uint64(42) | w[:, 1] << np.uint64(21) | w[:, 2], shard))
+
+
+def _nats(texts: list[str], key: np.ndarray, log: np.ndarray) -> list[float]:
+    """Of every text the sum of the whole numbers that its n-grams have; n-grams of many texts are looked up in ascending order."""
+    out: list[float] = []
+    held: list[np.ndarray] = []
+
+    def summed() -> None:
+        if held:
+            keys = np.concatenate(held)
+            order = np.argsort(keys)
+            found = np.empty(len(keys), np.int64)
+            found[order] = log[np.searchsorted(key, keys[order])]
+            ends = np.cumsum([len(k) for k in held])
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out.append(float(found[lo:hi].sum(dtype=np.longdouble if hi - lo > CHUNK else np.int64)) / FINE if hi > lo else 0.0)  # no sum overflows
+            held.clear()
+
+    size = 0
+    for t in texts:
+        held.append(_keys(_points(t)) if t else np.zeros(0, np.uint64))
+        size += len(t or "")
+        if size > CHUNK:
+            summed()
+            size = 0
+    summed()
+    return out
+
+
 def _asked(shards: int):
     """The distinct n-grams of each block, of the part of it that a task reads, in one row for each shard."""
 
@@ -199,8 +258,8 @@ def _asked(shards: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             seen.merge()
-            shard, w = (seen.key % np.uint64(shards)).astype(np.int64), seen.window.astype(np.uint64)
-            order = np.lexsort((w[:, 3] << np.uint64(21) | w[:, 4], w[:, 0] << np.uint64(42) | w[:, 1] << np.uint64(21) | w[:, 2], shard))
+            shard = (seen.key % np.uint64(shards)).astype(np.int64)
+            order = _by_shard(shard, seen.window, shards)
             shard, window = shard[order], seen.window[order]
             yield _shard_rows([(int(shard[lo]), block, _squeeze_grams(window[lo:hi], press), None) for lo, hi in _cuts(shard)])
 
@@ -326,7 +385,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model | None:
     N-grams are counted per partition before the shuffle and then sharded; contexts, continuation counts of lower orders and the probabilities of each order meet by joins on the context and on the
     shortened n-gram. All of these tables grow with the texts and stay distributed; only the counts of counts come to the driver.
     """
-    counts = scratch.write(texts.mapInArrow(_counted, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c")))
+    counts = scratch.write(texts.mapInArrow(released(_counted), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c")))
     orders = [counts]
     for _ in range(ORDER - 1):  # in how many contexts the shorter n-gram continues
         orders.append(scratch.write(orders[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))))
@@ -362,11 +421,11 @@ def entropies(docs: DataFrame, size: int, model: Model, scratch: Scratch, fields
     each_way = max(partitions(spark, model.seen[-1].count(), 1_000_000), partitions(spark, size, 20 * BLOCK))
     shards = 4 * each_way
     dealt = lambda rows: rows.repartition(each_way, "shard").sortWithinPartitions("shard", "block")
-    asked = scratch.write(docs.where("n > 0").select("block", "chunk").mapInArrow(_asked(shards), SHARD_ROW))
-    known = lambda grams: grams.select("gram", "p").mapInArrow(_known(shards), SHARD_ROW)
-    never = scratch.write(dealt(known(model.seen[-1]).union(asked)).mapInArrow(_answered(True), "gram string"))
+    asked = scratch.write(docs.where("n > 0").select("block", "chunk").mapInArrow(released(_asked(shards)), SHARD_ROW))
+    known = lambda grams: grams.select("gram", "p").mapInArrow(released(_known(shards)), SHARD_ROW)
+    never = scratch.write(dealt(known(model.seen[-1]).union(asked)).mapInArrow(released(_answered(True)), "gram string"))
     never = scratch.write(model.unseen(never, ORDER))
-    answers = dealt(known(model.seen[-1]).union(known(never)).union(asked)).mapInArrow(_answered(False), "block long, grams binary, logs binary")
+    answers = dealt(known(model.seen[-1]).union(known(never)).union(asked)).mapInArrow(released(_answered(False)), "block long, grams binary, logs binary")
     schema = T.StructType([*fields]).add("nats", "double")
     if with_text:
         schema = schema.add(with_text, "string")
@@ -383,9 +442,11 @@ def entropies(docs: DataFrame, size: int, model: Model, scratch: Scratch, fields
         done = []
         for pack in _unpacked(rows, unpress):
             texts = pack.column("text").to_pylist()
-            nats = [float(log[np.searchsorted(key, _keys(_points(t)))].sum(dtype=np.longdouble)) / FINE if t else 0.0 for t in texts]  # no sum overflows
+            nats = _nats(texts, key, log)
             columns = [*(pack.column(f.name) for f in fields), pa.array(nats, pa.float64()), *([pack.column("text")] if with_text else [])]
             done.append(pa.Table.from_arrays(columns, names=[f.name for f in schema]))
+        del key, log
+        hand_back()
         return pa.concat_tables(done) if done else pa.table({f.name: [] for f in schema})
 
     return docs.select("block", "chunk").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, schema)
@@ -408,7 +469,7 @@ def classify(
     others = [c for c in carry if c != text_col]
     named = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), null_key(lang_col).alias("k"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
     schema = named.drop("__text").schema.add("packed", "binary").add("n_symbols", "long")
-    packed = named.mapInArrow(_pack(schema.names), schema)
+    packed = named.mapInArrow(released(_pack(schema.names)), schema)
     role = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0, 2).otherwise(1)
     ids = trusted.where("doc_id is not null").select("doc_id").distinct().select(F.col("doc_id").alias("__id"), F.lit(0).alias("__salt"), role.alias("role"))
     if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
@@ -420,7 +481,7 @@ def classify(
     rows = rows.withColumn("role", F.coalesce("role", F.lit(0))).select(*schema.names, "role")
     fields = T.StructType([f for f in rows.schema if f.name != "packed"])
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("n")).first()["n"]
-    rows = scratch.write(rows.mapInArrow(_blocks, PACK), "block", partitions(spark, size, 2 * BLOCK))
+    rows = scratch.write(rows.mapInArrow(released(_blocks), PACK), "block", partitions(spark, size, 2 * BLOCK))
 
     model = train(rows.where("role = 1 and n > 0").select("chunk"), scratch)
     text_out = "__text" if text_col in carry else None
