@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Unions, partitions
+from .common import Scratch, Unions, partitions, released
 from .components import components
 
 #: Rows of one partition of the segment tables.
 TABLE_ROWS = 600_000
 #: Texts whose shingles are counted to tell common ones, and how many of these are told at most.
 SAMPLE, COMMON = 5_000, 100_000
-#: Pairs that may meet at once in the buckets of prefix shingles, or a hundred for each text if that is more; beyond it the buckets are taken in turns.
-MOST_PAIRS = 50_000_000
+#: Entries that meet at once with their texts' sketches, or eight for each text if that is more; beyond it the buckets are taken in turns.
+MOST_ENTRIES = 500_000
 #: Buckets above this size are split once more by the bytes of the other segment.
 WIDE = 2048
 
@@ -206,18 +206,27 @@ def _not_ruled_out(least: float):
     return each
 
 
-def _candidates(least: float, order: int | None):
-    """Pairs of texts of different components that share a prefix shingle and are not too different in size and place: neighbours in the given order of each bucket, or, without an order, all of them."""
+def _candidates(least: float, orders: tuple[int, ...]):
+    """Pairs of texts of different components that share a prefix shingle and are not too different in size and place: neighbours of each bucket in the given orders or, without one, all whose sketches don't rule them out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        key, rep, n, place, root = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, rep, n, place, root = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(5))
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        if not orders:
+            # the sketch of each text once, in rows of equal length
+            _, first, text = np.unique(rep, return_index=True, return_inverse=True)
+            sketches = pa.chunked_array([b.column(5) for b in parts]).take(pa.array(first)).to_pylist()
+            width = np.array([len(x) // 8 for x in sketches])
+            line = np.empty(len(sketches), np.int64)
+            tables = {}
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                line[at], tables[w] = np.arange(len(at)), np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(-1, w)
+            del sketches
         del parts
-        by = n if not order else (rep.view(np.uint64) + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-        sort = np.lexsort((rep, by, key))
-        key, rep, n, place, root = key[sort], rep[sort], n[sort].astype(np.int64), place[sort].astype(np.int64), root[sort]
 
         def fits(p: np.ndarray, q: np.ndarray) -> np.ndarray:
             # what the pair can share from here on must be enough; of the first shingle they share this is exact
@@ -225,35 +234,63 @@ def _candidates(least: float, order: int | None):
             need = least / (1 + least) * (n[p] + n[q]) - 1e-9
             return (root[p] != root[q]) & ((n[p] + n[q] == 0) | (can >= need))
 
+        def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            """Which pairs the sketches don't rule out."""
+            out = np.zeros(len(p), bool)
+            a, b = text[p], text[q]
+            swap = width[a] > width[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            for v in np.unique(width[a]).tolist():
+                for w in np.unique(width[b[width[a] == v]]).tolist():
+                    at = np.flatnonzero((width[a] == v) & (width[b] == w))
+                    for lo in range(0, len(at), 1 + (1 << 20) // w):
+                        some = at[lo : lo + 1 + (1 << 20) // w]
+                        folded = np.bitwise_xor.reduce(tables[w][line[b[some]]].reshape(len(some), -1, v), axis=1)
+                        differ = np.bitwise_count(tables[v][line[a[some]]] ^ folded).sum(axis=1, dtype=np.int64)
+                        out[some] = differ <= (n[p[some]] + n[q[some]]) * (1 - least) / (1 + least) + 1e-6
+            return out
+
         def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             u, v = (np.concatenate(x) for x in zip(*found, strict=True))
             both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1), axis=0)
             for lo in range(0, len(both), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(both[lo : lo + 100_000, 0].copy()), pa.array(both[lo : lo + 100_000, 1].copy())], ["u", "v"])
 
-        if order is not None:
-            p = np.flatnonzero(key[1:] == key[:-1])
-            p = p[fits(p, p + 1)]
-            yield from pairs([(rep[p], rep[p + 1])])
+        found, held = [], 0
+        for order in orders:
+            by = n if not order else (rep.view(np.uint64) + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+            sort = np.lexsort((rep, by, key))
+            p, q = sort[:-1], sort[1:]
+            met = (key[p] == key[q]) & fits(p, q)
+            found.append((rep[p[met]], rep[q[met]]))
+        if orders:
+            yield from pairs(found)
             return
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sort = np.lexsort((rep, n, key))
+        starts = np.flatnonzero(np.r_[True, key[sort[1:]] != key[sort[:-1]]])
         ends = np.r_[starts[1:], len(key)]
-        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        found, held = [], 0
+        mixed = np.minimum.reduceat(root[sort], starts) != np.maximum.reduceat(root[sort], starts)
         for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
             for i in range(s, e, 512):
                 for j in range(i, e, 512):
-                    p, q = np.nonzero(root[i : min(i + 512, e), None] != root[None, j : min(j + 512, e)])
-                    p, q = p + i, q + j
-                    p, q = p[p < q], q[p < q]
-                    near = fits(p, q)
-                    found.append((rep[p[near]], rep[q[near]]))
-                    held += int(near.sum())
-                    if held > 1_000_000:
-                        yield from pairs(found)
+                    x, y = sort[i : min(i + 512, e)], sort[j : min(j + 512, e)]
+                    p, q = np.nonzero(root[x][:, None] != root[y][None])
+                    if i == j:
+                        p, q = p[p < q], q[p < q]
+                    p, q = x[p], y[q]
+                    can = fits(p, q)
+                    found.append((p[can], q[can]))
+                    held += int(can.sum())
+                    if held > 500_000:
+                        yield from ruled(found, near, pairs, rep)
                         found, held = [], 0
         if found:
-            yield from pairs(found)
+            yield from ruled(found, near, pairs, rep)
+
+    def ruled(found, near, pairs, rep) -> Iterator[pa.RecordBatch]:
+        p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+        can = near(p, q)
+        yield from pairs([(rep[p[can]], rep[q[can]])])
 
     return each
 
@@ -297,7 +334,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     found by an exact prefix-filter join: of a text's distinct shingles of ``words_each`` words, ordered from rare to common, the first n - ceil(least * n) + 1 are entered; two texts as similar as ``least``
     share one of them. The order comes from the counts of a sample, which decides how long buckets are and not what is found. Candidates whose sketches differ in more bits than similar texts
     have different shingles are none; every other one is verified by the exact Jaccard similarity of the texts unless both already hang together by verified links: neighbours in each bucket in
-    two orders first, so that large groups grow together, then all pairs that are left, some of the buckets at a time where they hold many. Only texts of pairs that are verified meet, compressed.
+    two orders first, so that large groups grow together, then all pairs that are left, whose sketches meet in the buckets, some of these at a time. Only texts of pairs that are verified meet, compressed.
     ``t1`` and ``t2`` are two digests of the text, ``rep`` is the smallest id among its copies, null if none has an id, and ``component`` the smallest in the group. ``stays`` marks one text of
     each group: that with the smallest id, and where ids are null or equal with the smallest digests. Null texts count as empty; an empty table gives no rows.
     """
@@ -310,35 +347,44 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_hashes(t, words_each) for t in b.column(0).to_pylist()]))], ["h"])
 
     sample = rows.where(F.pmod(F.xxhash64("t1", "t2"), F.lit(max(1, docs.count() // SAMPLE))) == 0).select("text")
-    often = sample.mapInArrow(hashes, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toPandas().sort_values("h")
+    often = sample.mapInArrow(released(hashes), "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toPandas().sort_values("h")
     shared = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    printed = rows.select("t1", "t2", "doc_id", "text").mapInArrow(_prefix(words_each, least, shared), f"t1 long, t2 long, doc_id {kind}, fp long, n int, sketch binary, first binary")
+    printed = rows.select("t1", "t2", "doc_id", "text").mapInArrow(released(_prefix(words_each, least, shared)), f"t1 long, t2 long, doc_id {kind}, fp long, n int, sketch binary, first binary")
     one = printed.groupBy("t1", "t2").agg(F.min("doc_id").alias("least_id"), F.first(F.struct("fp", "n", "sketch", "first")).alias("p"))
     heads = scratch.write(one.select("t1", "t2", "least_id", "p.*").withColumn("rep", F.monotonically_increasing_id()))
     n = heads.count()
     parts = partitions(spark, 70 * n, TABLE_ROWS)
-    entries = heads.select("rep", "n", "first").mapInArrow(_prefix_entries(parts), ENTRIES).repartition(parts, "shard")
-    entries = scratch.write(entries.mapInArrow(_met, "key long, rep long, n int, place int"))
+    entries = heads.select("rep", "n", "first").mapInArrow(released(_prefix_entries(parts)), ENTRIES).repartition(parts, "shard")
+    entries = scratch.write(entries.mapInArrow(released(_met), "key long, rep long, n int, place int"))
     keys = scratch.write(heads.drop("first"))
     scratch.drop(heads)
     end = lambda c: keys.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    most = entries.groupBy("key").count().agg(F.sum(F.expr("cast(count as double) * (count - 1) / 2"))).first()[0] or 0
-    slices = math.ceil(most / max(MOST_PAIRS, 100 * n)) or 1
+    turns = math.ceil(entries.count() / max(MOST_ENTRIES, 8 * n)) or 1
+
+    def placed(own: DataFrame) -> DataFrame:
+        return own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "place", F.coalesce("root", "rep").alias("root"))
 
     verified = true = roots = None
-    for order, part in [("fingerprints", None), (0, None), (1, None), *((None, i) for i in range(slices))]:
-        own = entries if part is None or slices == 1 else entries.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == part)
-        placed = own.withColumn("root", F.col("rep")) if roots is None else own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "place", F.coalesce("root", "rep").alias("root"))
-        found = near_fingerprints(keys) if order == "fingerprints" else placed.repartition(parts, "key").mapInArrow(_candidates(least, order), "u long, v long").distinct()
-        found = found if verified is None else found.join(verified, ["u", "v"], "left_anti")
-        pairs = scratch.write(found.join(end("u"), "u").join(end("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(_not_ruled_out(least), "u long, v long"))
+    for step in ("fingerprints", "neighbours", "all"):
+        if step == "all":
+            found = None
+            for i in range(turns):
+                own = entries if turns == 1 else entries.where(F.pmod(F.xxhash64("key"), F.lit(turns)) == i)
+                own = placed(own).join(keys.select("rep", "sketch"), "rep").select("key", "rep", "n", "place", "root", "sketch")
+                part = scratch.write(own.repartition(parts, "key").mapInArrow(released(_candidates(least, ())), "u long, v long"))
+                found = part if found is None else found.union(part)
+            pairs = scratch.write(found.distinct().join(verified, ["u", "v"], "left_anti"))
+        else:
+            found = near_fingerprints(keys) if step == "fingerprints" else placed(entries).repartition(parts, "key").mapInArrow(released(_candidates(least, (0, 1))), "u long, v long").distinct()
+            found = found if verified is None else found.join(verified, ["u", "v"], "left_anti")
+            pairs = scratch.write(found.join(end("u"), "u").join(end("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(released(_not_ruled_out(least)), "u long, v long"))
         ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
         wanted = keys.join(ends, keys.rep == ends.doc_id, "left_semi").select("t1", "t2", F.col("rep").alias("doc_id"))
-        packed = rows.select("t1", "t2", "text").mapInArrow(_pressed, "t1 long, t2 long, text binary")
+        packed = rows.select("t1", "t2", "text").mapInArrow(released(_pressed), "t1 long, t2 long, text binary")
         texts = scratch.write(packed.join(wanted, ["t1", "t2"]).dropDuplicates(["doc_id"]).select("doc_id", "text"))
         both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-        links = scratch.write(both.select("u", "v", "a", "b").mapInArrow(_similar(words_each, least), "u long, v long"))
+        links = scratch.write(both.select("u", "v", "a", "b").mapInArrow(released(_similar(words_each, least)), "u long, v long"))
         scratch.drop(texts)
         verified, true = (pairs, links) if verified is None else (verified.union(pairs), true.union(links))
         roots = scratch.write(components(true, scratch))
@@ -353,7 +399,7 @@ def near_fingerprints(keys: DataFrame, most_bits: int = 3) -> DataFrame:
     """``(u, v)``, u < v: of the texts of ``keys(rep, fp)`` pairs whose fingerprints are equal or differ in at most ``most_bits`` bits, enough to connect all that do."""
     distinct = keys.groupBy("fp").agg(F.min("rep").alias("rep"))
     entries = distinct.mapInArrow(_tables, "key long, probe boolean, fp long, rep long")
-    near = entries.repartition(partitions(keys.sparkSession, 36 * distinct.count(), TABLE_ROWS), "key").mapInArrow(_spanning(most_bits), "u long, v long")
+    near = entries.repartition(partitions(keys.sparkSession, 36 * distinct.count(), TABLE_ROWS), "key").mapInArrow(released(_spanning(most_bits)), "u long, v long")
     equal = keys.select("fp", F.col("rep").alias("v")).join(distinct, "fp").where("rep <> v").select(F.col("rep").alias("u"), "v")
     return near.union(equal).distinct()
 
@@ -494,7 +540,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     distinct = scratch.write(own.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = distinct.count()
     entries = distinct.mapInArrow(_tables, "key long, probe boolean, fp long, rep long")
-    links = entries.repartition(partitions(spark, 36 * n, TABLE_ROWS), "key").mapInArrow(_links(most_bits), "u long, v long")
+    links = entries.repartition(partitions(spark, 36 * n, TABLE_ROWS), "key").mapInArrow(released(_links(most_bits)), "u long, v long")
     roots = components(links, scratch)
     named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return own.join(named, "fp", "left").select("doc_id", "fp", "component_id")
