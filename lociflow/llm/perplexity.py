@@ -364,19 +364,26 @@ class Model:
     def __init__(self, seen: list[DataFrame], weights: list[DataFrame], none: float):
         self.seen, self.weights, self.none = seen, weights, none
 
-    def unseen(self, grams: DataFrame, k: int) -> DataFrame:
-        """``(gram, p)`` of distinct n-grams of length k that were never seen: the probability of the shorter n-gram times the weight of the context."""
-        if k == 1:
-            return grams.select("gram", F.lit(self.none).alias("p"))
-        rest = grams.select("gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), F.expr("substring(gram, 2)").alias("short"))
-        below = self.probabilities(rest.select(F.col("short").alias("gram")).distinct(), k - 1)
-        rest = rest.join(below.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short").join(self.weights[k - 1], "context", "left")
-        return rest.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p"))
-
-    def probabilities(self, grams: DataFrame, k: int) -> DataFrame:
-        """``(gram, p)`` of distinct n-grams of length k."""
-        found = grams.join(self.seen[k - 1], "gram", "left")
-        return found.where("p is not null").union(self.unseen(found.where("p is null").select("gram"), k))
+    def unseen(self, grams: DataFrame, scratch: Scratch) -> DataFrame:
+        """``(gram, p)`` of distinct n-grams that were never seen: the probability of the shorter n-gram times the weight of the context.
+
+        Each order is a written table, so that no query has more than two joins; in one query, every order would stand
+        twice in the plan of the next, and the driver would hold it all.
+        """
+        found = [grams.withColumn("p", F.lit(None).cast("double"))]
+        for seen in reversed(self.seen[:-1]):  # the shorter n-grams that are needed, with their p if they were seen
+            shorter = found[-1].where("p is null").select(F.expr("substring(gram, 2)").alias("gram")).distinct()
+            found.append(scratch.write(shorter.join(seen, "gram", "left")))
+        made = found[1:]
+        below = found.pop().select("gram", F.coalesce("p", F.lit(self.none)).alias("p"))
+        for k, table in enumerate(reversed(found), 2):
+            rest = table.where("p is null").select("gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), F.expr("substring(gram, 2)").alias("short"))
+            rest = rest.join(below.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short").join(self.weights[k - 1], "context", "left")
+            p = rest.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p"))
+            below = scratch.write(p if table is found[0] else table.where("p is not null").union(p))
+            made.append(below)
+        scratch.drop(*made[:-1])
+        return below
 
 
 def train(texts: DataFrame, scratch: Scratch) -> Model | None:
@@ -424,7 +431,7 @@ def entropies(docs: DataFrame, size: int, model: Model, scratch: Scratch, fields
     asked = scratch.write(docs.where("n > 0").select("block", "chunk").mapInArrow(released(_asked(shards)), SHARD_ROW))
     known = lambda grams: grams.select("gram", "p").mapInArrow(released(_known(shards)), SHARD_ROW)
     never = scratch.write(dealt(known(model.seen[-1]).union(asked)).mapInArrow(released(_answered(True)), "gram string"))
-    never = scratch.write(model.unseen(never, ORDER))
+    never = model.unseen(never, scratch)
     answers = dealt(known(model.seen[-1]).union(known(never)).union(asked)).mapInArrow(released(_answered(False)), "block long, grams binary, logs binary")
     schema = T.StructType([*fields]).add("nats", "double")
     if with_text:

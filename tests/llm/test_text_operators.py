@@ -497,6 +497,19 @@ def test_perplexity_does_not_depend_on_blocks(spark, monkeypatch):
     assert all(abs(whole[i] - again[i]) < 1e-9 for i in whole)
 
 
+def test_no_query_of_the_model_joins_many_tables(spark, monkeypatch):
+    good, junk = good_and_junk()
+    joins, write = [], perplexity.Scratch.write
+
+    def counted(self, df, *a, **b):
+        joins.append(df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return write(self, df, *a, **b)
+
+    monkeypatch.setattr(perplexity.Scratch, "write", counted)
+    perplexity.classify(spark, table(spark, good[:20] + junk), spark.createDataFrame([(i,) for i in range(20)], "doc_id long"))
+    assert max(joins) <= 2
+
+
 def test_order_by_shard_is_that_of_the_characters():
     import numpy as np
 
