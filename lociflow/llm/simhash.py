@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -20,6 +21,8 @@ TABLE_ROWS = 600_000
 SAMPLE, COMMON = 5_000, 100_000
 #: Entries that meet at once with their texts' sketches, or eight for each text if that is more; beyond it the buckets are taken in turns.
 MOST_ENTRIES = 500_000
+#: Compressed texts that meet at once in the buckets, or one for each text if that is more.
+MOST_TEXTS = 50_000
 #: Buckets above this size are split once more by the bytes of the other segment.
 WIDE = 2048
 
@@ -206,113 +209,198 @@ def _not_ruled_out(least: float):
     return each
 
 
-def _candidates(least: float, orders: tuple[int, ...]):
-    """Pairs of texts of different components that share a prefix shingle and are not too different in size and place: neighbours of each bucket in the given orders or, without one, all whose sketches don't rule them out."""
+def _fits(least: float, n: np.ndarray, place: np.ndarray, root: np.ndarray):
+    """Which pairs of entries are of different components and not too different in size and place."""
+
+    def fits(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        # what the pair can share from here on must be enough; of the first shingle they share this is exact
+        can = np.minimum(n[p] - place[p], n[q] - place[q])
+        need = least / (1 + least) * (n[p] + n[q]) - 1e-9
+        return (root[p] != root[q]) & ((n[p] + n[q] == 0) | (can >= need))
+
+    return fits
+
+
+def _columns(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    key, rep, n, place, root = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(5))
+    return key, rep, n.astype(np.int64), place.astype(np.int64), root
+
+
+def _neighbours(least: float, orders: tuple[int, ...]):
+    """Pairs of texts of different components that are neighbours in a bucket in one of the given orders, and not too different in size and place."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        key, rep, n, place, root = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(5))
-        n, place = n.astype(np.int64), place.astype(np.int64)
-        if not orders:
-            # the sketch of each text once, in rows of equal length
-            _, first, text = np.unique(rep, return_index=True, return_inverse=True)
-            sketches = pa.chunked_array([b.column(5) for b in parts]).take(pa.array(first)).to_pylist()
-            width = np.array([len(x) // 8 for x in sketches])
-            line = np.empty(len(sketches), np.int64)
-            tables = {}
-            for w in np.unique(width).tolist():
-                at = np.flatnonzero(width == w)
-                line[at], tables[w] = np.arange(len(at)), np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(-1, w)
-            del sketches
+        key, rep, n, place, root = _columns(parts)
         del parts
-
-        def fits(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-            # what the pair can share from here on must be enough; of the first shingle they share this is exact
-            can = np.minimum(n[p] - place[p], n[q] - place[q])
-            need = least / (1 + least) * (n[p] + n[q]) - 1e-9
-            return (root[p] != root[q]) & ((n[p] + n[q] == 0) | (can >= need))
-
-        def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-            """Which pairs the sketches don't rule out."""
-            out = np.zeros(len(p), bool)
-            a, b = text[p], text[q]
-            swap = width[a] > width[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            for v in np.unique(width[a]).tolist():
-                for w in np.unique(width[b[width[a] == v]]).tolist():
-                    at = np.flatnonzero((width[a] == v) & (width[b] == w))
-                    for lo in range(0, len(at), 1 + (1 << 20) // w):
-                        some = at[lo : lo + 1 + (1 << 20) // w]
-                        folded = np.bitwise_xor.reduce(tables[w][line[b[some]]].reshape(len(some), -1, v), axis=1)
-                        differ = np.bitwise_count(tables[v][line[a[some]]] ^ folded).sum(axis=1, dtype=np.int64)
-                        out[some] = differ <= (n[p[some]] + n[q[some]]) * (1 - least) / (1 + least) + 1e-6
-            return out
-
-        def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1), axis=0)
-            for lo in range(0, len(both), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(both[lo : lo + 100_000, 0].copy()), pa.array(both[lo : lo + 100_000, 1].copy())], ["u", "v"])
-
-        found, held = [], 0
+        fits = _fits(least, n, place, root)
+        found = []
         for order in orders:
             by = n if not order else (rep.view(np.uint64) + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
             sort = np.lexsort((rep, by, key))
             p, q = sort[:-1], sort[1:]
             met = (key[p] == key[q]) & fits(p, q)
             found.append((rep[p[met]], rep[q[met]]))
-        if orders:
-            yield from pairs(found)
-            return
-        sort = np.lexsort((rep, n, key))
-        starts = np.flatnonzero(np.r_[True, key[sort[1:]] != key[sort[:-1]]])
-        ends = np.r_[starts[1:], len(key)]
-        mixed = np.minimum.reduceat(root[sort], starts) != np.maximum.reduceat(root[sort], starts)
-        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            for i in range(s, e, 512):
-                for j in range(i, e, 512):
-                    x, y = sort[i : min(i + 512, e)], sort[j : min(j + 512, e)]
-                    p, q = np.nonzero(root[x][:, None] != root[y][None])
-                    if i == j:
-                        p, q = p[p < q], q[p < q]
-                    p, q = x[p], y[q]
-                    can = fits(p, q)
-                    found.append((p[can], q[can]))
-                    held += int(can.sum())
-                    if held > 500_000:
-                        yield from ruled(found, near, pairs, rep)
-                        found, held = [], 0
-        if found:
-            yield from ruled(found, near, pairs, rep)
-
-    def ruled(found, near, pairs, rep) -> Iterator[pa.RecordBatch]:
+        u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1), axis=0)
+        for lo in range(0, len(both), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(both[lo : lo + 100_000, 0].copy()), pa.array(both[lo : lo + 100_000, 1].copy())], ["u", "v"])
+
+    return each
+
+
+def _not_ruled_out_in_buckets(least: float, key: np.ndarray, rep: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, text: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of all pairs of entries in a bucket those of different components that neither size, place nor sketches rule out, and the bits in which their sketches differ; each pair of texts once in a yield. ``text`` is the number of an entry's sketch."""
+    fits = _fits(least, n, place, root)
+    # the sketch of each text once, in rows of equal length
+    width = np.array([len(x) // 8 for x in sketches])
+    line = np.empty(len(sketches), np.int64)
+    tables = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        line[at], tables[w] = np.arange(len(at)), np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(-1, w)
+
+    def differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(p), np.int64)
+        a, b = text[p], text[q]
+        swap = width[a] > width[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        for v in np.unique(width[a]).tolist():
+            for w in np.unique(width[b[width[a] == v]]).tolist():
+                at = np.flatnonzero((width[a] == v) & (width[b] == w))
+                for lo in range(0, len(at), 1 + (1 << 20) // w):
+                    some = at[lo : lo + 1 + (1 << 20) // w]
+                    folded = np.bitwise_xor.reduce(tables[w][line[b[some]]].reshape(len(some), -1, v), axis=1)
+                    out[some] = np.bitwise_count(tables[v][line[a[some]]] ^ folded).sum(axis=1, dtype=np.int64)
+        return out
+
+    def ruled(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, q = (np.concatenate(x) for x in zip(*found, strict=True))
-        can = near(p, q)
-        yield from pairs([(rep[p[can]], rep[q[can]])])
+        a, b = text[p], text[q]
+        _, once = np.unique(np.minimum(a, b) * len(sketches) + np.maximum(a, b), return_index=True)
+        p, q = p[once], q[once]
+        differ = differences(p, q)
+        can = differ <= (n[p] + n[q]) * (1 - least) / (1 + least) + 1e-6
+        return p[can], q[can], differ[can]
+
+    sort = np.lexsort((rep, n, key))
+    starts = np.flatnonzero(np.r_[True, key[sort[1:]] != key[sort[:-1]]])
+    ends = np.r_[starts[1:], len(key)]
+    mixed = np.minimum.reduceat(root[sort], starts) != np.maximum.reduceat(root[sort], starts)
+    found, held = [], 0
+    for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+        for i in range(s, e, 512):
+            for j in range(i, e, 512):
+                x, y = sort[i : min(i + 512, e)], sort[j : min(j + 512, e)]
+                p, q = np.nonzero(root[x][:, None] != root[y][None])
+                if i == j:
+                    p, q = p[p < q], q[p < q]
+                p, q = x[p], y[q]
+                can = fits(p, q)
+                found.append((p[can], q[can]))
+                held += int(can.sum())
+                if held > 500_000:
+                    yield ruled(found)
+                    found, held = [], 0
+    if found:
+        yield ruled(found)
+
+
+#: Entries of texts that may be similar to a text of another component in the same bucket.
+OPEN = "key long, rep long, n int, place int, root long"
+
+
+def _open_entries(least: float):
+    """The entries that have a partner in their bucket which sketches don't rule out: a row for an entry, however many partners it has."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, rep, n, place, root = _columns(parts)
+        _, first, text = np.unique(rep, return_index=True, return_inverse=True)
+        sketches = pa.chunked_array([b.column(5) for b in parts]).take(pa.array(first)).to_pylist()
+        del parts
+        is_open = np.zeros(len(key), bool)
+        for p, q, _ in _not_ruled_out_in_buckets(least, key, rep, n, place, root, text, sketches):
+            is_open[p] = is_open[q] = True
+        at = np.flatnonzero(is_open)
+        for lo in range(0, len(at), 100_000):
+            x = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[x], rep[x], n[x].astype(np.int32), place[x].astype(np.int32), root[x])], ["key", "rep", "n", "place", "root"])
 
     return each
 
 
-def _similar(words_each: int, least: float):
-    """Pairs whose distinct word shingles have a Jaccard similarity of at least ``least``."""
+def _links_in_buckets(words_each: int, least: float):
+    """Links that connect what similar texts in the buckets of a partition connect: at most one less than there are components.
+
+    Pairs that sketches don't rule out are taken closest first, and none whose texts hang together already. Shingles are compared by their hashes, and a link is verified on the texts.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        unpress = zstandard.ZstdDecompressor()
+        key, rep, n, place, root = _columns(parts)
+        nodes, first, text = np.unique(rep, return_index=True, return_inverse=True)
+        packed = pa.chunked_array([b.column(5) for b in parts]).take(pa.array(first)).to_pylist()
+        del parts
+        hashes = [shingle_hashes(unpress.decompress(t), words_each) for t in packed]
+        _, group = np.unique(root[first], return_inverse=True)
+        up = list(range(len(nodes)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        links = []
+        for p, q, differ in _not_ruled_out_in_buckets(least, key, rep, n, place, root, text, [odd_sketch(h) for h in hashes]):
+            closest = np.argsort(differ / np.maximum(n[p] + n[q], 1), kind="stable")
+            for a, b in zip(text[p[closest]].tolist(), text[q[closest]].tolist(), strict=True):
+                x, y = top(group[a]), top(group[b])
+                if x == y:
+                    continue
+                g, h = hashes[a], hashes[b]
+                common = len(np.intersect1d(g, h, assume_unique=True))
+                if common >= least * (len(g) + len(h) - common) and _alike(unpress.decompress(packed[a]), unpress.decompress(packed[b]), words_each, least):
+                    up[max(x, y)] = min(x, y)
+                    links.append((a, b))
+        if links:
+            u, v = nodes[np.array(links, np.int64)].T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return each
+
+
+def _alike(a: bytes, b: bytes, words_each: int, least: float) -> bool:
+    """Whether the distinct word shingles of two texts have a Jaccard similarity of at least ``least``."""
 
     def shingles(text: bytes) -> set[bytes]:
         words = text.lower().split()
         k = min(words_each, len(words))
         return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
+    p, q = shingles(a), shingles(b)
+    common = len(p & q)
+    return common >= least * (len(p) + len(q) - common)
+
+
+def _similar(words_each: int, least: float):
+    """Pairs whose distinct word shingles have a Jaccard similarity of at least ``least``."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpress = zstandard.ZstdDecompressor()
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = shingles(unpress.decompress(x.as_py())), shingles(unpress.decompress(y.as_py()))
-                common = len(p & q)
-                keep.append(common >= least * (len(p) + len(q) - common))
+            keep = [_alike(unpress.decompress(x.as_py()), unpress.decompress(y.as_py()), words_each, least) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return each
@@ -334,7 +422,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     found by an exact prefix-filter join: of a text's distinct shingles of ``words_each`` words, ordered from rare to common, the first n - ceil(least * n) + 1 are entered; two texts as similar as ``least``
     share one of them. The order comes from the counts of a sample, which decides how long buckets are and not what is found. Candidates whose sketches differ in more bits than similar texts
     have different shingles are none; every other one is verified by the exact Jaccard similarity of the texts unless both already hang together by verified links: neighbours in each bucket in
-    two orders first, so that large groups grow together, then all pairs that are left, whose sketches meet in the buckets, some of these at a time. Only texts of pairs that are verified meet, compressed.
+    two orders first, so that large groups grow together, then all pairs that are left. Of these no row is made: sketches meet in the buckets and tell which entries have a partner that they
+    don't rule out, then the compressed texts of such entries meet there, some buckets at a time, and each partition yields a spanning forest of the links that it has verified.
     ``t1`` and ``t2`` are two digests of the text, ``rep`` is the smallest id among its copies, null if none has an id, and ``component`` the smallest in the group. ``stays`` marks one text of
     each group: that with the smallest id, and where ids are null or equal with the smallest digests. Null texts count as empty; an empty table gives no rows.
     """
@@ -365,29 +454,34 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     def placed(own: DataFrame) -> DataFrame:
         return own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "place", F.coalesce("root", "rep").alias("root"))
 
-    verified = true = roots = None
-    for step in ("fingerprints", "neighbours", "all"):
-        if step == "all":
-            found = None
-            for i in range(turns):
-                own = entries if turns == 1 else entries.where(F.pmod(F.xxhash64("key"), F.lit(turns)) == i)
-                own = placed(own).join(keys.select("rep", "sketch"), "rep").select("key", "rep", "n", "place", "root", "sketch")
-                part = scratch.write(own.repartition(parts, "key").mapInArrow(released(_candidates(least, ())), "u long, v long"))
-                found = part if found is None else found.union(part)
-            pairs = scratch.write(found.distinct().join(verified, ["u", "v"], "left_anti"))
-        else:
-            found = near_fingerprints(keys) if step == "fingerprints" else placed(entries).repartition(parts, "key").mapInArrow(released(_candidates(least, (0, 1))), "u long, v long").distinct()
-            found = found if verified is None else found.join(verified, ["u", "v"], "left_anti")
-            pairs = scratch.write(found.join(end("u"), "u").join(end("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(released(_not_ruled_out(least)), "u long, v long"))
-        ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        wanted = keys.join(ends, keys.rep == ends.doc_id, "left_semi").select("t1", "t2", F.col("rep").alias("doc_id"))
+    def gathered(ids: DataFrame) -> DataFrame:
+        wanted = keys.join(ids, keys.rep == ids.doc_id, "left_semi").select("t1", "t2", F.col("rep").alias("doc_id"))
         packed = rows.select("t1", "t2", "text").mapInArrow(released(_pressed), "t1 long, t2 long, text binary")
-        texts = scratch.write(packed.join(wanted, ["t1", "t2"]).dropDuplicates(["doc_id"]).select("doc_id", "text"))
+        return scratch.write(packed.join(wanted, ["t1", "t2"]).dropDuplicates(["doc_id"]).select("doc_id", "text"))
+
+    verified = true = roots = None
+    for step in ("fingerprints", "neighbours"):
+        found = near_fingerprints(keys) if step == "fingerprints" else placed(entries).repartition(parts, "key").mapInArrow(released(_neighbours(least, (0, 1))), "u long, v long").distinct()
+        found = found if verified is None else found.join(verified, ["u", "v"], "left_anti")
+        pairs = scratch.write(found.join(end("u"), "u").join(end("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(released(_not_ruled_out(least)), "u long, v long"))
+        texts = gathered(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
         both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
         links = scratch.write(both.select("u", "v", "a", "b").mapInArrow(released(_similar(words_each, least)), "u long, v long"))
         scratch.drop(texts)
         verified, true = (pairs, links) if verified is None else (verified.union(pairs), true.union(links))
         roots = scratch.write(components(true, scratch))
+
+    def in_turns(table: DataFrame, of: int, made) -> DataFrame:
+        tables = [scratch.write(made(table if of == 1 else table.where(F.pmod(F.xxhash64("key"), F.lit(of)) == i))) for i in range(of)]
+        return reduce(DataFrame.union, tables)
+
+    sketched = lambda own: placed(own).join(keys.select("rep", "sketch"), "rep").select("key", "rep", "n", "place", "root", "sketch")
+    still = in_turns(entries, turns, lambda own: sketched(own).repartition(parts, "key").mapInArrow(released(_open_entries(least)), OPEN))
+    texts = gathered(still.select(F.col("rep").alias("doc_id")).distinct())
+    with_text = lambda own: own.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "n", "place", "root", "text")
+    turns = math.ceil(still.count() / max(MOST_TEXTS, n)) or 1
+    true = true.union(in_turns(still, turns, lambda own: with_text(own).repartition(parts, "key").mapInArrow(released(_links_in_buckets(words_each, least)), "u long, v long")))
+    roots = scratch.write(components(true, scratch))
     scratch.drop_all_but(keys, roots)
     named = keys.join(roots, keys.rep == roots.node, "left").select("t1", "t2", F.col("least_id").alias("rep"), F.coalesce("root", "rep").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "t1", "t2")).alias("first"))

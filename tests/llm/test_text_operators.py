@@ -168,6 +168,27 @@ def test_texts_of_pairs_that_sketches_rule_out_are_not_gathered(spark, monkeypat
     assert len(set().union(*gathered)) == 10
 
 
+def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 1)  # so that all texts meet in the buckets of their common part
+    p, base = 17, [f"b{i}" for i in range(155)]
+    # two texts have at most one of five passages in common: similarities just below the limit, which sketches don't tell apart
+    texts = [(p * a + b, " ".join(base + [f"c{x}_{(a * x + b) % p}_{y}" for x in range(5) for y in range(5)])) for a in range(p) for b in range(p)]
+    texts += [(1000 + i, t + " more") for i, t in texts[:5]]
+    sizes = []
+    write = simhash.Scratch.write
+
+    def watched(self, df, *args, **more):
+        out = write(self, df, *args, **more)
+        if {"rep", "u"} & set(out.columns) and out.columns != ["key", "rep", "n", "place"]:  # the entries themselves are as many as prefixes have shingles
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "write", watched)
+    got = {x["rep"]: x["component"] for x in simhash.similar_groups(spark, table(spark, texts)).collect()}
+    assert got == {i: i % 1000 for i, _ in texts}
+    assert max(sizes) <= 10 * len(texts)
+
+
 def test_sketches_rule_out_no_similar_pair():
     import numpy as np
 
