@@ -166,18 +166,28 @@ def variant_of(number: Column, length: int) -> tuple[Column, Column]:
     return F.element_at(F.array(*map(F.lit, "ACTG")), block + 1), F.pmod(number, F.lit(length)).cast("int")
 
 
+#: Labels after which they begin again.
+N_LABELS = len(LABEL_LETTERS) ** 2 * 1000
+
+
 def label_encode(n: Column) -> Column:
-    """Cluster label of an integer: two letters and three digits, AA000 upwards."""
+    """Cluster label of an integer: two letters and three digits, AA000 upwards; after ``N_LABELS`` they begin again."""
     k = len(LABEL_LETTERS)
     letter = lambda x: F.substring(F.lit(LABEL_LETTERS), (x + 1).cast("int"), F.lit(1))
     return F.concat(letter(F.floor(n / (1000 * k)) % k), letter(F.floor(n / 1000) % k), F.lpad((n % 1000).cast("string"), 3, "0"))
 
 
-def label_decode(label: Column) -> Column:
-    """Integer of a cluster label; a version suffix is ignored, other strings give null."""
+def label_round(n: Column) -> Column:
+    """How often the labels began again before an integer's: what ``label_decode`` needs besides the label from ``N_LABELS`` on."""
+    return F.floor(n / N_LABELS)
+
+
+def label_decode(label: Column, again: Column | None = None) -> Column:
+    """Integer of a cluster label, in the round ``again`` of labels, the first by default; a version suffix is ignored, other strings give null."""
     k = len(LABEL_LETTERS)
     place = lambda i: F.instr(F.lit(LABEL_LETTERS), F.substring(label, i, 1)) - 1
-    return F.when(label.rlike("^[A-HJ-NP-Z]{2}[0-9]{3}(v[0-9]+)?$"), (place(1) * k + place(2)) * 1000 + F.substring(label, 3, 3).cast("int"))
+    n = (place(1) * k + place(2)) * 1000 + F.substring(label, 3, 3).cast("int")
+    return F.when(label.rlike("^[A-HJ-NP-Z]{2}[0-9]{3}(v[0-9]+)?$"), n if again is None else n + again * N_LABELS)
 
 
 def to_json(samples: DataFrame, variants: DataFrame, unknowns: DataFrame) -> DataFrame:

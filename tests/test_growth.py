@@ -148,6 +148,11 @@ def test_components_of_thinned_edges_in_parts(spark):
         assert rows(graph.clusters(spark, some, known(thin), 1), "sample_id", "cluster_id") == rows(graph.clusters(spark, some, known(edges), 1), "sample_id", "cluster_id")
 
 
+def test_labels_that_begin_again_are_decoded(spark):
+    n = spark.createDataFrame([(x,) for x in (5, 575_999, 576_000, 900_000, 5_400_000)], "n long")
+    got = n.select("n", codec.label_encode(F.col("n")).alias("label"), codec.label_round(F.col("n")).alias("again")).withColumn("back", codec.label_decode(F.col("label"), F.col("again")))
+    assert all(r["n"] == r["back"] for r in got.collect()) and rows(got, "n", "label")[2][1] == "AA000"
+
 
 
 def test_small_tables_are_dealt_over_the_cores(spark, data):
