@@ -35,7 +35,7 @@ def masked(reference: str, mask: tuple[int, ...] = (), by: str = ".") -> str:
 
 
 #: Characters that are compared at once, and of those that differ, masked ones left out.
-BLOCK, PIECE = 256, 64
+BLOCK, PIECE = 128, 16
 
 
 def _pieces(reference: str, mask: tuple[int, ...]) -> Column:
