@@ -82,8 +82,9 @@ def position_ranks(sites: DataFrame) -> DataFrame:
 
 
 def letter_counts(aligned: DataFrame, column: str = "aligned_mseq") -> DataFrame:
-    """``(cluster_id, sample_id, letter, n)``: composition of every aligned sequence."""
-    return aligned.select("cluster_id", "sample_id", F.explode(F.split(column, "")).alias("letter")).where("letter <> ''").groupBy("cluster_id", "sample_id", "letter").agg(F.count("*").alias("n"))
+    """``(cluster_id, sample_id, letter, n)``: composition of every aligned sequence, counted in its row."""
+    rows = aligned.select("cluster_id", "sample_id", F.col(column).alias("s"), F.explode(F.array_distinct(F.split(column, ""))).alias("letter")).where("letter <> ''")
+    return rows.select("cluster_id", "sample_id", "letter", (F.length("s") - F.length(F.replace("s", F.col("letter"), F.lit("")))).cast("long").alias("n"))
 
 
 def alignment(ids: DataFrame, stored: DataFrame, variants: DataFrame, unknowns: DataFrame, reference: str, mask: tuple[int, ...], p1: float | None = None, strict: bool = False) -> DataFrame:

@@ -170,3 +170,15 @@ def test_differences_in_case_and_of_characters_of_several_bytes(spark):
     _, v, u = compressed(spark, data)
     assert v.count() == 0
     assert rows(u, "sample_id", "pos", "code") == [("b", 0, "É"), ("c", 11, "\U0001f600"), ("d", 0, "?"), ("d", 11, "N"), ("g", 0, "É"), ("g", 1, "N")]
+
+
+
+
+
+def test_letters_are_counted_in_rows_of_their_own(spark):
+    from lociflow.operators import mixture
+
+    df = spark.createDataFrame([("x", "a", "AANR"), ("x", "b", ""), ("y", "a", "TT")], "cluster_id string, sample_id string, aligned_mseq string")
+    found = mixture.letter_counts(df)
+    assert rows(found, "cluster_id", "sample_id", "letter", "n") == [("x", "a", "A", 2), ("x", "a", "N", 1), ("x", "a", "R", 1), ("y", "a", "T", 2)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
