@@ -56,6 +56,7 @@ def components(ids: DataFrame, variants: DataFrame, alleles: DataFrame, n_compon
     own = variants.groupBy("sample_id").agg(F.collect_set(F.concat_ws(":", "pos", "base")).alias("own"))
     rows = ids.select("sample_id").join(own, "sample_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
     matrix = rows.select("sample_id", array_to_vector(F.transform(keys, lambda k: F.array_contains("own", k).cast("double"))).alias("raw"))
+    matrix = Scratch(ids.sparkSession, "matrix").write(matrix)  # read by each pass of the model
     scaled = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="x").fit(matrix).transform(matrix)
     model = PCA(k=min(n_components, len(order)), inputCol="x", outputCol="y").fit(scaled)
     coords = model.transform(scaled).select("sample_id", F.posexplode(vector_to_array("y")).alias("pc", "coord"))
