@@ -67,17 +67,16 @@ def columns_of(columns: list[str], stats: str, delta: bool) -> list[str]:
     return [c for c in columns if c.startswith(f"server|{stats}|") and c.endswith("|delta") == delta]
 
 
-def storage_audit(edges: DataFrame, samples: DataFrame) -> DataFrame:
-    """``(kind, n_samples, n_links)``: samples by whether they have no neighbour, one or several, and how many links these have."""
-    n = edges.groupBy(F.col("a").alias("sample_id")).agg(F.count("*").alias("n"))
-    rows = samples.select("sample_id").join(n, "sample_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+def storage_audit(degree: DataFrame, samples: DataFrame) -> DataFrame:
+    """``(kind, n_samples, n_links)``: samples by whether they have no neighbour, one or several, by the degrees of the linked ones, and how many links these have."""
+    rows = samples.select("sample_id").join(degree, "sample_id", "left").select(F.coalesce("degree", F.lit(0)).alias("n"))
     kind = F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "single").otherwise("several")
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_samples"), F.sum("n").alias("n_links"))
 
 
-def status(edges: DataFrame, samples: DataFrame, events: DataFrame, now: str) -> DataFrame:
-    """One row: links over 1 + samples, and seconds since the newest event at a given time."""
-    ratio = edges.agg(F.count("*").alias("n_edges")).join(samples.agg(F.count("*").alias("n_samples")))
+def status(degree: DataFrame, samples: DataFrame, events: DataFrame, now: str) -> DataFrame:
+    """One row: links, by the degrees of the linked samples, over 1 + samples, and seconds since the newest event at a given time."""
+    ratio = degree.agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("n_edges")).join(samples.agg(F.count("*").alias("n_samples")))
     newest = events.agg(F.max("ts").alias("newest"))
     seconds = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("newest").cast("timestamp"))) / 1_000_000
     return ratio.join(newest).select(F.round(F.col("n_edges") / (1 + F.col("n_samples")), 9).alias("ratio"), F.round(seconds, 3).alias("seconds_since"))

@@ -50,9 +50,10 @@ def long_form(rows: DataFrame, ids: list[str], values: list[str], start: str = "
     return rows.unpivot(ids, values, "description", "value").where(F.col("value").isNotNull() & F.col("description").startswith(start))
 
 
-def storage_ratio(edges: DataFrame, samples: DataFrame) -> DataFrame:
-    """Edges, samples and edges / (1 + samples)."""
-    return edges.agg(F.count("*").alias("n_edges")).join(samples.agg(F.count("*").alias("n_samples"))).select("n_edges", "n_samples", F.round(F.col("n_edges") / (1 + F.col("n_samples")), 9).alias("ratio"))
+def storage_ratio(degree: DataFrame, samples: DataFrame) -> DataFrame:
+    """Edges, by the degrees of the linked samples, samples and edges / (1 + samples)."""
+    n = degree.agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("n_edges"))
+    return n.join(samples.agg(F.count("*").alias("n_samples"))).select("n_edges", "n_samples", F.round(F.col("n_edges") / (1 + F.col("n_samples")), 9).alias("ratio"))
 
 
 def latest_version(versions: DataFrame, key: str, version: str) -> DataFrame:
