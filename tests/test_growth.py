@@ -172,6 +172,13 @@ def test_differences_in_case_and_of_characters_of_several_bytes(spark):
     assert rows(u, "sample_id", "pos", "code") == [("b", 0, "É"), ("c", 11, "\U0001f600"), ("d", 0, "?"), ("d", 11, "N"), ("g", 0, "É"), ("g", 1, "N")]
 
 
+@pytest.mark.parametrize("name", ["content_hash", "rcs_json", "allele_counts", "category_row", "dense_calendar", "annotations_replaced", "msa_variant_positions", "one_to_all", "position_vector"])
+def test_sequences_are_compared_in_one_written_pass(spark, data, written, name):
+    from lociflow.plans import catalogue
+
+    assert catalogue.QUERIES[name](spark, data).count() > 0
+    assert len(written) == 1  # the others are read from it; there were four, and more passes that weren't written
+
 
 def test_alignments_and_tests_are_made_in_rows_of_their_own(spark):
     from statistics import median
